@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators, and SQL with the same results where SQL can express them."""
 
-from . import exact_dedup
+from . import exact_dedup, packing, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 SQL = {
