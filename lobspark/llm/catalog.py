@@ -1,12 +1,14 @@
 """The registered queries of the training-data operators, and SQL with the same results where SQL can express them."""
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, knn_join, packing, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_exact_topk": knn_join.op10_exact_topk,
 }
 SQL = {
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_exact_topk": knn_join.SQL,
 }
