@@ -1,16 +1,19 @@
 """The registered queries of the training-data operators, and SQL with the same results where SQL can express them."""
 
-from . import exact_dedup, html_text, knn_join, packing, token_counts, toxicity
+from . import exact_dedup, html_text, knn_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_html_extraction": html_text.op7_html_extraction,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_exact_topk": knn_join.op10_exact_topk,
 }
 SQL = {
+    "op6_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_exact_topk": knn_join.SQL,
 }
