@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and SQL with the same results where SQL can express them."""
 
-from . import exact_dedup, html_text, knn_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, html_text, knn_join, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_exact_topk": knn_join.op10_exact_topk,
 }
 SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_exact_topk": knn_join.SQL,
