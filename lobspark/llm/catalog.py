@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL with the same results where SQL can express them."""
 
-from . import exact_dedup, html_text, knn_join, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, html_text, knn_join, mixing, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_exact_topk": knn_join.op10_exact_topk,
 }

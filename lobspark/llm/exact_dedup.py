@@ -36,14 +36,16 @@ def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     return distinct.withColumn("__bucket", bucket).select(*keys, (F.col("__bucket") * F.lit(1 << 40) + rank).alias(name))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: id, n_points (code points of the text), text_sha256, n_blocks, name (the identity), row (a number of its own).
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, n_points (code points of the text), text_sha256, n_blocks, name (the identity), row (a number of its own, or the
+    unique one in row_col).
 
     Null texts count as empty; empty texts have one empty block. Rows with equal ids keep their own rows. Other columns
     are not read, so their names can't clash.
     """
     spark = docs.sparkSession
-    norm = docs.select(F.col(id_col).alias("id"), shared.text_or_empty(text_col).alias("text")).select("id", F.length("text").alias("n_points"), normalised("text").alias("norm"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    norm = docs.select(row.alias("row"), F.col(id_col).alias("id"), shared.text_or_empty(text_col).alias("text")).select("row", "id", F.length("text").alias("n_points"), normalised("text").alias("norm"))
     count = F.greatest(F.ceil(F.length(F.col("norm").cast("binary")) / block_bytes).cast("int"), F.lit(1))
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("norm").cast("binary"), i * block_bytes + 1, F.lit(block_bytes)))
 
@@ -52,9 +54,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     for seed in range(100):
         cells = shared.write_out(
-            norm.withColumn("row", F.monotonically_increasing_id())
-            .select("id", "n_points", "row", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), count.alias("n_blocks"), F.posexplode(cut).alias("pos", "block"))
-            .select("row", "pos", "n_blocks", *digests(seed), F.when(F.col("pos") == 0, F.struct("id", "n_points", "sha")).alias("doc")),
+            norm.select("id", "n_points", "row", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), count.alias("n_blocks"), F.posexplode(cut).alias("pos", "block")).select("row", "pos", "n_blocks", *digests(seed), F.when(F.col("pos") == 0, F.struct("id", "n_points", "sha")).alias("doc")),
             "cells",
         )
         blocks = norm.select(F.explode(cut).alias("block")).select(*digests(seed), "block").distinct()
@@ -92,6 +92,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.join(groups, ["n_blocks", "name"]).select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with docs' columns. Rows are numbered in a written table, so that the numbers stay."""
+    numbered = shared.write_out(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = identities(numbered, id_col, text_col, row_col="__row")
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    stay = found.groupBy("n_blocks", "name").agg(best).select(F.col("best.row").alias("__row"))
+    return numbered.join(stay, "__row").select(*docs.columns)
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(shared.table(spark, sf_dir, "documents"))
 

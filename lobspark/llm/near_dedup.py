@@ -92,14 +92,15 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, leaf: int = LEAF, block: int = BLOCK, row_col: str | None = None) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id linked, itself included), kept (id is component_id).
 
     Two rows are linked when intersection / union of their sets is at least similar[0] / similar[1]. Null texts and texts
     without words have empty sets, linked with nothing. Null ids come after all others: they are component_id only where
-    a component has no other. Repeated rows are linked like any equal sets. Other columns aren't read.
+    a component has no other. Repeated rows are linked like any equal sets. Other columns aren't read. With row_col, a unique number
+    of each row, the result has it too, as row.
     """
-    texts = repeats.base(docs, id_col, text_col)
+    texts = repeats.base(docs, id_col, text_col, row_col)
     ids = texts.schema["id"].dataType
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sets.select("row", "ord", "n", "f1", "f2").join(least, ["f1", "f2"], "left").join(names, "row")
     first = F.coalesce(F.when(F.col("n") > 0, F.col("first")), F.col("ord"))
     component = F.when(first < F.lit(repeats.LAST), first).cast(ids)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(*["row"] * bool(row_col), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int, block: int) -> tuple[DataFrame, DataFrame | None]:
@@ -280,6 +281,14 @@ def components(links: DataFrame) -> DataFrame:
         labels._lobspark_path = new._lobspark_path
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each component (null ids: all), with docs' columns."""
+    numbered = shared.write_out(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(numbered, id_col, text_col, row_col="__row").where("kept")
+    stay = found.groupBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col("row")).alias("own")).agg(F.min("row").alias("__row")).select("__row")
+    return numbered.join(stay, "__row").select(*docs.columns)
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"))
 

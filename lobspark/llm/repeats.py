@@ -118,10 +118,11 @@ def _keys(piece: str | Column) -> list[Column]:
     return [F.xxhash64(piece).alias("k1"), F.xxhash64(F.lit(17), piece).alias("k2")]
 
 
-def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts as bytes (null: empty) with a row number of their own, written, so that the numbers stay."""
+def base(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """The texts as bytes (null: empty) with a row number of their own (or row_col), written, so that the numbers stay."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    return shared.write_out(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), order.alias("ord"), shared.text_or_empty(text_col).cast("binary").alias("text")), "texts")
+    return shared.write_out(docs.select(row.alias("row"), F.col(id_col).alias("id"), order.alias("ord"), shared.text_or_empty(text_col).cast("binary").alias("text")), "texts")
 
 
 def marks(texts: DataFrame, kind: Kind, group: int = GROUP) -> DataFrame:
