@@ -137,25 +137,25 @@ def marks(texts: DataFrame, kind: Kind, group: int = GROUP) -> DataFrame:
     all_runs = shared.write_out(texts.select("row", "ord", "text").mapInArrow(anchors, "g bigint, row bigint, ord bigint, first int, n int, a int"), "runs")
     repeated = shared.write_out(all_runs.groupBy("g").agg(F.count("*").alias("count"), F.min("ord").alias("low"), F.max("ord").alias("high")).where(kind.repeated).select("g"), "anchors")
     kept = all_runs.join(repeated, "g").groupBy("row").agg(F.collect_list(F.struct("g", "first", "n", "a")).alias("runs"))  # of one text
+    kept = shared.write_out(kept, "kept")
+    shared.drop(all_runs, repeated)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
-            row, order, g, first, n, a, piece = ([] for _ in range(7))
-            for r, o, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lists = b.column(3)
+            runs_ = lists.flatten()
+            g, first, n, a = (runs_.field(i) for i in range(4))
+            many = lists.value_lengths().to_numpy()
+            at = pa.array(np.repeat(np.arange(b.num_rows), many))
+            piece, ends = [], np.cumsum(many).tolist()
+            for text, s, e in zip(b.column(2).to_pylist(), [0, *ends], ends, strict=False):
                 parts = kind.parts(text)
-                for x in own:
-                    row.append(r)
-                    order.append(o)
-                    g.append(x["g"])
-                    first.append(x["first"])
-                    n.append(x["n"])
-                    a.append(x["a"])
-                    piece.append(kind.piece(parts, x["first"], x["n"] + kind.size - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(order, pa.int64()), pa.array(g, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(piece, pa.binary())], names=["row", "ord", "g", "first", "n", "a", "piece"])
+                piece += [kind.piece(parts, f, k + kind.size - 1) for f, k in zip(first[s:e].to_pylist(), n[s:e].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), g, first, n, a, pa.array(piece, pa.binary())], names=["row", "ord", "g", "first", "n", "a", "piece"])
 
     copies = texts.join(kept, "row").select("row", "ord", "text", "runs").mapInArrow(cut, "row bigint, ord bigint, g bigint, first int, n int, a int, piece binary")
     copies = shared.write_out(copies.select("*", *_keys("piece")), "copies")
-    shared.drop(all_runs, repeated)
+    shared.drop(kept)
     distinct = copies.groupBy("g", "n", "a", "piece").agg(F.count("*").alias("count"), F.min("ord").alias("low"), F.max("ord").alias("high"))
     distinct = shared.write_out(distinct.select("*", *_keys("piece")), "distinct")
     large = shared.write_out(distinct.groupBy("g").agg(F.count("*").alias("runs")).where(F.col("runs") > group).select("g"), "large")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,12 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
 def write_out(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
+    The write's shuffle files go as soon as it is done (Spark would keep them until the driver collects its garbage).
     A task that is lost before the write ends is computed again from its inputs; afterwards nothing is recomputed.
     The files are removed when the driver ends, or by drop().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lobspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lobspark_path = path

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import repeats, shared
 
 WINDOW = 13
-GRAM = 5
+GRAM = 3
 KEPT = 1_000_000
 
 
@@ -29,7 +30,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
         return h
 
 
@@ -39,7 +40,7 @@ _hashes = _Hashes()
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cut = [t.split() for t in texts.to_pylist()]  # of bytes: splits at \x20 and \x09-\x0D only
     sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    return np.fromiter((h for x in cut for h in map(_hashes.__getitem__, x)), dtype=np.uint64, count=int(sizes.sum())), sizes
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum())).view(np.uint64), sizes
 
 
 def grow(words: np.ndarray, starts: np.ndarray, branch: np.ndarray, depth: int, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +66,13 @@ def grow(words: np.ndarray, starts: np.ndarray, branch: np.ndarray, depth: int,
 def _solve(window: int):
     def solve(rows: list[tuple]) -> list[list[int] | None]:
         number: dict[bytes, int] = {}
-        cut = [[number.setdefault(w, len(number)) for w in r[8].split()] for r in rows]
+        words = b" ".join([r[8] for r in rows]).split()
         n = np.array([r[3] for r in rows])
-        at = np.cumsum([0, *map(len, cut)])[:-1]
+        at = np.cumsum(n + window - 1) - (n + window - 1)
         own = np.repeat(np.arange(len(rows)), n)
         starts = at[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         g, low, high, count = (np.array([r[i] for r in rows]) for i in (0, 6, 7, 5))
-        _, least = grow(np.array([w for x in cut for w in x], dtype=np.int64), starts, np.unique(g, return_inverse=True)[1][own], window, low[own], count[own])
+        _, least = grow(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64), starts, np.unique(g, return_inverse=True)[1][own], window, low[own], count[own])
         ends = np.cumsum(n)
         return [least[e - k : e].tolist() if (least[e - k : e] < h).any() else None for e, k, h in zip(ends, n, high, strict=True)]
 
