@@ -1,4 +1,431 @@
-"""Queries by name, and SQL with the same results."""
+"""Queries by name over the driver's tables, and SQL with the same results.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The SQL is written by hand from the definitions, not generated from the Column builders. Figures of both sides are put on
+a grid of 1e-6, cut at an odd place so that round figures don't fall on its edges.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.nulls import nearest_quantile
+from ..functions.windows import as_of
+from ..operators import evaluate, labels, model, orders, pca, trades
+from ..sources import adapters
+from . import factory
+
+KEYS = ["SecurityID", "date", "timestamp"]
+SHIFT = 0.3719
+
+
+def on_grid(x: str | Column) -> Column:
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return F.floor(c * 1000000 + SHIFT) / F.lit(1000000.0) + 0.0
+
+
+def q(x: str, name: str | None = None) -> str:
+    return f"floor(cast({x} as double) * 1000000 + {SHIFT}) / cast(1000000 as double) + 0.0 as {name or x}"
+
+
+def _figures(df: DataFrame, names: list[str], keys: list[str] = KEYS, whole: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*keys, *[F.col(n).cast("long").alias(n) if n in whole else on_grid(n).alias(n) for n in names])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+S = f"s as ({adapters.SNAP})"
+BIDS, ASKS = [f"BidVolume{i}" for i in range(1, 11)], [f"AskVolume{i}" for i in range(1, 11)]
+
+
+def plus(cols: list[str]) -> str:
+    return "(" + " + ".join(cols) + ")"
+
+
+def rat(a: str, b: str) -> str:
+    return f"(case when {b} > 0 then {a} / {b} else 0.0 end)"
+
+
+def imb(a: str, b: str) -> str:
+    return rat(f"({a} - {b})", f"({a} + {b})")
+
+
+def _features(name: str, exprs: dict[str, str], before: tuple[str, ...] = (S,), source: str = "s", whole: tuple[str, ...] = (), tick: str = "") -> None:
+    """A query of some features of the grid, with their SQL over `source`."""
+    cols = ", ".join(f"cast({e} as bigint) as {n}" if n in whole else q(e, n) for n, e in exprs.items())
+
+    @query(name, _with(*before) + f"\nSELECT SecurityID, date, timestamp, {cols} FROM {source}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        grid = adapters.snapshots(spark, sf_dir)
+        rows = {"trade_rows": adapters.trades(spark, sf_dir)} if tick == "trades" else {"order_rows": adapters.orders(spark, sf_dir)} if tick == "orders" else {}
+        return _figures(factory.compute(grid, list(exprs), **rows), list(exprs), whole=whole)
+
+
+@query("obi_by_stock", _with(S) + f"\nSELECT SecurityID, {q(f'avg({imb("BidVolume1", "AskVolume1")})', 'mean_obi')}, count(*) AS n FROM s GROUP BY SecurityID")
+def obi_by_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = factory.compute(adapters.snapshots(spark, sf_dir), ["OBI"])
+    return df.groupBy("SecurityID").agg(on_grid(F.avg("OBI")).alias("mean_obi"), F.count("*").alias("n"))
+
+
+_BOTH, _MID = "(BidPrice1 > 0 and AskPrice1 > 0)", "((BidPrice1 + AskPrice1) / 2.0)"
+_MICRO = f"(case when {_BOTH} and BidVolume1 + AskVolume1 > 0 then (AskPrice1 * BidVolume1 + BidPrice1 * AskVolume1) / (BidVolume1 + AskVolume1) end)"
+_NB, _NS = [f"NumOrdersB{i}" for i in range(1, 11)], [f"NumOrdersS{i}" for i in range(1, 11)]
+_WB = plus([f"BidVolume{i} * exp(-(greatest(BidPrice1 - BidPrice{i}, 0) / 0.01))" for i in range(1, 6)])
+_WA = plus([f"AskVolume{i} * exp(-(case when AskPrice{i} - AskPrice1 is null then null else greatest(AskPrice{i} - AskPrice1, 0) end / 0.01))" for i in range(1, 6)])
+_features("book_statics", {
+    "OBI": imb("BidVolume1", "AskVolume1"),
+    "Spread": f"case when {_BOTH} then AskPrice1 - BidPrice1 end",
+    "SpreadRel": f"case when {_BOTH} then (AskPrice1 - BidPrice1) / {_MID} end",
+    "MicroPrice": _MICRO,
+    "MicroPriceBias": f"case when {_BOTH} then {_MICRO} / {_MID} - 1 end",
+    **{f"OCIB_{k}": imb(plus(_NB[:k]), plus(_NS[:k])) for k in (1, 5, 10)},
+    "Depth_Imbalance": imb(_WB, _WA),
+    "Vol_Spread": f"case when {plus(BIDS[:5])} > 0 and {plus(ASKS[:5])} > 0 then ln({plus(BIDS[:5])} / {plus(ASKS[:5])}) end",
+})
+
+_amount = lambda side, vol, k: plus([f"{vol}{i} * {side}{i}" for i in range(1, k + 1)])
+_features("book_levels", {
+    **{f"OBI_{k}": imb(plus(BIDS[:k]), plus(ASKS[:k])) for k in (3, 5, 10)},
+    **{f"AmtOBI_{k}": imb(_amount("BidPrice", "BidVolume", k), _amount("AskPrice", "AskVolume", k)) for k in (1, 3, 5, 10)},
+})
+
+
+def _slope(side: str, vol: str) -> str:
+    y = [plus([f"{vol}{j}" for j in range(1, i + 1)]) for i in range(1, 6)]
+    x = [f"{side}{i}" for i in range(1, 6)]
+    den = f"(5.0 * {plus([f'{p} * {p}' for p in x])} - {plus(x)} * {plus(x)})"
+    return f"(case when abs({den}) > 1e-12 then (5.0 * {plus([f'{p} * {v}' for p, v in zip(x, y, strict=True)])} - {plus(x)} * {plus(y)}) / {den} end)"
+
+
+def _convex(side: str, vol: str) -> str:
+    gap = lambda i, j: f"(case when abs({side}{i} - {side}{j}) > 0.009 then abs({side}{i} - {side}{j}) else 0.01 end)"
+    all_ = plus([f"{vol}{i}" for i in range(1, 6)])
+    return f"(case when {all_} > 0 then (({vol}4 + {vol}5) / {gap(3, 5)} - ({vol}2 + {vol}3) / {gap(1, 3)}) / {all_} end)"
+
+
+_vwap = lambda side, vol: f"(case when {plus([f'{vol}{i}' for i in range(1, 6)])} > 0 then {plus([f'{side}{i} * {vol}{i}' for i in range(1, 6)])} / {plus([f'{vol}{i}' for i in range(1, 6)])} end)"
+_size = lambda v, n: f"(case when {plus(n[:5])} > 0 then {plus(v[:5])} / {plus(n[:5])} end)"
+_DEPTH = f"({plus(BIDS[:5])} + {plus(ASKS[:5])})"
+_features("book_shape", {
+    "DepthConcentration": f"{rat('BidVolume1', plus(BIDS))} - {rat('AskVolume1', plus(ASKS))}",
+    "TopDepthRatio": rat("(BidVolume1 + AskVolume1)", f"({plus(BIDS)} + {plus(ASKS)})"),
+    "BookSlope": f"case when {_DEPTH} > 0 then (-{_slope('BidPrice', 'BidVolume')} - {_slope('AskPrice', 'AskVolume')}) * {_MID} / {_DEPTH} end",
+    "BookConvexity": f"{_convex('BidPrice', 'BidVolume')} - {_convex('AskPrice', 'AskVolume')}",
+    "VWAP_Deviation": f"case when {_MID} > 0 then ({_vwap('AskPrice', 'AskVolume')} - {_vwap('BidPrice', 'BidVolume')}) / {_MID} end",
+    "AvgOrderSizeImb": imb(_size(BIDS, _NB), _size(ASKS, _NS)),
+})
+
+_W = "over (partition by SecurityID, date order by timestamp)"
+_WIDE = "(SecurityID like '688%' or SecurityID like '300%' or SecurityID like '301%')"
+_LIMITS = (
+    S,
+    f"""a as (select *, coalesce(HighLimitPrice, round(PreCloPrice * (1.0 + case when {_WIDE} then 0.2 else 0.1 end), 2)) as hi,
+      coalesce(LowLimitPrice, round(PreCloPrice * (1.0 - case when {_WIDE} then 0.2 else 0.1 end), 2)) as lo from s)""",
+    """b as (select *, (AskPrice1 is null or AskPrice1 <= 0) and BidPrice1 > 0 and abs(BidPrice1 - hi) < 0.005 as up,
+      (BidPrice1 is null or BidPrice1 <= 0) and AskPrice1 > 0 and abs(AskPrice1 - lo) < 0.005 as down from a)""",
+    f"""c as (select *, first_value(up) {_W} as up0, first_value(down) {_W} as down0,
+      not up and LastPrice > 0 and hi > 0 and (hi - LastPrice) / nullif(hi, 0) < 0.02 as near_up,
+      not down and LastPrice > 0 and lo > 0 and (LastPrice - lo) / nullif(LastPrice, 0) < 0.02 as near_down from b)""",
+)
+_B3, _A3 = plus(BIDS[:3]), plus(ASKS[:3])
+_features("price_limits", {
+    "LimitUpDist": "case when hi > 0 then (hi - LastPrice) / hi end",
+    "LimitDownDist": "case when LastPrice > 0 then (LastPrice - lo) / LastPrice end",
+    "IsLimitUp": "up", "IsLimitDown": "down",
+    "LimitBlockAmt": "case when up then BidVolume1 * BidPrice1 when down then AskVolume1 * AskPrice1 else 0.0 end",
+    "NearLimitUp": "near_up", "NearLimitDown": "near_down",
+    "IsGapLimitUp": "(up and up0)", "IsGapLimitDown": "(down and down0)",
+    "LimitAskScarcity": f"case when near_up and {_B3} + {_A3} > 0 then 1.0 - {_A3} / ({_B3} + {_A3}) else 0.0 end",
+    "LimitBidScarcity": f"case when near_down and {_B3} + {_A3} > 0 then 1.0 - {_B3} / ({_B3} + {_A3}) else 0.0 end",
+}, _LIMITS, "c", ("IsLimitUp", "IsLimitDown", "NearLimitUp", "NearLimitDown", "IsGapLimitUp", "IsGapLimitDown"))
+
+
+def _flow(i: int) -> str:
+    lag = lambda c: f"lag({c}{i}) {_W}"
+    e = f"case when BidPrice{i} > {lag('BidPrice')} then BidVolume{i} when BidPrice{i} = {lag('BidPrice')} then BidVolume{i} - {lag('BidVolume')} when BidPrice{i} < {lag('BidPrice')} then -{lag('BidVolume')} else 0.0 end"
+    f = f"case when AskPrice{i} > {lag('AskPrice')} then -{lag('AskVolume')} when AskPrice{i} = {lag('AskPrice')} then AskVolume{i} - {lag('AskVolume')} when AskPrice{i} < {lag('AskPrice')} then AskVolume{i} else 0.0 end"
+    return f"{e} as e{i}, {f} as f{i}"
+
+
+_zero = lambda cols: plus([f"coalesce({c}, 0.0)" for c in cols])
+_ofi = lambda k: rat(_zero([f"(e{i} - f{i})" for i in range(1, k + 1)]), _zero(BIDS[:k] + ASKS[:k]))
+_FLOWS = (S, f"w as (select *, {', '.join(_flow(i) for i in range(1, 11))} from s)", f"o as (select *, {rat('(e1 - f1)', '(BidVolume1 + AskVolume1)')} as OFI_1, {_ofi(3)} as OFI_3, {_ofi(5)} as OFI, {_ofi(10)} as OFI_10 from w)")
+_features("order_flow", {
+    "OFI_1": "OFI_1", "OFI_3": "OFI_3", "OFI": "OFI", "OFI_10": "OFI_10",
+    "TS_Imbalance": rat("(e1 - f1)", "(abs(e1) + abs(f1))"),
+    "OFI_Decay": plus([f"coalesce(lag(OFI, {k}) {_W}, 0.0) * exp(-{k}.0)" for k in range(5)]),
+    "MaxDurPressure": f"case when MaxBidDur is not null and MaxSellDur is not null then {imb(f'(MaxBidDur - lag(MaxBidDur) {_W})', f'(MaxSellDur - lag(MaxSellDur) {_W})')} end",
+}, _FLOWS, "o")
+_features("flow_averages", {"OFI_MA": "y", "OFI_Z": "case when sqrt(v) > 1e-8 then (OFI - y) / sqrt(v) else 0.0 end"}, (
+    *_FLOWS, f"p as (select SecurityID, date, timestamp, OFI, row_number() {_W} as n from o)",
+    """r as (select SecurityID, date, timestamp, OFI, n, OFI as y, cast(0 as double) as v from p where n = 1
+      union all select p.SecurityID, p.date, p.timestamp, p.OFI, p.n, r.y + (p.OFI - r.y) * 2.0 / 21.0,
+        r.v + (pow(p.OFI - (r.y + (p.OFI - r.y) * 2.0 / 21.0), 2) - r.v) * 2.0 / 21.0
+      from r join p on p.SecurityID = r.SecurityID and p.date = r.date and p.n = r.n + 1)"""), "r")
+
+_R = f"over (partition by SecurityID, date order by timestamp rows between 299 preceding and current row)"
+_roll = lambda e, n: f"case when count({e}) {_R} >= 30 then sum({e}) {_R} end as {n}"
+_features("realised_moments", {
+    "RVol": "r2", "RSkew": "case when r2 > 1e-8 and n > 0 then sqrt(n) * r3 / pow(r2, 1.5) end",
+    "RKurt": "case when r2 > 1e-8 and n > 0 then n * r4 / (r2 * r2) end", "UpVolRatio": "case when r2 > 1e-8 then ln((u + 1e-8) / (d + 1e-8)) end",
+}, (S, f"a as (select *, case when mid_price > 0 then ln(mid_price) end as m from s)", f"b as (select *, case when row_number() {_W} = 1 then 0.0 else m - lag(m) {_W} end as r from a)",
+    f"c as (select *, {_roll('r * r', 'r2')}, {_roll('r * r * r', 'r3')}, {_roll('r * r * r * r', 'r4')}, {_roll('case when r > 0 then r * r else 0.0 end', 'u')}, {_roll('case when r < 0 then r * r else 0.0 end', 'd')}, {_roll('case when r is null then 0.0 else 1.0 end', 'n')} from b)"), "c")
+
+
+def _ret(k: int) -> str:
+    then = f"lead(timestamp, {k}) {_W}"
+    return f"case when abs({then} - timestamp - {3 * k}) <= 3 and {then} >= timestamp and {then} <= 54000 and not (timestamp <= 41400 and {then} >= 46800) then lead(m, {k}) {_W} - m end"
+
+
+_HORIZONS = {"ret_15s": 5, "ret_30s": 10, "ret_60s": 20, "ret_180s": 60, "ret_300s": 100}
+_LN = "l as (select *, case when mid_price > 0 then ln(mid_price) end as m from s)"
+
+
+@query("forward_returns", _with(S, _LN) + "\nSELECT SecurityID, date, timestamp, " + q("mid_price") + ", " + ", ".join(q(_ret(k), n) for n, k in _HORIZONS.items()) + " FROM l")
+def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(labels.add_labels(adapters.snapshots(spark, sf_dir)), ["mid_price", *_HORIZONS])
+
+
+# trades -------------------------------------------------------------------------------------------------------------
+_T = (
+    S,
+    f"t0 as ({adapters.TRADE})",
+    "t1 as (select *, case when TradPrice > lag(TradPrice) over w then 'B' when TradPrice < lag(TradPrice) over w then 'S' end as moved from t0 window w as (partition by SecurityID, date order by secs, TradeIndex))",
+    "t2 as (select SecurityID, date, secs, TradPrice, TradVolume, TradeMoney, TradeIndex, coalesce(TradeBSFlag, last_value(moved ignore nulls) over (partition by SecurityID, date order by secs, TradeIndex rows unbounded preceding), 'B') as side, cast(ceil(secs / 3) * 3 as int) as timestamp from t1)",
+)
+_DAYS = "days as (select date, lag(date) over (order by date) as previous from (select distinct date from s))"
+_quantile = lambda x: f"list_sort(list({x}) filter ({x} is not null))[cast(floor(0.9 * (count({x}) - 1) + 0.5) as bigint) + 1]"
+_T_THRESH = f"th as (select t.SecurityID, days.date, t.v as large_thresh from (select SecurityID, date, {_quantile('TradeMoney')} as v from t2 group by all) t join days on days.previous = t.date)"
+_ASOF = "asof left join (select SecurityID, date, secs as at, BidPrice1, AskPrice1, mid_price from s) b on b.SecurityID = t.SecurityID and b.date = t.date and t.secs >= b.at"
+_T_SEEN = f"t3 as (select t.*, b.BidPrice1, b.AskPrice1, b.mid_price as mid, avg(t.TradPrice) over (partition by t.SecurityID, t.date, t.timestamp) as mean from t2 t {_ASOF})"
+_T_STATS = (
+    *_T, _DAYS, _T_THRESH, _T_SEEN,
+    "t4 as (select t3.*, large_thresh from t3 left join th using (SecurityID, date))",
+    """ta as (select SecurityID, date, timestamp, coalesce(sum(TradeMoney) filter (side = 'B'), 0) as trade_buy_amt, coalesce(sum(TradeMoney) filter (side = 'S'), 0) as trade_sell_amt,
+      coalesce(sum(TradeMoney) filter (side = 'B' and TradeMoney >= large_thresh), 0) as trade_large_buy, coalesce(sum(TradeMoney) filter (side = 'S' and TradeMoney >= large_thresh), 0) as trade_large_sell,
+      count(*) filter (side = 'B') as trade_buy_cnt, count(*) filter (side = 'S') as trade_sell_cnt, count(*) as trade_count,
+      sum(TradVolume) as trade_vwap_den, case when sum(TradVolume) > 0 then sum(TradPrice * TradVolume) / sum(TradVolume) end as trade_vwap,
+      avg(abs(TradPrice - mean) / mean) as trade_price_dispersion,
+      count(*) filter (side = 'B' and TradPrice > AskPrice1) as pen_buy_cnt, count(*) filter (side = 'S' and TradPrice < BidPrice1) as pen_sell_cnt,
+      coalesce(sum(TradeMoney) filter (side = 'B' and TradPrice > AskPrice1), 0) as pen_buy_amt, coalesce(sum(TradeMoney) filter (side = 'S' and TradPrice < BidPrice1), 0) as pen_sell_amt,
+      avg(coalesce(abs(TradPrice - mid) / mid, 0)) as trade_price_dev from t4 group by all)""",
+    "i1 as (select *, case when side <> lag(side) over (partition by SecurityID, date, timestamp order by secs, TradeIndex) then 1 else 0 end as changed from t2)",
+    "i2 as (select *, sum(changed) over (partition by SecurityID, date, timestamp order by secs, TradeIndex rows unbounded preceding) as island from i1)",
+    "i3 as (select SecurityID, date, timestamp, island, min(side) as side, count(*) as n from i2 group by all)",
+    "i4 as (select SecurityID, date, timestamp, coalesce(max(n) filter (side = 'B'), 0) as max_consec_buy, coalesce(max(n) filter (side = 'S'), 0) as max_consec_sell from i3 group by all)",
+    "ts as (select * from ta join i4 using (SecurityID, date, timestamp))",
+)
+_T_COUNTS = tuple(trades.COUNTS)
+_T_FIGURES = [*trades.AMOUNTS, *trades.OTHERS]
+
+
+@query("trade_aggregates", _with(*_T_STATS) + "\nSELECT SecurityID, date, timestamp, " + ", ".join([*(q(n) for n in _T_FIGURES), *(f"cast({n} as bigint) as {n}" for n in _T_COUNTS)]) + " FROM ts")
+def trade_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trades.aggregate(adapters.trades(spark, sf_dir), adapters.snapshots(spark, sf_dir))
+    return _figures(out, [*_T_FIGURES, *_T_COUNTS], whole=_T_COUNTS)
+
+
+@query("tick_rule", _with(*_T) + f"\nSELECT SecurityID, date, TradeIndex, {q('secs')}, side FROM t2")
+def tick_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.tick_rule(adapters.trades(spark, sf_dir)).select("SecurityID", "date", "TradeIndex", on_grid("secs").alias("secs"), F.col("TradeBSFlag").alias("side"))
+
+
+@query("as_of_book", _with(*_T, _T_SEEN) + f"\nSELECT SecurityID, date, TradeIndex, {q('BidPrice1', 'bid')}, {q('AskPrice1', 'ask')}, {q('mid')} FROM t3")
+def as_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = as_of(adapters.trades(spark, sf_dir), adapters.snapshots(spark, sf_dir), "secs", "secs", ["BidPrice1", "AskPrice1", "mid_price"])
+    return seen.select("SecurityID", "date", "TradeIndex", *[on_grid(f"at_{a}").alias(b) for a, b in (("BidPrice1", "bid"), ("AskPrice1", "ask"), ("mid_price", "mid"))])
+
+
+@query("trade_thresholds", _with(*_T, _DAYS, _T_THRESH) + f"\nSELECT SecurityID, date, {q('large_thresh')} FROM th")
+def trade_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.trades(spark, sf_dir)
+    return _figures(trades.thresholds(t, F.col("TradeMoney"), t.select("date")), ["large_thresh"], KEYS[:2])
+
+
+_z = lambda c: f"coalesce({c}, 0)"
+_GT = (*_T_STATS, "g as (select s.SecurityID, s.date, s.timestamp, s.mid_price, ts.* exclude (SecurityID, date, timestamp) from s left join ts using (SecurityID, date, timestamp))",
+       "gm as (select *, median(coalesce(trade_count, 0)) over (partition by date, timestamp) as med from g)",
+       "gd as (select *, median(abs(coalesce(trade_count, 0) - med)) over (partition by date, timestamp) as mad from gm)")
+_features("trade_features", {
+    "TradeImb": imb(_z("trade_buy_amt"), _z("trade_sell_amt")),
+    "TradeVWAPDev": "case when mid_price > 0 then trade_vwap / mid_price - 1 end",
+    "TradeIntensity": _z("trade_count"),
+    "TradeIntensityZ": "case when mad > 0 then (coalesce(trade_count, 0) - med) / (1.4826 * mad) else 0.0 end",
+    "LargeTradeRatio": imb(_z("trade_large_buy"), _z("trade_large_sell")),
+    "TradePriceDev": "trade_price_dev", "TradePriceDispersion": "trade_price_dispersion",
+    "TradePenetration": rat(f"({_z('pen_buy_amt')} - {_z('pen_sell_amt')})", f"({_z('trade_buy_amt')} + {_z('trade_sell_amt')})"),
+    "ConsecutiveBS": imb(_z("max_consec_buy"), _z("max_consec_sell")),
+    "BuySellCountImb": imb(_z("trade_buy_cnt"), _z("trade_sell_cnt")),
+    "AvgTradeSize": rat(f"({_z('trade_buy_amt')} + {_z('trade_sell_amt')})", _z("trade_count")),
+}, _GT, "gd", ("TradeIntensity",), "trades")
+
+# orders -------------------------------------------------------------------------------------------------------------
+_O = (S, f"o0 as (select *, OrderPrice * Balance as amt, cast(ceil(secs / 3) * 3 as int) as timestamp from ({adapters.ORDER}))", _DAYS.replace("select distinct date from s", "select date from s union select date from o0"))
+_O_THRESH = f"oth as (select t.SecurityID, days.date, t.v as large_thresh from (select SecurityID, date, {_quantile('amt')} as v from o0 group by all) t join days on days.previous = t.date)"
+
+
+def _o_side(s: str, flag: str) -> str:
+    cols = []
+    for kind, code in (("new", "A"), ("cancel", "D")):
+        on = f"OrderType = '{code}' and OrderBSFlag = '{flag}'"
+        cols += [f"coalesce(sum(amt) filter ({on}), 0) as {kind}_{s}_amt", f"count(*) filter ({on}) as {kind}_{s}_cnt", f"coalesce(sum(amt) filter ({on} and amt >= large_thresh), 0) as large_{kind}_{s}", f"count(*) filter ({on} and amt >= large_thresh) as large_{kind}_{s}_cnt"]
+    on = f"OrderType = 'A' and OrderBSFlag = '{flag}' and OrderPrice > 0"
+    d = f"d_{s}"
+    cols += [f"case when sum(Balance) filter ({on}) > 0 then sum(amt) filter ({on}) / sum(Balance) filter ({on}) end as avg_price_new_{s}", f"avg({d}) as avg_depth_{s}", f"count(*) filter (abs({d}) <= 1) as depth_best_{s}", f"count(*) filter (abs({d}) between 1.01 and 5) as depth_near_{s}", f"count(*) filter (abs({d}) > 5) as depth_deep_{s}", f"count({d}) as depth_total_{s}"]
+    return ", ".join(cols)
+
+
+_O_STATS = (
+    *_O, _O_THRESH,
+    f"o1 as (select t.*, b.BidPrice1, b.AskPrice1 from o0 t {_ASOF})",
+    """o2 as (select o1.*, large_thresh, case when OrderType = 'A' and OrderBSFlag = 'B' and OrderPrice > 0 and BidPrice1 > 0 then greatest(least((BidPrice1 - OrderPrice) / 0.01, 500), -500) end as d_buy,
+      case when OrderType = 'A' and OrderBSFlag = 'S' and OrderPrice > 0 and AskPrice1 > 0 then greatest(least((OrderPrice - AskPrice1) / 0.01, 500), -500) end as d_sell from o1 left join oth using (SecurityID, date))""",
+    f"os as (select SecurityID, date, timestamp, count(*) filter (OrderType = 'A' and (OrderPrice is null or OrderPrice <= 0)) as market_order_cnt, {_o_side('buy', 'B')}, {_o_side('sell', 'S')} from o2 group by all)",
+)
+_O_COUNTS = ("market_order_cnt", *(f"{x}_{s}{y}" for s in ("buy", "sell") for x, y in (("new", "_cnt"), ("cancel", "_cnt"), ("large_new", "_cnt"), ("large_cancel", "_cnt"), ("depth_best", ""), ("depth_near", ""), ("depth_deep", ""), ("depth_total", ""))))
+_O_FIGURES = [f"{x}_{s}{y}" for s in ("buy", "sell") for x, y in (("new", "_amt"), ("cancel", "_amt"), ("large_new", ""), ("large_cancel", ""), ("avg_price_new", ""), ("avg_depth", ""))]
+
+
+@query("order_aggregates", _with(*_O_STATS) + "\nSELECT SecurityID, date, timestamp, " + ", ".join([*(q(n) for n in _O_FIGURES), *(f"cast({n} as bigint) as {n}" for n in _O_COUNTS)]) + " FROM os")
+def order_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = orders.aggregate(adapters.orders(spark, sf_dir), adapters.snapshots(spark, sf_dir))
+    return _figures(out, [*_O_FIGURES, *_O_COUNTS], whole=_O_COUNTS)
+
+
+@query("order_thresholds", _with(*_O, _O_THRESH) + f"\nSELECT SecurityID, date, {q('large_thresh')} FROM oth")
+def order_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = adapters.orders(spark, sf_dir)
+    days = o.select("date").union(adapters.snapshots(spark, sf_dir).select("date"))
+    return _figures(trades.thresholds(o, F.col("OrderPrice") * F.col("Balance"), days), ["large_thresh"], KEYS[:2])
+
+
+def _crate(s: str, pre: str = "") -> str:
+    return rat(_z(f"{pre}cancel_{s}_cnt"), f"({_z(f'{pre}new_{s}_cnt')} + {_z(f'{pre}cancel_{s}_cnt')})")
+
+
+_share = lambda w, s: rat(_z(f"depth_{w}_{s}"), _z(f"depth_total_{s}"))
+_side = lambda e: f"(case when mid_price > 0 then ({e}) / mid_price end)"
+_features("order_features", {
+    "CancelRateImb": f"{_crate('buy')} - {_crate('sell')}",
+    "BuyCancelRate": _crate("buy"), "SellCancelRate": _crate("sell"),
+    "LargeBuyCancelRate": _crate("buy", "large_"), "LargeSellCancelRate": _crate("sell", "large_"),
+    "OrderImb": imb(_z("new_buy_amt"), _z("new_sell_amt")),
+    "LargeOrderImb": imb(_z("large_new_buy"), _z("large_new_sell")),
+    "LargeCancelImb": imb(_z("large_cancel_buy"), _z("large_cancel_sell")),
+    "OrderAggress": f"{_side('avg_price_new_buy - mid_price')} - {_side('mid_price - avg_price_new_sell')}",
+    "OrderDepthPos": rat(f"({_z('avg_depth_buy')} - {_z('avg_depth_sell')})", f"(abs({_z('avg_depth_buy')}) + abs({_z('avg_depth_sell')}))"),
+    "OrderDepthBestFrac": f"{_share('best', 'buy')} - {_share('best', 'sell')}",
+    "OrderDepthDeepFrac": f"{_share('deep', 'buy')} - {_share('deep', 'sell')}",
+    "MarketOrderFrac": rat(_z("market_order_cnt"), f"({_z('new_buy_cnt')} + {_z('new_sell_cnt')})"),
+    "OrderArrivalIntensity": f"({_z('new_buy_cnt')} + {_z('new_sell_cnt')}) / 3.0",
+}, (*_O_STATS, "g as (select s.SecurityID, s.date, s.timestamp, s.mid_price, os.* exclude (SecurityID, date, timestamp) from s left join os using (SecurityID, date, timestamp))"), "g", (), "orders")
+
+# cross-sections -----------------------------------------------------------------------------------------------------
+_X = "over (partition by date, timestamp)"
+
+
+@query("standardised", _with(*_FLOWS) + "\nSELECT SecurityID, date, timestamp, " + ", ".join(q(f"case when stddev_samp({c}) {_X} > 1e-6 then ({c} - avg({c}) {_X}) / stddev_samp({c}) {_X} else 0.0 end", c) for c in ("OFI", "OFI_10", "mid_price")) + " FROM o")
+def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = factory.compute(adapters.snapshots(spark, sf_dir), ["OFI", "OFI_10"])
+    return _figures(evaluate.standardise(df, ["OFI", "OFI_10", "mid_price"]), ["OFI", "OFI_10", "mid_price"])
+
+
+_LONG = "long as (" + " union all ".join(f"select SecurityID, date, timestamp, '{n}' as horizon, OFI as p, {_ret(k)} as q from ol" for n, k in _HORIZONS.items()) + ")"
+_IC = (
+    *_FLOWS, "ol as (select *, case when mid_price > 0 then ln(mid_price) end as m from o)", _LONG,
+    "ranked as (select date, timestamp, horizon, rank() over (w order by p) + (count(*) over (partition by date, timestamp, horizon, p) - 1) / 2.0 as rp, rank() over (w order by q) + (count(*) over (partition by date, timestamp, horizon, q) - 1) / 2.0 as rq from long where p is not null and q is not null window w as (partition by date, timestamp, horizon))",
+    "ic as (select horizon, date, timestamp, count(*) as n_stocks, covar_samp(rp, rq) / nullif(stddev_samp(rp) * stddev_samp(rq), 0) as rank_ic from ranked group by all having count(*) >= 10 and stddev_samp(rp) * stddev_samp(rq) > 0)",
+)
+_SUMMARY = f"{q('avg(rank_ic)', 'mean_ic')}, {q('stddev_pop(rank_ic)', 'std_ic')}, {q('avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8)', 'icir')}, {q('avg(case when rank_ic > 0 then 1.0 else 0.0 end)', 'win_rate')}, count(*) as n_buckets"
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.add_labels(factory.compute(adapters.snapshots(spark, sf_dir), ["OFI"]))
+
+
+@query("rank_ic", _with(*_IC) + f"\nSELECT date, timestamp, n_stocks, {q('rank_ic')} FROM ic WHERE horizon = 'ret_15s'")
+def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(evaluate.rank_ic(_predicted(spark, sf_dir), "OFI", "ret_15s"), ["n_stocks", "rank_ic"], ["date", "timestamp"], ("n_stocks",))
+
+
+@query("ic_daily", _with(*_IC) + f"\nSELECT date, {q('avg(rank_ic)', 'mean_ic')}, count(*) as n_buckets FROM ic WHERE horizon = 'ret_15s' GROUP BY date")
+def ic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(evaluate.daily(evaluate.rank_ic(_predicted(spark, sf_dir), "OFI", "ret_15s")), ["mean_ic", "n_buckets"], ["date"], ("n_buckets",))
+
+
+@query("ic_by_horizon", _with(*_IC) + f"\nSELECT horizon, {_SUMMARY} FROM ic GROUP BY horizon")
+def ic_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(evaluate.by_horizon(_predicted(spark, sf_dir), "OFI", list(_HORIZONS)), ["mean_ic", "std_ic", "icir", "win_rate", "n_buckets"], ["horizon"], ("n_buckets",))
+
+
+_XS = ("OFI_1", "OFI", "OFI_10")
+_ENTRIES = [(i, j) for i in range(3) for j in range(i, 3)]
+_sym = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+_square = ", ".join(f"({' + '.join(f'{_sym(i, k)} * {_sym(k, j)}' for k in range(3))}) / pow(m00 + m11 + m22, 2) as m{i}{j}" for i, j in _ENTRIES)
+_PCA = (
+    *_FLOWS,
+    f"pz as (select date, timestamp, count(*) as n, {', '.join(f'avg({c}) as a{i}, case when stddev_pop({c}) < 1e-10 then 1.0 else stddev_pop({c}) end as d{i}' for i, c in enumerate(_XS))}, {', '.join(f'covar_pop({_XS[i]}, {_XS[j]}) as k{i}{j}' for i, j in _ENTRIES)} from o where {' and '.join(f'{c} is not null' for c in _XS)} group by date, timestamp having count(*) >= 20)",
+    f"pc as (select date, timestamp, a0, a1, a2, d0, d1, d2, {', '.join(f'k{i}{j} * n / (n - 1) / (d{i} * d{j}) as c{i}{j}' for i, j in _ENTRIES)} from pz)",
+    f"pw as (select date, timestamp, 0 as step, {', '.join(f'c{i}{j} as m{i}{j}' for i, j in _ENTRIES)} from pc union all select date, timestamp, step + 1, {_square} from pw where step < 24)",
+    "pv as (select date, timestamp, case when m11 >= m00 and m11 >= m22 then m01 when m00 >= m22 then m00 else m02 end as x0, case when m11 >= m00 and m11 >= m22 then m11 when m00 >= m22 then m01 else m12 end as x1, case when m11 >= m00 and m11 >= m22 then m12 when m00 >= m22 then m02 else m22 end as x2 from pw where step = 24)",
+    "pn as (select date, timestamp, x0 / l * sg as v0, x1 / l * sg as v1, x2 / l * sg as v2 from (select *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) as l, case when x1 < 0 then -1.0 else 1.0 end as sg from pv))",
+    "pe as (select pc.*, v0, v1, v2, greatest(v0*v0*c00 + v1*v1*c11 + v2*v2*c22 + 2*v0*v1*c01 + 2*v0*v2*c02 + 2*v1*v2*c12, 0) / greatest(c00 + c11 + c22, 1e-12) as share from pc join pn using (date, timestamp))",
+    "pj as (select o.SecurityID, o.date, o.timestamp, share, v0, v1, v2, (OFI_1 - a0) / d0 as z0, (OFI - a1) / d1 as z1, (OFI_10 - a2) / d2 as z2 from o left join pe using (date, timestamp))",
+    "pp as (select *, z0 * v0 + z1 * v1 + z2 * v2 as f from pj)",
+)
+# 1e-6 is finer than two eigensolvers agree to where eigenvalues are close: 1e-4 here
+_coarse = lambda x, name: f"floor(cast({x} as double) * 10000 + {SHIFT}) / cast(10000 as double) + 0.0 as {name}"
+
+
+@query("flow_pca", _with(*_PCA) + f"\nSELECT SecurityID, date, timestamp, {_coarse('f', 'OFI_PC1')}, {_coarse('sqrt(pow(z0 - f * v0, 2) + pow(z1 - f * v1, 2) + pow(z2 - f * v2, 2))', 'OFI_Residual')}, {_coarse('case when z0 is not null and z1 is not null and z2 is not null then share end', 'OFI_PC1_Var')} FROM pp")
+def flow_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = factory.compute(adapters.snapshots(spark, sf_dir), list(pca.OUTPUTS))
+    return df.select(*KEYS, *[(F.floor(F.col(c) * 10000 + SHIFT) / F.lit(10000.0) + 0.0).alias(c) for c in pca.OUTPUTS])
+
+
+@query("snapshot_grid", _with(S) + f"\nSELECT SecurityID, date, timestamp, {q('secs')}, {', '.join(q(c) for i in (1, 5, 10) for c in (f'BidPrice{i}', f'AskPrice{i}', f'BidVolume{i}', f'AskVolume{i}'))} FROM s")
+def snapshot_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _figures(adapters.snapshots(spark, sf_dir), ["secs", *[f"{c}{i}" for i in (1, 5, 10) for c in ("BidPrice", "AskPrice", "BidVolume", "AskVolume")]])
+
+
+@query("run_statistics", _with(S) + "\nSELECT date, count(*) AS n_rows, count(DISTINCT SecurityID) AS n_stocks, count(DISTINCT timestamp) AS n_buckets FROM s GROUP BY date")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.snapshots(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n_rows"), F.countDistinct("SecurityID").alias("n_stocks"), F.countDistinct("timestamp").alias("n_buckets"))
+
+
+@query("stock_ids", _with(S) + "\nSELECT SecurityID, cast(dense_rank() over (order by SecurityID) - 1 as int) as stock_id FROM (select distinct SecurityID from s)")
+def stock_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.add_stock_id(adapters.snapshots(spark, sf_dir).select("SecurityID").distinct())
+
+
+@query("nearest_quantiles", f"SELECT l_suppkey, {q(_quantile('l_extendedprice'), 'q90')} FROM lineitem GROUP BY l_suppkey")
+def nearest_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(on_grid(nearest_quantile(F.col("l_extendedprice"), 0.9)).alias("q90"))
+
+
+@query("walk_forward_predictions")
+def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the first day, validated on its last sections, tested on the second day; a model, so rows only."""
+    names = ["OFI", "OBI", "Spread"]
+    df = model.add_stock_id(labels.add_labels(factory.compute(adapters.snapshots(spark, sf_dir), names)))
+    first, second = df.where("date = '20240102'"), df.where("date = '20240103'")
+    fitted = model.AlphaModel(names, rounds=5, depth=3, least=20).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
+    return fitted.predict(second).select(*KEYS, "prediction")
