@@ -45,8 +45,7 @@ def _mixed(tokens: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """For each text (bytes, A-Z lowered): the sorted hashes of its distinct shingles; the whole text's if it has fewer words."""
-    lowered = pa.array([t.lower() for t in texts.to_pylist()], pa.binary())  # of bytes: A-Z only
-    hashes, sizes = word_hashes(lowered)
+    hashes, sizes = word_hashes(texts, lower=True)
     at = np.cumsum(sizes) - sizes
     grams = repeats.gram_hashes(hashes, shingle)
     return [np.unique(grams[a : a + n - shingle + 1]) if n >= shingle else repeats.gram_hashes(hashes[a : a + n], int(n)) + np.uint64(n) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
@@ -123,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in repeats._batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), shingle)], pa.binary())], names=["class", "tokens"])
 
-    tokens = texts.join(wanted.distinct().withColumnRenamed("class", "row"), "row").select("row", "text").mapInArrow(full, "class bigint, tokens binary")
+    tokens = texts.join(wanted.distinct().withColumnRenamed("class", "row").hint("merge"), "row").select("row", "text").mapInArrow(full, "class bigint, tokens binary")
     tokens = shared.write_out(tokens, "tokens")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

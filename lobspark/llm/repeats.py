@@ -186,8 +186,11 @@ def marks(texts: DataFrame, kind: Kind, group: int = GROUP) -> DataFrame:
     if some:
         marked = marked.unionByName(_one_by_one(distinct.join(large, "g").select(*columns), kind))
     marked = shared.write_out(marked, "marks")
+    shared.drop(distinct, large)
     back = copies.select("row", "ord", "first", "n", "g", "k1", "k2").join(marked, ["g", "k1", "k2"])
-    return back.groupBy("row").agg(F.collect_list(F.struct("first", "n", "ord", "mark")).alias("runs"))
+    back = shared.write_out(back.groupBy("row").agg(F.collect_list(F.struct("first", "n", "ord", "mark")).alias("runs")), "back")
+    shared.drop(copies, marked)
+    return back
 
 
 def _one_by_one(distinct: DataFrame, kind: Kind) -> DataFrame:

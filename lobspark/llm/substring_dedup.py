@@ -11,49 +11,77 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, shared
 
 WINDOW = 13
-GRAM = 3
-KEPT = 1_000_000
+GRAM = 4
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        h = self[word] = int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
-        return h
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_VALUES = np.random.default_rng(77).integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 
 
-_hashes = _Hashes()
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x)], dtype=np.uint64) for x in (_ODD, _INVERSE))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    cut = [t.split() for t in texts.to_pylist()]  # of bytes: splits at \x20 and \x09-\x0D only
-    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum())).view(np.uint64), sizes
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (without \\x20 and \\x09-\\x0D) of texts in bytes, and how many each text has.
+
+    A word's hash is the sum of its bytes' values times powers of an odd number, counted from its start; all are taken
+    from one running sum. lower: of the text with A-Z lowered.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    inside = ~_SPACE[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edges = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    begin[edges] = inside[edges]
+    end[edges - 1] = inside[edges - 1]
+    start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size = 1 << max(16, int(len(data) - 1).bit_length())
+    up, down = _powers(size)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
+    h = (total[stop] - total[start]) * down[start]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32), np.diff(np.searchsorted(start, offsets))
 
 
 def grow(words: np.ndarray, starts: np.ndarray, branch: np.ndarray, depth: int, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix (a place in words, in a branch of its own anchor): the count and smallest id of its node at depth."""
+    """For each suffix (a place in words, in a branch of its own anchor): the count and smallest id of its node at depth.
+
+    Branches grow by up to two words a level, as many as fit a key. words are numbers from 0.
+    """
     total, least = count.copy(), low.copy()
-    alive, size = np.arange(len(starts)), int(words.max(initial=0)) + 1
-    for level in range(depth + 1):
+    alive, width, level = np.arange(len(starts)), int(words.max(initial=0)) + 1, 0
+    while len(alive):
         _, branch, many = np.unique(branch, return_inverse=True, return_counts=True)
         inner = many[branch] > 1
         alive, branch = alive[inner], branch[inner]
-        if not len(alive) or level == depth:
+        if level == depth:
             break
-        branch = branch * size + words[starts[alive] + level]
+        for _ in range(2 if width**2 * (len(alive) + 1) < 1 << 62 and depth - level > 1 else 1):
+            branch = branch * width + words[starts[alive] + level]
+            level += 1
     if len(alive):
         order = np.argsort(branch, kind="stable")
         first = np.flatnonzero(np.r_[True, branch[order][1:] != branch[order][:-1]])
@@ -65,16 +93,31 @@ def grow(words: np.ndarray, starts: np.ndarray, branch: np.ndarray, depth: int,
 
 def _solve(window: int):
     def solve(rows: list[tuple]) -> list[list[int] | None]:
-        number: dict[bytes, int] = {}
-        words = b" ".join([r[8] for r in rows]).split()
-        n = np.array([r[3] for r in rows])
-        at = np.cumsum(n + window - 1) - (n + window - 1)
+        g, _, _, n, a, count, low, high, piece = zip(*rows, strict=True)
+        g, n, a, count, low, high = (np.array(x) for x in (g, n, a, count, low, high))
+        texts = pa.array(piece, pa.binary())
+        hashes, sizes = word_hashes(texts)
+        at = np.cumsum(sizes) - sizes
         own = np.repeat(np.arange(len(rows)), n)
-        starts = at[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        g, low, high, count = (np.array([r[i] for r in rows]) for i in (0, 6, 7, 5))
-        _, least = grow(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64), starts, np.unique(g, return_inverse=True)[1][own], window, low[own], count[own])
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = at[own] + offset
+        # equal windows have their anchors at equal places, and equal hashes: others are leaves from the start
+        root = np.unique(g, return_inverse=True)[1][own] * np.int64(1 << 21) + (a[own] - offset) + (1 << 20)
+        whole = repeats.gram_hashes(hashes, window)[starts] ^ root.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(whole)
+        near = whole[order][1:] == whole[order][:-1]
+        met = np.zeros(len(whole), dtype=bool)
+        met[order[1:][near]] = met[order[:-1][near]] = True
+        least = low[own].copy()
+        pick = np.flatnonzero(met)
+        if len(pick):
+            number: dict[bytes, int] = {}
+            words = np.fromiter((number.setdefault(w, len(number)) for w in b" ".join(piece).split()), dtype=np.int64, count=len(hashes))
+            branch = np.unique(root[pick], return_inverse=True)[1]
+            least[pick] = grow(words, starts[pick], branch, window, least[pick], count[own][pick])[1]
         ends = np.cumsum(n)
-        return [least[e - k : e].tolist() if (least[e - k : e] < h).any() else None for e, k, h in zip(ends, n, high, strict=True)]
+        some = np.add.reduceat(least < high[own], ends - n) > 0
+        return [least[e - k : e].tolist() if s else None for e, k, s in zip(ends.tolist(), n.tolist(), some.tolist(), strict=True)]
 
     return solve
 
