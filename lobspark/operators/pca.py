@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import PCA_MIN_STOCKS
 from ..functions.nulls import total
@@ -19,7 +20,7 @@ INPUTS = ("OFI_1", "OFI", "OFI_10")
 OUTPUTS = ("OFI_PC1", "OFI_Residual", "OFI_PC1_Var")
 
 
-@F.pandas_udf("struct<l0: double, l1: double, l2: double, share: double>")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("l0", "l1", "l2", "share")]))
 def _leading(c00: pd.Series, c01: pd.Series, c02: pd.Series, c11: pd.Series, c12: pd.Series, c22: pd.Series) -> pd.DataFrame:
     m = np.stack([np.stack([c00, c01, c02], -1), np.stack([c01, c11, c12], -1), np.stack([c02, c12, c22], -1)], -2)
     values, vectors = np.linalg.eigh(m)

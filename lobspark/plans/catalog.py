@@ -149,13 +149,13 @@ _B3, _A3 = plus(BIDS[:3]), plus(ASKS[:3])
 _features("price_limits", {
     "LimitUpDist": "case when hi > 0 then (hi - LastPrice) / hi end",
     "LimitDownDist": "case when LastPrice > 0 then (LastPrice - lo) / LastPrice end",
-    "IsLimitUp": "up", "IsLimitDown": "down",
+    "IsLimitUp": "cast(up as int)", "IsLimitDown": "cast(down as int)",
     "LimitBlockAmt": "case when up then BidVolume1 * BidPrice1 when down then AskVolume1 * AskPrice1 else 0.0 end",
-    "NearLimitUp": "near_up", "NearLimitDown": "near_down",
-    "IsGapLimitUp": "(up and up0)", "IsGapLimitDown": "(down and down0)",
+    "NearLimitUp": "cast(near_up as int)", "NearLimitDown": "cast(near_down as int)",
+    "IsGapLimitUp": "cast((up and up0) as int)", "IsGapLimitDown": "cast((down and down0) as int)",
     "LimitAskScarcity": f"case when near_up and {_B3} + {_A3} > 0 then 1.0 - {_A3} / ({_B3} + {_A3}) else 0.0 end",
     "LimitBidScarcity": f"case when near_down and {_B3} + {_A3} > 0 then 1.0 - {_B3} / ({_B3} + {_A3}) else 0.0 end",
-}, _LIMITS, "c", ("IsLimitUp", "IsLimitDown", "NearLimitUp", "NearLimitDown", "IsGapLimitUp", "IsGapLimitDown"))
+}, _LIMITS, "c")
 
 
 def _flow(i: int) -> str:
@@ -379,15 +379,15 @@ def ic_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 _XS = ("OFI_1", "OFI", "OFI_10")
 _ENTRIES = [(i, j) for i in range(3) for j in range(i, 3)]
 _sym = lambda i, j: f"m{min(i, j)}{max(i, j)}"
-_square = ", ".join(f"({' + '.join(f'{_sym(i, k)} * {_sym(k, j)}' for k in range(3))}) / pow(m00 + m11 + m22, 2) as m{i}{j}" for i, j in _ENTRIES)
+_square = ", ".join(f"({' + '.join(f'{_sym(i, k)} * {_sym(k, j)}' for k in range(3))}) / nullif(pow(m00 + m11 + m22, 2), 0) as m{i}{j}" for i, j in _ENTRIES)
 _PCA = (
     *_FLOWS,
     f"pz as (select date, timestamp, count(*) as n, {', '.join(f'avg({c}) as a{i}, case when stddev_pop({c}) < 1e-10 then 1.0 else stddev_pop({c}) end as d{i}' for i, c in enumerate(_XS))}, {', '.join(f'covar_pop({_XS[i]}, {_XS[j]}) as k{i}{j}' for i, j in _ENTRIES)} from o where {' and '.join(f'{c} is not null' for c in _XS)} group by date, timestamp having count(*) >= 20)",
     f"pc as (select date, timestamp, a0, a1, a2, d0, d1, d2, {', '.join(f'k{i}{j} * n / (n - 1) / (d{i} * d{j}) as c{i}{j}' for i, j in _ENTRIES)} from pz)",
     f"pw as (select date, timestamp, 0 as step, {', '.join(f'c{i}{j} as m{i}{j}' for i, j in _ENTRIES)} from pc union all select date, timestamp, step + 1, {_square} from pw where step < 24)",
     "pv as (select date, timestamp, case when m11 >= m00 and m11 >= m22 then m01 when m00 >= m22 then m00 else m02 end as x0, case when m11 >= m00 and m11 >= m22 then m11 when m00 >= m22 then m01 else m12 end as x1, case when m11 >= m00 and m11 >= m22 then m12 when m00 >= m22 then m02 else m22 end as x2 from pw where step = 24)",
-    "pn as (select date, timestamp, x0 / l * sg as v0, x1 / l * sg as v1, x2 / l * sg as v2 from (select *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) as l, case when x1 < 0 then -1.0 else 1.0 end as sg from pv))",
-    "pe as (select pc.*, v0, v1, v2, greatest(v0*v0*c00 + v1*v1*c11 + v2*v2*c22 + 2*v0*v1*c01 + 2*v0*v2*c02 + 2*v1*v2*c12, 0) / greatest(c00 + c11 + c22, 1e-12) as share from pc join pn using (date, timestamp))",
+    "pn as (select date, timestamp, x0 / l * sg as v0, x1 / l * sg as v1, x2 / l * sg as v2 from (select *, nullif(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 0) as l, case when x1 < 0 then -1.0 else 1.0 end as sg from pv))",
+    "pe as (select pc.*, coalesce(v0, 0) as v0, coalesce(v1, 0) as v1, coalesce(v2, 0) as v2, coalesce(greatest(v0*v0*c00 + v1*v1*c11 + v2*v2*c22 + 2*v0*v1*c01 + 2*v0*v2*c02 + 2*v1*v2*c12, 0) / greatest(c00 + c11 + c22, 1e-12), 0) as share from pc join pn using (date, timestamp))",
     "pj as (select o.SecurityID, o.date, o.timestamp, share, v0, v1, v2, (OFI_1 - a0) / d0 as z0, (OFI - a1) / d1 as z1, (OFI_10 - a2) / d2 as z2 from o left join pe using (date, timestamp))",
     "pp as (select *, z0 * v0 + z1 * v1 + z2 * v2 as f from pj)",
 )
