@@ -88,14 +88,14 @@ def run_day(factory: Factory, date: str, names: list[str] | None = None) -> dict
     return {"df": df, "features": list(names or available()), "rows": df.count(), "stocks": df.select("SecurityID").distinct().count()}
 
 
-def run_range(factory: Factory, start: str, end: str, target: str = "ret_15s", names: list[str] | None = None, folds: int = 1, rounds: int = 20) -> dict:
-    """Walk-forward training and the rank correlations of all horizons on the test dates."""
+def run_range(factory: Factory, start: str, end: str, target: str = "ret_15s", names: list[str] | None = None, folds: int = 1, **options: object) -> dict:
+    """Walk-forward training and the rank correlations of all horizons on the test dates. options: those of AlphaModel."""
     names = list(names or available())
     dates = factory.data.dates(start, end)
     parts = model.walk_forward(dates, folds)
     if not parts:
         raise SystemExit(f"{len(dates)} dates are too few for a fold")
     df = model.add_stock_id(factory.compute(dates, names))
-    predicted = model.fit_walk_forward(df, model.AlphaModel(names, target, rounds=rounds), parts)
+    predicted = model.fit_walk_forward(df, model.AlphaModel(names, target, **options), parts)
     horizons = [c for c in df.columns if c.startswith("ret_")]
     return {k: evaluate.by_horizon(p, "prediction", horizons) for k, p in predicted.items()}
