@@ -62,8 +62,3 @@ def nearest_quantile(x: Column, q: float) -> Column:
     """
     values = F.array_sort(F.collect_list(x))
     return F.try_element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1) + 0.5) + 1).cast("int"))
-
-
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation in an aggregate; null where a side is constant."""
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))

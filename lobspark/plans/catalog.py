@@ -352,7 +352,7 @@ _LONG = "long as (" + " union all ".join(f"select SecurityID, date, timestamp, '
 _IC = (
     *_FLOWS, "ol as (select *, case when mid_price > 0 then ln(mid_price) end as m from o)", _LONG,
     "ranked as (select date, timestamp, horizon, rank() over (w order by p) + (count(*) over (partition by date, timestamp, horizon, p) - 1) / 2.0 as rp, rank() over (w order by q) + (count(*) over (partition by date, timestamp, horizon, q) - 1) / 2.0 as rq from long where p is not null and q is not null window w as (partition by date, timestamp, horizon))",
-    "ic as (select horizon, date, timestamp, count(*) as n_stocks, covar_samp(rp, rq) / nullif(stddev_samp(rp) * stddev_samp(rq), 0) as rank_ic from ranked group by all having count(*) >= 10 and stddev_samp(rp) * stddev_samp(rq) > 0)",
+    "ic as (select horizon, date, timestamp, count(*) as n_stocks, (count(*) * sum(rp * rq) - sum(rp) * sum(rq)) / nullif(sqrt(count(*) * sum(rp * rp) - sum(rp) * sum(rp)) * sqrt(count(*) * sum(rq * rq) - sum(rq) * sum(rq)), 0) as rank_ic from ranked group by all having count(*) >= 10 and stddev_pop(rp) * stddev_pop(rq) > 0)",
 )
 _SUMMARY = f"{q('avg(rank_ic)', 'mean_ic')}, {q('stddev_pop(rank_ic)', 'std_ic')}, {q('avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8)', 'icir')}, {q('avg(case when rank_ic > 0 then 1.0 else 0.0 end)', 'win_rate')}, count(*) as n_buckets"
 

@@ -18,7 +18,7 @@ def clock(secs, ms=0):
 def snap(stock, k, sz, day):
     secs = 34200 + 3 * k
     row = {"UpdateTime": clock(secs, 500), "SecurityID": stock, "PreCloPrice": 10.0, "OpenPrice": 10.0, "HighPrice": 10.0, "LowPrice": 10.0, "LastPrice": 10.0, "Turnover": 1.0}
-    base = 10 + ((k * 7 + int(stock) + day) % 5) / 100
+    base = 10 + ((k * k + 3 * int(stock) + day) % 7) / 100
     for i in LEVELS:
         row |= {f"BidPrice{i}": base - i / 100, f"AskPrice{i}": base + i / 100, f"BidVolume{i}": float((k + i + int(stock)) % 7 * 100), f"AskVolume{i}": float((k * 3 + i) % 5 * 100), f"NumOrdersB{i}": i, f"NumOrdersS{i}": i + 1}
     if sz:
