@@ -54,5 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of sf_dir."""
     docs = shared.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        mark = shared.written()
+        done = shared.write_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        shared.drop_since(mark, done)  # the stage's own tables; what it returned is in done
+        shared.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -48,7 +48,13 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     hashes, sizes = word_hashes(texts, lower=True)
     at = np.cumsum(sizes) - sizes
     grams = repeats.gram_hashes(hashes, shingle)
-    return [np.unique(grams[a : a + n - shingle + 1]) if n >= shingle else repeats.gram_hashes(hashes[a : a + n], int(n)) + np.uint64(n) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+
+    def one(a: int, n: int) -> np.ndarray:
+        if n >= shingle:
+            return np.unique(grams[a : a + n - shingle + 1])
+        return repeats.gram_hashes(hashes[a : a + n], n) + np.uint64(n) if n else hashes[:0]
+
+    return [one(a, n) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
 
 
 def described(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

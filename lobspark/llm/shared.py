@@ -56,6 +56,19 @@ def drop(*frames: DataFrame) -> None:
             _written.remove(entry)
 
 
+def written() -> int:
+    """How many written tables there are; a mark for drop_since()."""
+    return len(_written)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Removes all tables that were written after the mark, but for those of keep: for callers that hold a written result."""
+    stay = {getattr(df, "_lobspark_path", None) for df in keep}
+    for entry in [x for x in _written[mark:] if x[1] not in stay]:
+        _remove(*entry)
+        _written.remove(entry)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:
