@@ -29,11 +29,11 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(shared.text_or_empty(text), shared.SPACE_CLASS + "+", "")
 
 
-def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _named(distinct: DataFrame, keys: list[str], name: str, *more: str) -> DataFrame:
     """Integers for the distinct rows of keys: sorted within buckets, so one bucket fits a task and no global sort is needed."""
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys))
-    return distinct.withColumn("__bucket", bucket).select(*keys, (F.col("__bucket") * F.lit(1 << 40) + rank).alias(name))
+    return distinct.withColumn("__bucket", bucket).select(*keys, *more, (F.col("__bucket") * F.lit(1 << 40) + rank).alias(name))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
@@ -58,8 +58,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "cells",
         )
         blocks = norm.select(F.explode(cut).alias("block")).select(*digests(seed), "block").distinct()
-        names = blocks.groupBy("h1", "h2").agg(F.count("*").alias("contents"))
-        names = shared.write_out(_named(names, ["h1", "h2"], "name").join(names.where("contents > 1").select("h1", "h2", F.lit(True).alias("clash")), ["h1", "h2"], "left"), "names")
+        names = blocks.groupBy("h1", "h2").agg((F.count("*") > 1).alias("clash"))
+        names = shared.write_out(_named(names, ["h1", "h2"], "name", "clash"), "names")
         if names.where("clash").isEmpty():
             break
         shared.drop(cells, names)
