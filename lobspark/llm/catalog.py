@@ -16,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_exact_topk": knn_join.SQL,

@@ -250,3 +250,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(shared.table(spark, sf_dir, "documents")).drop("spans")
+
+
+SQL = """
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n FROM b
+), s AS (
+  SELECT doc_id, unnest(range(0, n - 199)) AS p, h FROM n
+), k AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS key FROM s
+), r AS (
+  SELECT doc_id, p FROM k JOIN (SELECT key FROM k GROUP BY key HAVING count(*) > 1) USING (key)
+), i AS (
+  SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS opens FROM r
+), j AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM i
+), spans AS (
+  SELECT doc_id, span, min(p) AS a, max(p) + 200 AS z FROM j GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), kept AS (
+  SELECT g.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h
+  FROM gaps g JOIN n USING (doc_id) GROUP BY g.doc_id
+)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
