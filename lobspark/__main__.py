@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--no-cache", action="store_true")
     p.add_argument("--store", default=None)
     args = p.parse_args(argv)
-    spark = SparkSession.builder.appName("lobspark").getOrCreate()
+    spark = SparkSession.builder.appName("lobspark").config("spark.sql.requireAllClusterKeysForCoPartition", "false").getOrCreate()
     store = FeatureStore(spark, args.store or f"{args.root.rstrip('/')}/features")
     factory = Factory(MarketData(spark, args.root), None if args.no_cache else store)
     names = args.features or available()

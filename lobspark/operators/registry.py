@@ -16,18 +16,19 @@ class Feature:
     needs: tuple[str, ...] = ()  # other features and helpers
     source: str = "grid"  # grid; trades or orders: aggregates joined to the grid; section: cross-sections
     helper: bool = False
+    section: bool = False  # built on a window over a cross-section
 
 
 FEATURES: dict[str, Feature] = {}
 
 
-def feature(name: str, requires: Iterable[str] = (), needs: Iterable[str] = (), source: str = "grid", helper: bool = False) -> Callable:
+def feature(name: str, requires: Iterable[str] = (), needs: Iterable[str] = (), source: str = "grid", helper: bool = False, section: bool = False) -> Callable:
     """Registers a Column builder under a name; user-defined features use it too."""
 
     def register(build: Callable[[], Column]) -> Callable[[], Column]:
         if name in FEATURES:
             raise ValueError(f"{name} is registered already")
-        FEATURES[name] = Feature(name, build, tuple(requires), tuple(needs), source, helper)
+        FEATURES[name] = Feature(name, build, tuple(requires), tuple(needs), source, helper, section)
         return build
 
     return register
@@ -60,6 +61,15 @@ def required_columns(names: Iterable[str]) -> set[str]:
     return {c for level in closure(names) for f in level for c in f.requires}
 
 
+def by_stage(levels: list[list[Feature]]) -> list[list[Feature]]:
+    """Levels with all that needs a cross-section last, so that data keyed by stock isn't dealt out again in between."""
+    late: set[str] = set()
+    for level in levels:
+        late |= {f.name for f in level if f.section or late.intersection(f.needs)}
+    parts = [[[f for f in level if (f.name in late) == is_late] for level in levels] for is_late in (False, True)]
+    return [level for part in parts for level in part if level]
+
+
 def apply(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df with the named grid, trade and order features; helpers don't stay."""
     names = list(names)
@@ -68,6 +78,6 @@ def apply(df: DataFrame, names: Iterable[str]) -> DataFrame:
     if missing:
         raise KeyError(f"missing columns: {', '.join(missing)}")
     base = df.columns
-    for level in levels:
+    for level in by_stage(levels):
         df = df.withColumns({f.name: f.build() for f in level if f.name not in base})
     return df.select(*base, *[n for n in names if n not in base])

@@ -110,12 +110,12 @@ def trade_intensity() -> Column:
     return F.coalesce(F.col("trade_count"), F.lit(0)).cast("long")
 
 
-@feature("__median", ["trade_count"], needs=["TradeIntensity"], helper=True, **TRADE)
+@feature("__median", ["trade_count"], needs=["TradeIntensity"], helper=True, section=True, **TRADE)
 def section_median() -> Column:
     return F.median("TradeIntensity").over(Window.partitionBy(*SECTION))
 
 
-@feature("__mad", needs=["TradeIntensity", "__median"], helper=True, **TRADE)
+@feature("__mad", needs=["TradeIntensity", "__median"], helper=True, section=True, **TRADE)
 def section_mad() -> Column:
     return F.median(F.abs(F.col("TradeIntensity") - F.col("__median"))).over(Window.partitionBy(*SECTION))
 
