@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.85 of their word shingles, the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 of their word shingles, the one with the smallest id stays."""
     return near_dedup.keep_one(docs)
 
 

@@ -5,8 +5,8 @@ down independent trees: at a node every class selects the BRANCH tokens of its s
 and level) and goes to one child for each. Children of one class end. Nodes of at most LEAF classes are compared
 exhaustively; larger ones branch again, and what is still large at the last level, or doesn't get smaller by branching,
 is compared exhaustively too, in pairs of blocks that are tasks of their own. A pair with similarity s misses one level of
-a tree with a chance of about (1 - s) ** BRANCH, and must miss it in every tree to be lost: at 0.85, three trees and
-three tokens, 4e-8 for leaves of the first level.
+a tree with a chance of about (1 - s) ** BRANCH, and must miss it in every tree to be lost: with three trees
+and three tokens, 5e-7 at 0.8 and 4e-8 at 0.85 for leaves of the first level.
 
 Exhaustive comparison of a leaf is on 64-byte minwise sketches and set sizes; it passes pairs that might reach the
 similarity (five standard deviations of room), and these are confirmed on full sets. Components are found by the smallest
@@ -30,7 +30,8 @@ from . import repeats, shared
 from .substring_dedup import word_hashes
 
 SHINGLE = 5
-SIMILAR = (85, 100)
+#: What pairs are linked from, where no contract says otherwise, as an exact fraction.
+SIMILAR = (80, 100)
 TREES, LEVELS, BRANCH, LEAF, BLOCK = 3, 3, 3, 256, 512
 SKETCH = 64
 #: A node that keeps this share of its classes together in a child isn't split by branching.
@@ -295,7 +296,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(shared.table(spark, sf_dir, "documents"))
+    return near_duplicates(shared.table(spark, sf_dir, "documents"), similar=(85, 100))
 
 
 SQL = """

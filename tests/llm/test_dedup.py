@@ -106,6 +106,39 @@ def test_near_large_groups_at_leaves_and_in_blocks(spark, leaf):
     assert near(spark, texts, leaf=leaf, block=16) == brute_components(texts, range(len(texts)))
 
 
+def stage_corpus():
+    """Texts and copies with words changed far apart; pairs from 0.80 to below 0.85, at 0.80 exactly, below it and above."""
+    rnd, out = random.Random(12), []
+    for n, changed in [(200, 4)] * 6 + [(220, 4)] * 3 + [(184, 4)] * 2 + [(200, 5)] * 3 + [(200, 3)] * 3:
+        w = [f"v{rnd.randrange(10**7)}" for _ in range(n)]
+        copy = list(w)
+        for k in range(changed):
+            copy[20 + 40 * k] = f"z{rnd.randrange(10**7)}"
+        out += [" ".join(w), " ".join(copy)]
+    return out
+
+
+def brute_kept(texts, least):
+    """The first of each component at a similarity of least hundredths, by exact integers."""
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if label[i] != label[j] and 100 * len(a & b) >= least * len(a | b) > 0:
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return set(label)
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    texts = stage_corpus()
+    assert len(brute_kept(texts, 80)) < len(brute_kept(texts, 85)) < len(texts)  # pairs are planted between
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()} == brute_kept(texts, 80)
+    assert {r["doc_id"] for r in near_dedup.near_duplicates(docs(spark, texts)).where("kept").collect()} == brute_kept(texts, 80)
+    assert {r["doc_id"] for r in near_dedup.near_duplicates(docs(spark, texts), similar=(85, 100)).where("kept").collect()} == brute_kept(texts, 85)
+
+
 def test_near_null_and_repeated_ids(spark):
     rows = near_dedup.near_duplicates(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, "q"], [9, 9, None, None, 3])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("3", "3", True), ("9", "9", True), ("9", "9", True), ("None", "9", False), ("None", "None", True)]
