@@ -79,7 +79,7 @@ def gram_hashes(v: np.ndarray, gram: int) -> np.ndarray:
 def runs(hashes: np.ndarray, sizes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor, text, first window, windows, anchor's place in the run) of all runs of texts with so many elements each."""
     begin, found = np.cumsum(sizes) - sizes, []
-    step = SEGMENT - size
+    step = SEGMENT - size + 1  # the windows of a full segment: each lies in one segment only
     segments = [(t, s, min(s + SEGMENT, n)) for t, n in enumerate(sizes.tolist()) for s in range(0, max(1, n - size + 1), step) if n >= size]
     for k in range(0, len(segments), 2000):
         part = segments[k : k + 2000]

@@ -214,6 +214,26 @@ def test_texts_longer_than_a_segment(spark, monkeypatch):
     assert key(0) == key(1)
 
 
+def test_each_window_of_a_long_text_has_one_run(monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 512)
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (511, 512, 513, 984, 985, 986, 5000):
+        _, t, first, many, _ = repeats.runs(rnd.integers(0, 4, n).astype(np.uint64), np.array([n]), 40, 8)
+        assert sorted(int(f) + k for f, m in zip(first, many, strict=True) for k in range(m)) == list(range(n - 39))
+
+
+def test_bytes_of_a_text_longer_than_a_segment(spark):
+    rnd = random.Random(6)
+    text = "".join(rnd.choices("abcdefgh", k=repeats.SEGMENT + 3000))
+    texts = [text, "x" + text[5000:5300] + "y", text[: repeats.SEGMENT - 150][-250:]]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()}
+    assert got == brute_bytes(texts, 200)
+    alone = suffix_dedup.suffix_dedup(docs(spark, [text])).first()
+    assert (alone["n_removed"], alone["n_spans"], alone["kept_sha256"]) == (0, 0, hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     for run in (exact_dedup.exact_dedup, near_dedup.near_duplicates, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, exact_dedup.keep_first, near_dedup.keep_one):
