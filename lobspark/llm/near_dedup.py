@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two rows are linked when intersection / union of their sets is at least similar[0] / similar[1]. Null texts and texts
     without words have empty sets, linked with nothing. Null ids come after all others: they are component_id only where
     a component has no other. Repeated rows are linked like any equal sets. Other columns aren't read. With row_col, a unique number
-    of each row, the result has it too, as row.
+    of each row, the result has it too, as row, with the component's own number and the id's order (component, ord).
     """
     texts = repeats.base(docs, id_col, text_col, row_col)
     ids = texts.schema["id"].dataType
@@ -148,12 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = shared.write_out(links, "links")
     labels = components(links)
     least = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = least.join(least.groupBy("label").agg(F.min("least").alias("first")), "label").select("f1", "f2", "first")
+    least = least.join(least.groupBy("label").agg(F.min("least").alias("first")), "label").select("f1", "f2", "first", "label")
     names = texts.select("row", "id")
     out = sets.select("row", "ord", "n", "f1", "f2").join(least, ["f1", "f2"], "left").join(names, "row")
     first = F.coalesce(F.when(F.col("n") > 0, F.col("first")), F.col("ord"))
     component = F.when(first < F.lit(repeats.LAST), first).cast(ids)
-    return out.select(*["row"] * bool(row_col), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    numbers = ["row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")).alias("component"), "ord"] if row_col else []
+    return out.select(*numbers, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int, block: int) -> tuple[DataFrame, DataFrame | None]:
@@ -288,10 +289,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each component (null ids: all), with docs' columns."""
+    """The rows of docs that stay, with docs' columns: of each component the one with the smallest id (null ids last), then row."""
     numbered = shared.write_out(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(numbered, id_col, text_col, row_col="__row").where("kept")
-    stay = found.groupBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col("row")).alias("own")).agg(F.min("row").alias("__row")).select("__row")
+    found = near_duplicates(numbered, id_col, text_col, row_col="__row")
+    stay = found.groupBy("component").agg(F.min(F.struct("ord", "row")).alias("first")).select(F.col("first.row").alias("__row"))
     return numbered.join(stay, "__row").select(*docs.columns)
 
 

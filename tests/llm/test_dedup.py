@@ -146,6 +146,14 @@ def test_near_null_and_repeated_ids(spark):
     assert kept.count() == 3 and kept.columns == docs(spark, []).columns
 
 
+def test_near_stage_keeps_unlinked_rows_of_an_id_and_one_of_null_ids(spark):
+    w = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(w), " ".join([*w[:-1], "end"]), " ".join(f"c{k}" for k in range(60))
+    d, e = c + " more", "quite another text of seven words"
+    kept = near_dedup.keep_one(docs(spark, [a, b, c, d, e, e + " x", "", ""], [None, None, 7, 9, 7, 4, 5, 5])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", next(r["text"] for r in kept if r["doc_id"] is None)), ("7", c), ("7", e), ("4", e + " x"), ("5", ""), ("5", "")])
+
+
 def brute_words(texts, ids, window):
     first, cut = {}, [WORD.findall(t or "") for t in texts]
     for i, w in zip(ids, cut, strict=True):
