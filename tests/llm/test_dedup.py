@@ -154,6 +154,32 @@ def test_near_stage_keeps_unlinked_rows_of_an_id_and_one_of_null_ids(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", next(r["text"] for r in kept if r["doc_id"] is None)), ("7", c), ("7", e), ("4", e + " x"), ("5", ""), ("5", "")])
 
 
+@pytest.mark.parametrize("similar", [(80, 100), (85, 100), (1, 2), (99, 100), (1, 1)])
+def test_sketches_miss_less_than_the_trees(similar):
+    from math import comb
+
+    s, n, cut = similar[0] / similar[1], near_dedup.SKETCH, near_dedup._cut(similar)
+    assert sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(cut)) <= (1 - s) ** (near_dedup.BRANCH * near_dedup.TREES)
+    sketch = [[1] * n, [1] * cut + [2] * (n - cut)]
+    import numpy as np
+
+    assert near_dedup._alike(np.array([9, 9]), np.array([9, 9]), np.array(sketch), np.array(sketch), similar).all()
+
+
+def test_large_nodes_with_other_members_stay_apart(spark):
+    from itertools import combinations
+
+    hashes = [r[0] for r in spark.sql("select mod(xxhash64(id), 1000000007) from range(2000)").collect()]
+    seen = {}
+    for pair in combinations(range(2000), 2):  # two nodes that a sum of the hashes doesn't tell apart
+        other = seen.setdefault(hashes[pair[0]] + hashes[pair[1]], pair)
+        if other != pair:
+            break
+    large = spark.createDataFrame([(n, c) for n, x in ((1, other), (2, pair), (3, pair)) for c in x], "node long, class long")
+    found = near_dedup._blocks(large, 512).collect()
+    assert other != pair and {(r["node"], r["class"]) for r in found} == {(n, c) for n, x in ((1, other), (2, pair)) for c in x}
+
+
 def brute_words(texts, ids, window):
     first, cut = {}, [WORD.findall(t or "") for t in texts]
     for i, w in zip(ids, cut, strict=True):
