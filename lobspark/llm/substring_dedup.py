@@ -1,10 +1,12 @@
 """Substring dedup on words by prefix-partitioned suffix trees.
 
-Suffixes (one for each window that may repeat, see repeats.py) are split by prefixes of growing length: a branch of the
-tree is a prefix with its suffixes. Branches with one suffix end; the others grow by a word, until they are as deep as a
-window. The nodes that are left there are the deep internal nodes: all suffixes below one begin with the same window, and
-its count and smallest id hold for each of them. A solver grows the trees of many anchors at once, level by level, in
-arrays; its memory is bounded by the runs it gets, and groups that exceed a bound are split by the longest prefix.
+Suffixes are those that begin at an anchor of repeats.py. They are dealt by a prefix of variable length: the anchor's four
+words, and where too many begin with these, as many more around it as it takes (Kind.widths). Each group is one subtree in
+memory, in two halves: branches to the right of the anchor and to the left, both grown word by word. Branches with one
+suffix end as leaves. A window that starts d words before the anchor is the pair of an inner node of depth d on the left
+and one of depth 13 - d on the right; the suffixes below both are all places of this window. So the deep inner nodes (with
+depths that add up to a window) are the repeats, and their smallest id holds for each of their suffixes; windows that
+follow each other make them maximal. All subtrees of a batch grow together, level by level, in arrays.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import repeats, shared
 
 WINDOW = 13
 GRAM = 4
+#: Bytes whose hashes are taken from one running sum; longer words than LONG are hashed on their own.
+CHUNK, LONG = 1 << 18, 1 << 12
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -39,8 +43,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (without \\x20 and \\x09-\\x0D) of texts in bytes, and how many each text has.
 
-    A word's hash is the sum of its bytes' values times powers of an odd number, counted from its start; all are taken
-    from one running sum. lower: of the text with A-Z lowered.
+    A word's hash is the sum of its bytes' values times powers of an odd number, counted from its start; those of a
+    stretch of text are taken from one running sum. lower: of the text with A-Z lowered.
     """
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, dtype=np.uint8)
@@ -48,7 +52,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
     if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        data = data + ((data - np.uint8(65)) < 26) * np.uint8(32)
     inside = ~_SPACE[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -57,90 +61,100 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     begin[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    size = 1 << max(16, int(len(data) - 1).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
-    h = (total[stop] - total[start]) * down[start]
+    h = np.zeros(len(start), dtype=np.uint64)
+    up, down = _powers(CHUNK + LONG)
+    for s, e in zip(*(x.tolist() for x in _chunks(start, len(data))), strict=True):
+        at = start[s]
+        part = data[at : min(stop[e - 1], at + CHUNK + LONG)]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[part] * up[: len(part)], out=total[1:])
+        near = np.minimum(stop[s:e] - at, len(part))
+        h[s:e] = (total[near] - total[start[s:e] - at]) * down[start[s:e] - at]
+    for k in np.flatnonzero(stop - start > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].tobytes())
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(32), np.diff(np.searchsorted(start, offsets))
 
 
-def grow(words: np.ndarray, starts: np.ndarray, branch: np.ndarray, depth: int, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix (a place in words, in a branch of its own anchor): the count and smallest id of its node at depth.
-
-    Branches grow by up to two words a level, as many as fit a key. words are numbers from 0.
-    """
-    total, least = count.copy(), low.copy()
-    alive, width, level = np.arange(len(starts)), int(words.max(initial=0)) + 1, 0
-    while len(alive):
-        _, branch, many = np.unique(branch, return_inverse=True, return_counts=True)
-        inner = many[branch] > 1
-        alive, branch = alive[inner], branch[inner]
-        if level == depth:
-            break
-        for _ in range(2 if width**2 * (len(alive) + 1) < 1 << 62 and depth - level > 1 else 1):
-            branch = branch * width + words[starts[alive] + level]
-            level += 1
-    if len(alive):
-        order = np.argsort(branch, kind="stable")
-        first = np.flatnonzero(np.r_[True, branch[order][1:] != branch[order][:-1]])
-        node = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-        total[alive[order]] = np.add.reduceat(count[alive[order]], first)[node]
-        least[alive[order]] = np.minimum.reduceat(low[alive[order]], first)[node]
-    return total, least
-
-
-def _solve(window: int):
-    def solve(rows: list[tuple]) -> list[list[int] | None]:
-        g, _, _, n, a, count, low, high, piece = zip(*rows, strict=True)
-        g, n, a, count, low, high = (np.array(x) for x in (g, n, a, count, low, high))
-        texts = pa.array(piece, pa.binary())
-        hashes, sizes = word_hashes(texts)
-        at = np.cumsum(sizes) - sizes
-        own = np.repeat(np.arange(len(rows)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts = at[own] + offset
-        # equal windows have their anchors at equal places, and equal hashes: others are leaves from the start
-        root = np.unique(g, return_inverse=True)[1][own] * np.int64(1 << 21) + (a[own] - offset) + (1 << 20)
-        whole = repeats.gram_hashes(hashes, window)[starts] ^ root.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(whole)
-        near = whole[order][1:] == whole[order][:-1]
-        met = np.zeros(len(whole), dtype=bool)
-        met[order[1:][near]] = met[order[:-1][near]] = True
-        least = low[own].copy()
-        pick = np.flatnonzero(met)
-        if len(pick):
-            number: dict[bytes, int] = {}
-            words = np.fromiter((number.setdefault(w, len(number)) for w in b" ".join(piece).split()), dtype=np.int64, count=len(hashes))
-            branch = np.unique(root[pick], return_inverse=True)[1]
-            least[pick] = grow(words, starts[pick], branch, window, least[pick], count[own][pick])[1]
-        ends = np.cumsum(n)
-        some = np.add.reduceat(least < high[own], ends - n) > 0
-        return [least[e - k : e].tolist() if s else None for e, k, s in zip(ends.tolist(), n.tolist(), some.tolist(), strict=True)]
+def _chunks(start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches [first word, end) of words that begin within CHUNK bytes."""
+    first = np.unique(np.searchsorted(start, np.arange(0, n, CHUNK)))
+    first = first[first < len(start)]
+    return first, np.r_[first[1:], len(start)][: len(first)]
+
+
+def _branch(node: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """The children of nodes by one more word, for each suffix; -1 where a suffix is the only one, or has no such word."""
+    out = np.full(len(node), -1, dtype=np.int64)
+    alive = np.flatnonzero((node >= 0) & (words >= 0))
+    _, child, many = np.unique(node[alive] * width + words[alive], return_inverse=True, return_counts=True)
+    inner = many > 1
+    number = np.cumsum(inner) - 1
+    out[alive] = np.where(inner[child], number[child], -1)
+    return out
+
+
+def smallest_ids(g: np.ndarray, pieces: list[bytes], n: np.ndarray, a: np.ndarray, low: np.ndarray, window: int, most: int) -> np.ndarray:
+    """least[run, d]: the smallest id of the window that starts d words before the anchor, 0 to most, for runs with such a window."""
+    number: dict[bytes, int] = {}
+    cut = [p.split() for p in pieces]
+    sizes = np.array([len(c) for c in cut], dtype=np.int64)
+    words = np.fromiter((number.setdefault(w, len(number)) for c in cut for w in c), dtype=np.int64, count=int(sizes.sum()))
+    at, width = np.cumsum(sizes) - sizes + a, len(number) + 1
+    end = np.cumsum(sizes)
+    word = lambda k: np.where((at + k >= end - sizes) & (at + k < end), words[np.clip(at + k, 0, len(words) - 1)], -1)
+    _, root, many = np.unique(g, return_inverse=True, return_counts=True)
+    root = np.where(many[root] > 1, root, -1)
+    right, left = [root], [root]
+    for k in range(window):
+        right.append(_branch(right[-1], word(k), width))
+    for k in range(most):
+        left.append(_branch(left[-1], word(-1 - k), width))
+    least = np.repeat(low[:, None], most + 1, axis=1)
+    for d in range(most + 1):
+        r, f = right[window - d], left[d]
+        has = np.flatnonzero((r >= 0) & (f >= 0) & (d <= a) & (d > a - n))
+        if len(has):
+            _, node = np.unique(r[has] * (int(f.max()) + 1) + f[has], return_inverse=True)
+            best = np.full(int(node.max()) + 1, repeats.LAST)
+            np.minimum.at(best, node, low[has])
+            least[has, d] = best[node]
+    return least
+
+
+def _solve(window: int, gram: int):
+    def solve(rows: dict) -> list[list[tuple[int, int, int]]]:
+        n, a, high = (rows[c].astype(np.int64) for c in ("n", "a", "high"))
+        least = smallest_ids(rows["g"], rows["piece"], n, a, rows["low"], window, window - gram)
+        d = np.arange(window - gram + 1)
+        there = (d <= a[:, None]) & (d > (a - n)[:, None])
+        hit = there & (least < high[:, None])
+        out: list[list[tuple[int, int, int]]] = [[] for _ in n]
+        run, back = np.nonzero(hit)
+        value, start = least[run, back], a[run] - back
+        order = np.lexsort((start, value, run))
+        for r, v, s in zip(run[order].tolist(), value[order].tolist(), start[order].tolist(), strict=True):
+            held = out[r]
+            if held and held[-1][0] == v:
+                held[-1] = (v, min(held[-1][1], s), max(held[-1][2], s + 1))
+            else:
+                held.append((v, min(held[-1][1], s), max(held[-1][2], s + 1)) if held else (v, s, s + 1))
+        return out
 
     return solve
 
 
 def kind(window: int = WINDOW) -> repeats.Kind:
-    return repeats.Kind(
-        size=window,
-        gram=min(GRAM, window),
-        hashes=word_hashes,
-        parts=bytes.split,
-        piece=lambda words, first, n: b" ".join(words[first : first + n]),
-        repeated="low < high",
-        solve=_solve(window),
-        judge=lambda total, least, high: least.tolist() if (least < high).any() else None,
-    )
+    gram = min(GRAM, window)
+    return repeats.Kind(size=window, gram=gram, hashes=word_hashes, parts=bytes.split, piece=lambda words, first, n: b" ".join(words[first : first + n]), repeated="low < high", widths=(4, 1), solve=_solve(window, gram))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = repeats.GROUP) -> DataFrame:
     """Removes each word that is covered by a window of words that also starts in a row with a smaller id.
 
     Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (first word and number of
-    words of each removed run). Null texts have no words; null ids come after all others; rows of one id don't affect each
-    other. Other columns aren't read.
+    words of each removed run). Ids may be of any type that sorts. Null texts have no words; null ids come after all others;
+    rows of one id don't affect each other. Other columns aren't read.
     """
     texts = repeats.base(docs, id_col, text_col)
     found = texts.join(repeats.marks(texts, kind(window), group), "row", "left")
@@ -148,24 +162,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
-            n_words, n_removed, sha, spans = [], [], [], []
-            for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            texts = b.column("text").to_pylist()
+            who, first, last = repeats.covered(b.column("spans"), len(texts))
+            ends = np.cumsum(np.bincount(who, minlength=len(texts))).tolist()
+            removed = np.bincount(who, weights=last - first, minlength=len(texts)).astype(np.int64)
+            sha, n_words, at, low, high = [], [], 0, first.tolist(), last.tolist()
+            for text, end in zip(texts, ends, strict=True):
                 words = text.split()
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                for r in runs or ():
-                    for o, least in enumerate(r["mark"], r["first"]):
-                        if least < r["ord"]:
-                            gone[o] += 1
-                            gone[o + window] -= 1
-                keep = np.cumsum(gone[:-1]) == 0
-                edges = np.flatnonzero(np.diff(np.r_[False, ~keep, False]))
                 n_words.append(len(words))
-                n_removed.append(int((~keep).sum()))
-                sha.append(hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if len(edges) else b" ".join(words)).hexdigest())
-                spans.append([{"first": int(a), "n": int(z - a)} for a, z in zip(edges[::2], edges[1::2], strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))], names=["id", "n_words", "n_removed", "kept_sha256", "spans"])
-
-    out = found.select("id", "text", "runs").mapInArrow(apply, f"id {id_kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<first:int,n:int>>")
+                for k in range(end - 1, at - 1, -1):
+                    del words[low[k] : high[k]]
+                at = end
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            offsets = pa.array(np.r_[0, ends].astype(np.int32))
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (first, last - first)], names=["first", "n"]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(removed), pa.array(sha, pa.string()), spans], names=["id", "n_words", "n_removed", "kept_sha256", "spans"])
+
+    out = found.select("id", "text", "spans").mapInArrow(apply, f"id {id_kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<first:int,n:int>>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -9,9 +9,10 @@ The suffix array of a text is built in two passes without recursion and without
 2. Groups are emitted in ascending order: each sorted suffix puts those whose Lyndon prefix ends where it begins, found
    along the same pointers, at the next place of their own groups.
 
-repeats.py reduces the corpus to runs of windows that share an anchor. Of a group of runs, only the parts that agree with
-another run around the anchor (left and right of it, by sorting) can hold a repeated window; equal parts are collapsed
-with their counts; where different ones are left, the suffix array of these decides which windows repeat.
+suffix_array() does this for one text, suffix_arrays() for many at once: each step takes the highest group left of every
+text, in arrays. repeats.py deals the corpus' windows to groups of runs that share an anchor. Each group is one text: its
+distinct runs, those that occur once cut to what they share with any other around the anchor, with an end mark each. Its
+suffix array brings equal windows next to each other; a window repeats if neighbours that agree in it count two or more.
 """
 
 from __future__ import annotations
@@ -98,6 +99,137 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+#: Texts that are sorted in step; longer ones than most, too few to share steps, are sorted one by one.
+LANES = 32
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    at = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - at, size)
+
+
+def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """suffix_array() of texts one after another: places in symbols, each text's in the order of its suffixes."""
+    ends = np.cumsum(sizes)
+    longest = np.argsort(-sizes, kind="stable")
+    alone = longest[:LANES] if len(sizes) <= LANES else longest[: LANES - 1][sizes[longest[: LANES - 1]] > 2 * sizes[longest[LANES - 1]]]
+    out = np.empty(len(symbols), dtype=np.int64)
+    for t in alone.tolist():
+        low = ends[t] - sizes[t]
+        out[low : ends[t]] = np.array(suffix_array(symbols[low : ends[t]].tolist())) + low
+    rest = np.sort(np.setdiff1d(np.arange(len(sizes)), alone, assume_unique=True))
+    if len(rest):
+        where = _ranges((ends - sizes)[rest], sizes[rest])
+        out[where] = where[_in_step(symbols[where], sizes[rest])]
+    return out
+
+
+def _in_step(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    n, ends = len(symbols), np.cumsum(sizes)
+    begin = ends - sizes
+    key = np.repeat(np.arange(len(sizes)) * (int(symbols.max()) + 1), sizes) + symbols
+    order = np.argsort(key, kind="stable")
+    opens = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    place, group, size = np.empty(n + 1, dtype=np.int64), np.empty(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    place[order] = np.arange(n)
+    many = np.diff(np.r_[opens, n])
+    group[order] = np.repeat(opens, many)
+    group[n] = -1  # place n stands for none
+    size[opens] = many
+    before = np.arange(-1, n)
+    before[begin] = n
+    previous, mark = np.full(n + 1, n, dtype=np.int64), np.zeros(n + 1, dtype=bool)
+
+    def smaller(i: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The previous places whose groups aren't higher than own."""
+        p = before.take(i)
+        open_ = (group.take(p) > own).nonzero()[0]
+        while len(open_):
+            q = previous.take(p.take(open_))
+            p[open_] = q
+            open_ = open_.compress(group.take(q) > own.take(open_))
+        return p
+
+    low, end = begin, ends
+    while len(end):  # pass 1
+        start = group.take(order.take(end - 1))
+        single = end - start == 1
+        own = start.compress(single)
+        if len(own):  # a group of one reaches one place at most, which becomes a group of its own
+            i = order.take(own)
+            p = smaller(i, own)
+            previous[i] = p
+            reached = p.compress(p < n)
+            g = group.take(reached)
+            left = size.take(g) - 1
+            tail = g + left
+            other, at = order.take(tail), place.take(reached)
+            order[at], place[other] = other, at
+            order[tail], place[reached], group[reached] = reached, tail, tail
+            size[g] = left
+            size[tail] = 1
+        if len(own) < len(start):
+            own, many = start.compress(~single), (end - start).compress(~single)
+            i, own = order.take(_ranges(own, many)), np.repeat(own, many)
+            p = smaller(i, own)
+            previous[i] = p
+            same = (group.take(p) == own).nonzero()[0]
+            while len(same):  # repetitions of the same prefix count for the place before them all
+                q = previous.take(p.take(same))
+                p[same] = q
+                previous[i.take(same)] = q
+                same = same.compress(group.take(q) == own.take(same))
+            reached = np.sort(p.compress(p < n))
+            if len(reached):
+                head = np.flatnonzero(np.r_[True, reached[1:] != reached[:-1]])
+                times, reached = np.diff(np.r_[head, len(reached)]), reached[head]
+                g = group[reached]
+                by = np.argsort(g * (int(times.max()) + 1) + times)
+                reached, times, g = reached[by], times[by], g[by]
+                first = np.r_[True, g[1:] != g[:-1]]
+                top = g[first]
+                many = np.diff(np.r_[np.flatnonzero(first), len(g)])
+                slots = _ranges(top + size[top] - many, many)  # the ends of their old groups
+                holders, places = order[slots], place[reached]
+                mark[reached] = True
+                moved = holders[~mark[holders]]
+                mark[reached] = False
+                mark[slots] = True
+                free = places[~mark[places]]
+                mark[slots] = False
+                order[free], place[moved] = moved, free
+                order[slots], place[reached] = reached, slots
+                size[top] -= many
+                new = np.flatnonzero(first | np.r_[True, times[1:] != times[:-1]])
+                many = np.diff(np.r_[new, len(g)])
+                group[reached] = np.repeat(slots[new], many)
+                size[slots[new]] = many
+        alive = start > low
+        low, end = (low, start) if alive.all() else (low.compress(alive), start.compress(alive))
+    out, done, free = np.empty(n, dtype=np.int64), np.zeros(n + 1, dtype=bool), np.arange(n)  # pass 2
+    out[begin] = ends - 1
+    done[ends - 1] = done[n] = True
+    k, last, p = begin.copy(), ends - 1, before.take(ends - 1)
+    while len(k):  # each text puts one place, and goes on to its next sorted suffix where a chain of pointers ends
+        go = (~done.take(p)).nonzero()[0]
+        q = p.take(go)
+        g = group.take(q)
+        at = free.take(g)
+        out[at] = q
+        free[g] = at + 1
+        done[q] = True
+        p[go] = previous.take(q)
+        stop = done.take(p).nonzero()[0]
+        k[stop] += 1
+        at = k.take(stop)
+        over = at > last.take(stop)
+        p[stop] = before.take(out.take(np.where(over, last.take(stop), at)))
+        if over.any():
+            keep = k <= last
+            k, last, p = k.compress(keep), last.compress(keep), p.compress(keep)
+    return out
+
+
 def _common(a: bytes, b: bytes) -> int:
     """Length of the longest common prefix."""
     n = min(len(a), len(b))
@@ -115,136 +247,115 @@ def _agreement(parts: list[bytes]) -> list[int]:
     return out
 
 
-def repeated_windows(texts: list[bytes], counts: list[int], window: int) -> list[list[int]]:
-    """For each of some distinct texts, which occur so often, the starts of windows that occur twice or more in all."""
-    joined, owner, limit = [], [], []
-    for k, t in enumerate(texts):
-        joined += [x + len(texts) + 1 for x in t]
-        owner += [k] * (len(t) + 1)
-        limit += range(len(t), -1, -1)
-        joined.append(len(texts) - k)  # ends differ, so that suffixes don't go on into the next text
-    joined.append(0)
-    flat = b"\0".join(texts) + b"\0"
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)]).tolist()
-    out: list[list[int]] = [[] for _ in texts]
-    last, same, total = b"", [], 0
-
-    def close() -> None:
-        if total > 1:
-            for i in same:
-                out[owner[i]].append(i - begin[owner[i]])
-
-    for i in suffix_array(joined):
-        if i == len(joined) - 1 or limit[i] < window:
-            continue  # its window doesn't lie in one text; no equal ones do
-        this = flat[i : i + window]
-        if this != last:
-            close()
-            last, same, total = this, [], 0
-        same.append(i)
-        total += counts[owner[i]]
-    close()
-    return out
+def repeated_windows(groups: list[list[tuple[bytes, int]]], window: int) -> list[list[tuple[int, int]]]:
+    """For each text of each group of (distinct text, count): where windows that occur twice or more in its group first and last start, or (0, -1)."""
+    texts = [t for group in groups for t, _ in group]
+    many = np.array([len(g) for g in groups], dtype=np.int64)
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    count = np.array([c for group in groups for _, c in group], dtype=np.int64)
+    flat = np.frombuffer(b"\0".join(texts) + bytes(8), dtype=np.uint8)
+    begin = np.cumsum(length + 1) - length - 1
+    n = int(begin[-1] + length[-1] + 1)
+    owner = np.repeat(np.arange(len(texts)), length + 1)
+    of_group = np.repeat(many, many)
+    symbols = flat[:n].astype(np.int64) + (of_group + 1)[owner]
+    number = np.arange(len(texts)) - np.repeat(np.cumsum(many) - many, many)
+    symbols[begin + length] = of_group - number  # ends differ and fall, so that suffixes don't go on into the next text
+    sorted_ = suffix_arrays(symbols, np.add.reduceat(length + 1, np.cumsum(many) - many))
+    inside = sorted_[sorted_ + window <= (begin + length)[owner[sorted_]]]  # other windows don't lie in one text
+    group = np.repeat(np.arange(len(groups)), many)[owner[inside]]
+    equal = np.r_[False, group[1:] == group[:-1]]
+    eight = np.ndarray((n,), dtype=np.uint64, buffer=flat, strides=(1,)) if window >= 8 else flat
+    step = 8 if window >= 8 else 1
+    for k in [*range(0, window - step, step), window - step]:
+        at = np.flatnonzero(equal)
+        equal[at] = eight[inside[at] + k] == eight[inside[at - 1] + k]
+    first = np.flatnonzero(~equal)
+    total = np.add.reduceat(count[owner[inside]], first) if len(first) else np.zeros(0, dtype=np.int64)
+    hit = inside[np.repeat(total > 1, np.diff(np.r_[first, len(inside)]))]
+    low, high = np.full(len(texts), n), np.full(len(texts), -1)
+    np.minimum.at(low, owner[hit], hit - begin[owner[hit]])
+    np.maximum.at(high, owner[hit], hit - begin[owner[hit]])
+    found = zip(np.where(high < 0, 0, low).tolist(), high.tolist(), strict=True)
+    return [[next(found) for _ in g] for g in groups]
 
 
 def _solve(window: int):
-    def group(rows: list[tuple]) -> list[list[int] | None]:
-        """Intervals of repeated starts [first, end, first, end ...] of the distinct runs of one anchor."""
-        every = lambda r: [0, r[3]]
-        if len(rows) == 1:
-            return [every(rows[0]) if rows[0][5] > 1 else None]
-        a = [r[4] for r in rows]
-        right = _agreement([r[8][k:] for r, k in zip(rows, a, strict=True)])
-        left = _agreement([r[8][:k][::-1] for r, k in zip(rows, a, strict=True)])
-        out: list[list[int] | None] = [every(r) if r[5] > 1 else None for r in rows]
-        parts: dict[tuple[int, bytes], list[int]] = {}
-        for i, r in enumerate(rows):
-            if left[i] + right[i] >= window:
-                parts.setdefault((left[i], r[8][a[i] - left[i] : a[i] + right[i]]), []).append(i)
-        if all(r[5] > 1 for r in rows) or not parts:
-            return out
-        keys = list(parts)
-        counts = [sum(rows[i][5] for i in parts[k]) for k in keys]
-        texts: dict[bytes, int] = {}
-        for k, c in zip(keys, counts, strict=True):
-            texts[k[1]] = texts.get(k[1], 0) + c
-        if len(texts) == 1:
-            found = {t: list(range(len(t) - window + 1)) if c > 1 else [] for t, c in texts.items()}
-        else:
-            found = dict(zip(texts, repeated_windows(list(texts), list(texts.values()), window), strict=True))
-        for k in keys:
-            starts = np.array(sorted(found[k[1]]), dtype=np.int64)
-            for i in parts[k]:
-                if rows[i][5] == 1:
-                    own = starts + a[i] - k[0]
-                    out[i] = _intervals(own[(own >= 0) & (own < rows[i][3])])
-        return out
-
-    def solve(rows: list[tuple]) -> list[list[int] | None]:
-        out: list[list[int] | None] = []
-        first = 0
-        for k in range(1, len(rows) + 1):
-            if k == len(rows) or rows[k][0] != rows[first][0]:
-                out += group(rows[first:k])
-                first = k
+    def solve(rows: dict) -> list[list[tuple[int, int, int]]]:
+        g, a, count, piece = rows["g"].tolist(), rows["a"].tolist(), rows["count"].tolist(), rows["piece"]
+        groups: list[list[tuple[bytes, int]]] = []
+        uses: list[list[tuple[int, int, int]]] = []  # (row, where its part begins, number of the text) of each group
+        for s, e in zip(*_stretches(rows["g"]), strict=True):
+            texts: dict[bytes, int] = {}
+            own = []
+            if e - s == 1:
+                texts[piece[s]], own = count[s], [(s, 0, 0)]
+            else:
+                right = _agreement([piece[i][a[i] :] for i in range(s, e)])
+                left = _agreement([piece[i][: a[i]][::-1] for i in range(s, e)])
+                number: dict[bytes, int] = {}
+                for i, x, y in zip(range(s, e), left, right, strict=True):
+                    part, at = (piece[i], 0) if count[i] > 1 else (piece[i][a[i] - x : a[i] + y], a[i] - x)
+                    if len(part) >= window:
+                        texts[part] = texts.get(part, 0) + count[i]
+                        own.append((i, at, number.setdefault(part, len(number))))
+            if texts:
+                groups.append(list(texts.items()))
+                uses.append(own)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in g]
+        for own, found in zip(uses, repeated_windows(groups, window) if groups else [], strict=True):
+            for i, at, k in own:
+                low, high = found[k]
+                if high >= 0:
+                    out[i].append((-1, low + at, high + at + 1))
         return out
 
     return solve
 
 
-def _intervals(starts: np.ndarray) -> list[int] | None:
-    if not len(starts):
-        return None
-    breaks = np.flatnonzero(np.diff(starts) > 1)
-    return np.column_stack([starts[np.r_[0, breaks + 1]], starts[np.r_[breaks, len(starts) - 1]] + 1]).ravel().tolist()
+def _stretches(g: np.ndarray) -> tuple[list[int], list[int]]:
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return first.tolist(), np.r_[first[1:], len(g)].tolist()
 
 
 def kind(window: int = WINDOW) -> repeats.Kind:
-    return repeats.Kind(
-        size=window,
-        gram=min(GRAM, window),
-        hashes=byte_hashes,
-        parts=bytes,
-        piece=lambda text, first, n: text[first : first + n],
-        repeated="count > 1",
-        solve=_solve(window),
-        judge=lambda total, least, high: _intervals(np.flatnonzero(total > 1)),
-    )
+    return repeats.Kind(size=window, gram=min(GRAM, window), hashes=byte_hashes, parts=bytes, piece=lambda text, first, n: text[first : first + n], repeated="count > 1", widths=(24, 4, 1), solve=_solve(window))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = repeats.GROUP) -> DataFrame:
     """Removes each byte that is covered by a string of `window` bytes that also starts anywhere else in the corpus.
 
     Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), spans. Null texts
-    are empty; null and repeated ids keep their own rows, and repeated texts remove each other. Other columns aren't read.
+    are empty; null and repeated ids, of any type, keep their own rows, and repeated texts remove each other. Other columns aren't read.
     """
-    texts = repeats.base(docs, id_col, text_col)
+    texts = repeats.base(docs, id_col, text_col, ordered=False)
     found = texts.join(repeats.marks(texts, kind(window), group), "row", "left")
     id_kind = texts.schema["id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
-            n_bytes, n_removed, sha, spans = [], [], [], []
-            for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                gone = sorted((r["first"] + s, r["first"] + e - 1 + window) for r in runs or () for s, e in zip(r["mark"][::2], r["mark"][1::2], strict=True))
-                merged: list[list[int]] = []
-                for s, e in gone:
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                kept, at = hashlib.sha256(), 0
-                for s, e in merged:
-                    kept.update(text[at:s])
-                    at = e
-                kept.update(text[at:])
-                n_bytes.append(len(text))
-                n_removed.append(sum(e - s for s, e in merged))
+            texts = b.column("text").to_pylist()
+            who, first, last = repeats.covered(b.column("spans"), len(texts))
+            ends = np.cumsum(np.bincount(who, minlength=len(texts))).tolist()
+            removed = np.bincount(who, weights=last - first, minlength=len(texts)).astype(np.int64)
+            sha, at, low, high = [], 0, first.tolist(), last.tolist()
+            for text, end in zip(texts, ends, strict=True):
+                if at == end:
+                    sha.append(hashlib.sha256(text).hexdigest())
+                    continue
+                kept, place = hashlib.sha256(), 0
+                for k in range(at, end):
+                    kept.update(text[place : low[k]])
+                    place = high[k]
+                kept.update(text[place:])
                 sha.append(kept.hexdigest())
-                spans.append([{"first": s, "n": e - s} for s, e in merged])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                at = end
+            offsets = pa.array(np.r_[0, ends].astype(np.int32))
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(first), pa.array(last - first)], names=["first", "n"]))
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(removed), pa.array(np.diff(np.r_[0, ends])), pa.array(sha, pa.string()), spans], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    out = found.select("id", "text", "runs").mapInArrow(apply, f"id {id_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,n:bigint>>")
+    out = found.select("id", "text", "spans").mapInArrow(apply, f"id {id_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,n:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
 

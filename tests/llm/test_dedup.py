@@ -9,7 +9,7 @@ import pytest
 from nasty import corpus, docs
 
 from lobspark.llm import exact_dedup, near_dedup, repeats, substring_dedup, suffix_dedup
-from lobspark.llm.suffix_dedup import repeated_windows, suffix_array
+from lobspark.llm.suffix_dedup import repeated_windows, suffix_array, suffix_arrays
 
 SPACE, WORD = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = corpus()
@@ -229,9 +229,51 @@ def test_suffix_array_against_sorting():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_arrays_in_step_against_one_by_one():
+    import numpy as np
+
+    rnd = random.Random(3)
+    for many in (1, 31, 33, 120):
+        texts = [[rnd.randrange(1, rnd.choice([2, 3, 9])) for _ in range(rnd.choice([3, 60, 60, 300]))] + [0] for _ in range(many)]
+        sizes = np.array([len(t) for t in texts])
+        got = suffix_arrays(np.array([x for t in texts for x in t]), sizes)
+        for t, low in zip(texts, np.cumsum(sizes) - sizes, strict=True):
+            assert (got[low : low + len(t)] - low).tolist() == suffix_array(t)
+
+
 def test_repeated_windows():
-    assert repeated_windows([b"abcabcd", b"xabcd"], [1, 1], 3) == [[0, 3, 4], [1, 2]]
-    assert repeated_windows([b"abc", b"q"], [2, 5], 3) == [[0], []]
+    assert repeated_windows([[(b"abcabcd", 1), (b"xabcd", 1)], [(b"abc", 2), (b"q", 5)], [(b"abc", 1), (b"b", 1)]], 3) == [[(0, 4), (1, 2)], [(0, 0), (0, -1)], [(0, -1), (0, -1)]]
+    rnd = random.Random(4)
+    for window in (3, 8, 11):
+        groups = [[(bytes(rnd.choices(b"ab", k=rnd.randrange(window, 40))), rnd.randrange(1, 3)) for _ in range(rnd.randrange(1, 4))] for _ in range(60)]
+        groups = [list(dict(g).items()) for g in groups]
+        for g, got in zip(groups, repeated_windows(groups, window), strict=True):
+            count = Counter()
+            for t, c in g:
+                for k in range(len(t) - window + 1):
+                    count[t[k : k + window]] += c
+            hit = [[k for k in range(len(t) - window + 1) if count[t[k : k + window]] > 1] for t, _ in g]
+            assert got == [(min(h), max(h)) if h else (0, -1) for h in hit]
+
+
+def test_smallest_ids_of_words_against_brute_force():
+    import numpy as np
+
+    from lobspark.llm.substring_dedup import smallest_ids
+
+    rnd, window, most = random.Random(5), 4, 2
+    for _ in range(40):
+        g, pieces, n, a, low = [], [], [], [], []
+        for group in range(5):
+            for _ in range(rnd.randrange(1, 5)):
+                many = rnd.randrange(1, most + 2)
+                at = rnd.randrange(many - 1, most + 1)
+                pieces.append(" ".join(rnd.choices("ab", k=many + window - 1)).encode())
+                g.append(group), n.append(many), a.append(at), low.append(rnd.randrange(9))
+        got = smallest_ids(np.array(g), pieces, np.array(n), np.array(a), np.array(low), window, most)
+        every = [(g[k], d, pieces[k].split()[a[k] - d : a[k] - d + window], k) for k in range(len(g)) for d in range(a[k] - n[k] + 1, a[k] + 1)]
+        for group, d, w, k in every:
+            assert got[k, d] == min(low[j] for h, e, v, j in every if (h, e, v) == (group, d, w))
 
 
 def test_texts_longer_than_a_segment(spark, monkeypatch):
@@ -241,7 +283,7 @@ def test_texts_longer_than_a_segment(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     text = rnd.integers(0, 4, 5000).astype(np.uint64)
     twice = np.r_[text, text]
-    g, t, first, n, a = repeats.runs(twice, np.array([5000, 5000]), 40, 8)
+    g, t, first, n, a, _ = repeats.runs(twice, np.array([5000, 5000]), 40, 8)
     cover = sorted((int(x), int(f) + k) for x, f, m in zip(t, first, n, strict=True) for k in range(m))
     assert set(cover) == {(x, k) for x in (0, 1) for k in range(4961)}  # every window has a run
     key = lambda x: {(int(f), int(m), int(h)) for y, f, m, h in zip(t, first, n, g, strict=True) if y == x}
@@ -254,7 +296,7 @@ def test_each_window_of_a_long_text_has_one_run(monkeypatch):
 
     rnd = np.random.default_rng(1)
     for n in (511, 512, 513, 984, 985, 986, 5000):
-        _, t, first, many, _ = repeats.runs(rnd.integers(0, 4, n).astype(np.uint64), np.array([n]), 40, 8)
+        _, t, first, many, _, _ = repeats.runs(rnd.integers(0, 4, n).astype(np.uint64), np.array([n]), 40, 8)
         assert sorted(int(f) + k for f, m in zip(first, many, strict=True) for k in range(m)) == list(range(n - 39))
 
 
@@ -268,6 +310,56 @@ def test_bytes_of_a_text_longer_than_a_segment(spark):
     assert (alone["n_removed"], alone["n_spans"], alone["kept_sha256"]) == (0, 0, hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_runs_of_periodic_texts_are_collapsed():
+    import numpy as np
+
+    for period, n in ((1, 3000), (5, 3000), (60, 5000)):
+        text = np.resize(np.random.default_rng(period).integers(0, 200, period), n).astype(np.uint64)
+        _, _, first, many, _, times = repeats.runs(text, np.array([n]), 40, 8)
+        assert (many * times).sum() == n - 39 and (period > 33 or len(first) <= 3)
+        assert sorted(int(f) + k for f, m in zip(first, many * times, strict=True) for k in range(m)) == list(range(n - 39))
+
+
+def test_periodic_and_long_texts(spark):
+    rnd = random.Random(9)
+    texts = ["a" * 3000, "ab" * 900, "xyz " * 700, "b" + "a" * 450 + "c", "".join(rnd.choices("abc", k=230)) * 3, "word " * 14, "one two " * 40, "z one two " * 9 + "one two " * 20]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()}
+    assert got == brute_bytes(texts, 200)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert got == brute_words(texts, range(len(texts)), 13)
+
+
+def test_one_byte_a_million_times(spark):
+    r = suffix_dedup.suffix_dedup(docs(spark, ["a" * 20_000_000])).first()
+    assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (20_000_000, 20_000_000, 1)
+    r = substring_dedup.substring_dedup(docs(spark, ["a " * 2_000_000, "q " + "a " * 1_000_000])).collect()
+    assert sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in r) == [(0, 2_000_000, 0), (1, 1_000_001, 1_000_000)]
+
+
+def test_a_passage_of_many_texts_is_split(spark):
+    """More runs than a group takes at both ends of a passage that all texts hold, and near copies by the hundred."""
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
+    texts = [" ".join([*[word() for _ in range(30)], *passage, *[word() for _ in range(30)]]) for _ in range(60)]
+    for _ in range(60):
+        copy = list(base)
+        copy[rnd.randrange(150)] = word()
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup(docs(spark, texts), group=8).collect()}
+    assert got == brute_bytes(texts, 200)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs(spark, texts), group=8).collect()}
+    assert got == brute_words(texts, range(len(texts)), 13)
+
+
+def test_ids_of_other_types(spark):
+    texts, names = TEXTS[:40], [f"d{(7 * k) % 40:02d}" for k in range(40)]
+    frame = spark.createDataFrame([(n, t, "s", 1) for n, t in zip(names, texts, strict=True)], "doc_id string, text string, id string, row int")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame, window=5).collect()}
+    assert got == brute_words(texts, names, 5)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(frame, window=40).collect()} == {n: v[1] for n, v in zip(names, brute_bytes(texts, 40).values(), strict=True)}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     for run in (exact_dedup.exact_dedup, near_dedup.near_duplicates, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, exact_dedup.keep_first, near_dedup.keep_one):
