@@ -24,15 +24,21 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
+OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+ENDS = re.compile("[\"'>]")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 # Element classes of HTML.
-DROPPED = frozenset("script style template noscript svg math iframe object title textarea select button".split())
+#: Their text is no markup; without an end they go on to the end of the page.
+RAW = frozenset("script style textarea title iframe noscript xmp".split())
+#: Left out whole where their end comes, for the second set before any block begins; else only the tag is.
+DRAWN, CONTROLS = frozenset("svg template".split()), frozenset("button select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = "html head body main article section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre address details summary dialog fieldset hr menu".split()
+BLOCKS = "html head body main article section div nav header footer aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption blockquote pre address details summary dialog fieldset legend center hr menu".split()
 BLOCK = {tag: i for i, tag in enumerate(BLOCKS)}
 ENDS_P = frozenset(BLOCKS) - {"html", "head", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
+#: Paragraph-like elements, which hold runs of text rather than other blocks.
+LINES = frozenset("p li td th h1 h2 h3 h4 h5 h6 dt dd pre figcaption summary caption".split())
 #: An element that ends open elements of these kinds, up to the nearest of the second set.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 STEMS = "nav menu foot head side aside ad ads advert sponsor promo banner cookie consent notice alert comment repl discuss share social relat recommend breadcrumb subscri newsletter popup modal widget tag meta byline login search form copyright legal article content post entry main body text story page wrap container".split()
@@ -40,7 +46,8 @@ EXACT = frozenset({"ad", "ads", "tag", "nav"})
 LEAF_FEATURES = 10
 #: Places of the features: bias, tags, other tag, stems, then those of runs of text.
 TAG0, STEM0, LEAF0 = 1, 2 + len(BLOCKS), 2 + len(BLOCKS) + len(STEMS)
-WIDTH = LEAF0 + LEAF_FEATURES
+PLAIN = LEAF0 + LEAF_FEATURES  # an element that no name says anything about
+WIDTH = PLAIN + 1
 KINDS = 3  # parent-child potentials: a run of text; a paragraph-like element; any other
 
 
@@ -51,8 +58,8 @@ def _stems(names: str) -> tuple[int, ...]:
 
 
 def _element(tag: str, attributes: str) -> list[int]:
-    found = [0, TAG0 + BLOCK.get(tag, len(BLOCKS))]
-    return found + list(_stems(" ".join(NAMES.findall(attributes)))) if "=" in attributes else found
+    stems = _stems(" ".join(NAMES.findall(attributes))) if "=" in attributes else ()
+    return [0, TAG0 + BLOCK.get(tag, len(BLOCKS)), *(stems or (PLAIN,))]
 
 
 def _run(text: str, linked: int) -> list[int]:
@@ -61,65 +68,124 @@ def _run(text: str, linked: int) -> list[int]:
     return [0, LEAF0, *(LEAF0 + 1 + k for k, least in enumerate((20, 60, 150, 400)) if n >= least), *([LEAF0 + 5] if share > 0.9 else [LEAF0 + 6] if share > 0.3 else []), *([LEAF0 + 7] if text[-1] in ".!?\"'»)…”" else []), *([LEAF0 + 8] if stops * 60 >= n else []), *([LEAF0 + 9] if "©" in text else [])]
 
 
+class Page:
+    """Reads a page's markup once from left to right; nothing is looked for twice, whatever is left open."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.unclosed: set[int] = set()  # quotes from which a tag never ends
+        self.found: dict[str, tuple[int, re.Match | None]] = {}
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that goes on at `at` ends: behind the first > outside quotes, or the first at all; 0 if there is none."""
+        if at > self.last:
+            return 0
+        passed, start = [], at
+        while m := ENDS.search(self.page, at):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.unclosed:
+                break
+            passed.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.unclosed.update(passed)
+        return self.page.find(">", start) + 1
+
+    def next(self, name: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The first match from `at` on, kept for later calls with the same name."""
+        since, m = self.found.get(name, (0, None))
+        if name not in self.found or (m and m.start() < at):
+            m = pattern.search(self.page, at)
+            self.found[name] = (at, m)
+        return m
+
+    def behind(self, tag: str, at: int, no_block: bool = False) -> int:
+        """The end of the end tag of an element that is left out; 0 if it has none, or with no_block if a block begins before."""
+        m = self.next(tag, re.compile(rf"</{tag}(?![a-z0-9-])" + ("|" + BLOCK_START if no_block else ""), re.I), at)
+        if not m or not m[0].startswith("</"):
+            return 0
+        return self.tag_end(m.end()) or len(self.page)
+
+
+BLOCK_START = rf"<(?:{'|'.join(BLOCKS)})(?![a-z0-9-])"
+
+
 class Tree:
     """A page's nodes: parent, depth, kind, features; and the text of those that are runs."""
 
     def __init__(self, page: str) -> None:
         self.parent, self.depth, self.kind, self.features, self.text = [-1], [0], [2], [[0]], {}
         open_: list[tuple[str, int]] = [("", 0)]
-        inline: list[str] = []
+        places: dict[str, list[int]] = {}  # of each open tag in open_
         held: list[str] = []
-        linked = 0
+        linked, in_link = 0, False
+        read = Page(page)
 
         def flush() -> None:
             nonlocal linked
             if held:
-                text = " ".join(html.unescape("".join(held)).split())
+                text = " ".join("".join(held).split())
                 held.clear()
                 if text:
                     self.text[self.add(open_[-1][1], 0, _run(text, linked))] = text
             linked = 0
 
+        def write(text: str) -> None:
+            nonlocal linked
+            held.append(html.unescape(text) if "&" in text else text)
+            linked += len(text) * in_link
+
         def close(k: int) -> None:
+            nonlocal in_link
             flush()
+            for tag, _ in open_[k:]:
+                places[tag].pop()
             del open_[k:]
-            inline.clear()
+            in_link = False
 
-        at, n = 0, len(page)
+        def nearest(tags: set[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        at = begin = 0  # text from begin on isn't written yet
+        n = len(page)
         while at < n:
-            m = TOKEN.match(page, at)
-            if not m:  # a tag that never ends
-                held.append(page[at])
+            at = page.find("<", at)
+            m = OPENS.match(page, at) if at >= 0 else None
+            if at < 0:
+                break
+            if not m:
                 at += 1
                 continue
-            at = m.end()
-            shut, tag, attributes, text = m.groups()
-            if text is not None:
-                held.append(text)
-                if "a" in inline:
-                    linked += len(text)
-                continue
+            shut, tag = m.groups()
+            if tag is None:  # a comment or declaration
+                end = page.find("-->", m.end()) + 3 if m[0] == "<!--" else page.find(">", m.end()) + 1
+                end = n if end < 3 and m[0] == "<!--" or not end else end
+            else:
+                end = read.tag_end(m.end())
+                if not end:  # a tag that never ends is text
+                    at += 1
+                    continue
+            if begin < at:
+                write(page[begin:at])
+            attributes = page[m.end() : end - 1] if tag else ""
+            at = begin = end
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag in DROPPED:
+            if tag in RAW or tag in DRAWN or tag in CONTROLS:
                 if not shut and not attributes.endswith("/"):
-                    end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else n
+                    at = begin = read.behind(tag, at, tag in CONTROLS) or (n if tag in RAW else at)
                 held.append(" ")
             elif tag not in BLOCK:
                 if tag == "br":
                     held.append(" ")
-                elif shut:
-                    if tag in inline:
-                        inline.remove(tag)
-                elif tag not in VOID:
-                    inline.append(tag)
+                elif tag == "a":
+                    in_link = not shut
             elif shut:
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k][0] == tag:
-                        close(k)
-                        break
+                if places.get(tag):
+                    close(places[tag][-1])
                 else:
                     flush()
             else:
@@ -127,15 +193,15 @@ class Tree:
                     close(len(open_) - 1)
                 if tag in SIBLINGS:
                     ends, stop = SIBLINGS[tag]
-                    for k in range(len(open_) - 1, 0, -1):
-                        if open_[k][0] in stop:
-                            break
-                        if open_[k][0] in ends:
-                            close(k)
-                            break
+                    k = nearest(ends)
+                    if k > nearest(stop):
+                        close(k)
                 flush()
                 if tag not in VOID:
-                    open_.append((tag, self.add(open_[-1][1], 1 if tag in ("p", "li", "td", "h1", "h2", "h3") else 2, _element(tag, attributes))))
+                    places.setdefault(tag, []).append(len(open_))
+                    open_.append((tag, self.add(open_[-1][1], 1 if tag in LINES else 2, _element(tag, attributes))))
+        if begin < n:
+            write(page[begin:])
         flush()
 
     def add(self, parent: int, kind: int, features: list[int]) -> int:
@@ -181,7 +247,7 @@ class Forest:
         return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500))), pair
 
 
-def train(trees: list[Tree], labels: list[np.ndarray], steps: int = 250, rate: float = 0.1, prior: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def train(trees: list[Tree], labels: list[np.ndarray], steps: int = 200, rate: float = 0.1, prior: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ties with the highest likelihood of the labels under a normal prior, by Adam on exact gradients."""
     forest, y = Forest(trees), np.concatenate(labels).astype(float)
     child = np.concatenate([level for level in forest.levels[1:]])
@@ -236,22 +302,47 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
         return box(pick("aside", named("div", "sidebar", "side", "related", "widget", "recommended"), named("aside", "sidebar", "related")), pick(links(4), f"<h3>{prose(1, 4)}</h3>" + links(3), f"<p>{prose(5, 40)}</p>"))
 
     def form() -> str:
-        return box(pick("form", named("form", "search", "login", "newsletter-form")), f"<p>{prose(1, 12)}</p><input type=text>" + pick("", f"<label>{prose(1, 3)}</label>", "<button>Go</button>"))
+        return box(pick("form", named("form", "search", "login", "newsletter-form")), f"<p>{prose(1, 12)}</p><input type=text>" + pick("", f"<label>{prose(1, 3)}</label>", "<button>Go</button>", f"<fieldset><legend>{prose(1, 3)}</legend></fieldset>", f"<select><option>{prose(1, 2)}</select>"))
+
+    def lines(least: int, most: int) -> str:
+        return "".join(f"<{(tag := pick('p', 'div', 'span'))}>{prose(least, most, True)}</{tag}><br>" for _ in range(rnd.integers(1, 4)))
 
-    def part() -> str:
+    def inside(text: str) -> str:
+        """Marks within a sentence."""
+        return text + f" <math><mi>{prose(1, 2)}</mi><mo>=</mo></math> {prose(1, 6)}" * chance(0.05) + f" <code>{prose(1, 3)}</code> {prose(1, 4)}" * chance(0.08) + f' <a href="#">{prose(1, 3)}</a> {prose(2, 9)}' * chance(0.15)
+
+    def titled(tag: str) -> str:
+        return box(tag, prose(1, 9, True))
+
+    def part(depth: int = 0) -> str:
         k = rnd.random()
-        if k < 0.7:
-            a = prose(4, 120, True)
-            return f"<p>{a}" + f' <a href="#">{prose(1, 3)}</a> {prose(2, 9)}' * chance(0.15) + pick("</p>", "</p>", "<br>")
-        if k < 0.78:
-            return f"<h2>{prose(1, 7, True)}</h2>"
-        if k < 0.84:
-            return "<ul>" + "".join(f"<li>{prose(2, 20, True)}</li>" for _ in range(3)) + "</ul>"
-        if k < 0.9:
+        if k < 0.54:
+            return f"<p>{inside(prose(4, 120, True))}" + pick("</p>", "</p>", "<br>")
+        if k < 0.61:
+            return titled(pick("h2", "h2", "h3", "h4", "h5", "h6"))
+        if k < 0.67:
+            return box(pick("ul", "ol"), "".join(f"<li>{pick(prose(1, 30, True), f'<p>{prose(1, 30, True)}</p>')}</li>" for _ in range(rnd.integers(1, 7))))
+        if k < 0.71:
             return f"<blockquote>{pick(prose(4, 40, True), f'<p>{prose(4, 40, True)}</p>')}</blockquote>"
-        if k < 0.93:
-            return f"<table><tr><td>{prose(1, 5, True)}</td><td>{prose(1, 5, True)}</td></tr></table>"
-        return advert() if k < 0.96 else aside() if k < 0.98 else form()
+        if k < 0.75:
+            return box(pick("pre", named("pre", "code", "listing")), pick(prose(1, 60, True), prose(1, 8, True)))
+        if k < 0.79:
+            return box("dl", "".join(f"<dt>{prose(1, 4, True)}</dt><dd>{prose(1, 30, True)}</dd>" for _ in range(rnd.integers(1, 5))))
+        if k < 0.82:
+            return box(pick("figure", named("figure", "image", "wp-block-image")), '<img src="x.png">' + box("figcaption", prose(1, 25, True)))
+        if k < 0.84:
+            return box("details", box("summary", prose(1, 8, True)) + pick(prose(3, 40, True), f"<p>{prose(3, 60, True)}</p>"))
+        if k < 0.87:
+            row = lambda tag: "".join(f"<{tag}>{prose(1, 6, True)}</{tag}>" for _ in range(rnd.integers(1, 4)))
+            return box("table", box("caption", prose(1, 8, True)) * chance(0.3) + box("tr", row("th")) * chance(0.4) + "".join(box("tr", row("td")) for _ in range(rnd.integers(1, 5))))
+        if k < 0.92:
+            return lines(3, 40)
+        if k < 0.955 and depth < 2:  # a wrapper that says nothing
+            held = "".join(part(depth + 1) for _ in range(rnd.integers(1, 4)))
+            for _ in range(rnd.integers(1, 4)):
+                held = box(pick("div", "div", "section", named("div", "row", "inner", "c1", "x")), held)
+            return held
+        return advert() if k < 0.975 else aside() if k < 0.985 else form()
 
     pages = []
     for _ in range(count):
@@ -300,7 +391,8 @@ def main_texts(pages: list[str], weights: np.ndarray, ties: np.ndarray) -> list[
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (blocks joined by line ends; empty if there is none), n_chars (code points).
 
-    Null html counts as empty. Null or repeated ids keep their own rows; other columns aren't read.
+    Null html counts as empty. Null or repeated ids keep their own rows; other columns aren't read. Pages are read in
+    one pass, whatever is broken in them; character references are decoded in each piece of text between two tags.
     """
     weights, ties = model()
     slim = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("row"), shared.text_or_empty(html_col).alias("html"))

@@ -168,6 +168,42 @@ def test_broken_pages(spark):
     assert list(html_text.Tree(pages[8]).text.values()) == ["1", "2", "x", "y"]
 
 
+ART = "The committee met on Tuesday to review the plan, and agreed that the budget should be raised."
+
+
+@pytest.mark.parametrize(("inside", "blocks"), [
+    ("<pre>x = 1\ny = 2</pre>", ["x = 1 y = 2"]),
+    ("<dl><dt>Term</dt><dd>Its meaning</dd></dl>", ["Term", "Its meaning"]),
+    ("<figure><img src=a><figcaption>A caption here</figcaption></figure>", ["A caption here"]),
+    ("<details><summary>More info</summary><p>Hidden words of it.</p></details>", ["More info", "Hidden words of it."]),
+    ("<p>Speed <math><mi>v</mi><mo>=</mo><mi>s</mi></math> end.</p>", ["Speed v=s end."]),
+    ("<object><p>Fallback words are here.</p></object>", ["Fallback words are here."]),
+    ("<h3>Sub title</h3><h6>Small</h6>", ["Sub title", "Small"]),
+    ("<ol><li>First thing</li><li>Second</li></ol>", ["First thing", "Second"]),
+    ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>2001</td><td>5</td></tr></table>", ["Year", "Sum", "2001", "5"]),
+    ("<div>Unlabelled wrapper text of one line.</div>", ["Unlabelled wrapper text of one line."]),
+    ("<div><div><p>Deep words here.</p></div></div>", ["Deep words here."]),
+    ("<p>&am<b>p;</b> &l<i>t;</i> &amp;lt; x</p>", ["&amp; &lt; &lt; x"]),
+    ("<p>Some <button>text that is open</p><p>Next words of it.</p>", ["Some text that is open", "Next words of it."]),
+    ("<p>Press <button>OK</button> to go <svg><title>icon</title></svg> on</p>", ["Press to go on"]),
+    ("<form><label>Name</label><input></form>", []),
+    ("<aside><h3>Related</h3><ul><li><a href=x>Other story</a></li></ul></aside>", []),
+    ("<div class=comments><div class=comment><p>I liked it very much, thanks.</p></div></div>", []),
+])
+def test_elements_of_articles(inside, blocks):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title here</h1><p>{ART}</p>{inside}<p>{ART}</p></article><footer>&copy; 2020 Example</footer></body></html>"
+    assert html_text.main_texts([page], *html_text.model())[0].split("\n") == ["Title here", ART, *blocks, ART]
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>" * 30_000 + "</p>" * 100_000, '<a "' * 100_000 + 'x>"', "<button>" * 100_000 + "x", "<svg>" * 100_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 50_000, "<" * 1_000_000, "<!--" * 200_000], ids=range(8))
+def test_pages_are_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.Tree(page)
+    assert time.process_time() - began < 2
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, cell int, row string")
 
