@@ -1,13 +1,15 @@
 """Exact top-k search by a Voronoi join.
 
-Vectors belong to the cell of their nearest pivot. A cell's summary is its size and radius. For a query q and a cell with
-pivot p and radius r, every score in the cell lies in <q,p> -+ |q| r. The lower ends and sizes of cells give a score
-that at least k candidates reach; only cells whose upper end reaches it get the query. Cells are solved locally by matrix
-products, and the winners of all cells are merged.
-
-Scale: pivots and summaries are bounded (PIVOTS rows). Cells are split into sub-cells and queries into blocks of bounded
-size, so a cell that holds a third of all vectors is many tasks; no task meets more than SUB_ROWS x QUERY_ROWS scores
-at once. Each query block meets only the cells that one of its queries needs.
+Vectors belong to the cell of their nearest pivot, queries too: those of a cell, and of near cells where these are few, are
+a group. A cell's summary is its size and radius. For a query q and a cell with pivot p and radius r, every score in the
+cell lies in <q,p> -+ |q| r. The lower ends and sizes of cells give a score that at least k candidates reach; only cells
+whose upper end reaches it can hold winners. A group needs the cells that one of its queries needs, and only these cells
+are replicated to it. Groups and cells are solved locally by matrix products, and the winners of all cells are merged.
+
+Scale: pivots grow with the square root of the rows, up to PIVOTS, and so do the summaries. Cells are split into sub-cells
+and groups into parts of bounded size, so a cell that holds a third of all vectors is many tasks; no task meets more than
+SUB_ROWS x QUERY_ROWS scores at once. As near queries share a group, and a group's queries need nearly the same cells,
+data are replicated less than if queries were dealt at random; how much less depends on how clustered the vectors are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PIVOTS = 256
+PIVOTS = 4096
 SUB_ROWS, QUERY_ROWS = 4000, 1000
 SCALE = 1024
 
@@ -42,6 +44,38 @@ def quantised(vec: Column, scale: int = SCALE) -> Column:
     return F.when(vec.isNotNull() & ~bad, F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+def neighbours(pivots: np.ndarray) -> list[int]:
+    """Pivots in an order that keeps near ones together: halves along the direction of most spread, again and again."""
+    out, todo = [], [np.arange(len(pivots))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= 2:
+            out += part.tolist()
+            continue
+        x = pivots[part].astype(float)
+        x -= x.mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1] if x.shape[1] else np.zeros(len(part))
+        order = part[np.argsort(along, kind="stable")]
+        todo += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return out
+
+
+def groups(asks: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, parts) of each cell's queries: cells with few join their neighbours in order, large ones are parted."""
+    first, parts = np.zeros(len(asks), dtype=np.int64), np.ones(len(asks), dtype=np.int64)
+    now, held = 0, 0
+    for cell in order:
+        n = int(asks[cell])
+        if held and held + n > QUERY_ROWS:
+            now, held = now + 1, 0
+        first[cell] = now
+        parts[cell] = max(1, -(-n // QUERY_ROWS))
+        held += n
+        if parts[cell] > 1:
+            now, held = now + int(parts[cell]), 0
+    return first, parts
+
+
 def knn_join(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """The k highest integer inner products of each row for which query is true, against every other row.
 
@@ -66,17 +100,22 @@ def knn_join(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_
                 x, p = _stack(part["v"], dim).astype(float), origin(dim).astype(float)
                 far = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
                 cell = far.argmin(1)
-                yield pd.DataFrame({"row": part["row"], "dim": part["dim"], "cell": cell, "dist": np.linalg.norm(x - p[cell], axis=1)})
+                yield pd.DataFrame({"row": part["row"], "dim": part["dim"], "asks": part["asks"], "cell": cell, "dist": np.linalg.norm(x - p[cell], axis=1)})
 
-    places = shared.write_out(rows.select("row", "dim", "v").mapInPandas(assign, "row bigint, dim int, cell int, dist double"), "places")
-    summary = places.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("r")).toPandas()  # a row for each pivot
+    places = shared.write_out(rows.select("row", "dim", "asks", "v").mapInPandas(assign, "row bigint, dim int, asks boolean, cell int, dist double"), "places")
+    asks = F.count(F.when(F.col("asks"), F.lit(1)))
+    summary = places.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("r"), asks.alias("asks")).toPandas()  # a row for each pivot
     subs = {(int(s.dim), int(s.cell)): -(-int(s.n) // SUB_ROWS) for s in summary.itertuples()}
-    blocks = max(1, -(-rows.where("asks").count() // QUERY_ROWS))
     by_dim = {int(d): s.sort_values("cell") for d, s in summary.groupby("dim")}
+    grouped = {}
+    for dim, s in by_dim.items():
+        many = np.zeros(len(origin(dim)), dtype=np.int64)
+        many[s["cell"]] = s["asks"]
+        grouped[dim] = groups(many, neighbours(origin(dim)))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for dim, part in f.groupby("dim"):
+            for (dim, _), part in f.groupby(["dim", np.arange(len(f)) // 500]):
                 s = by_dim[dim]
                 q, p, size = _stack(part["v"], dim).astype(float), origin(dim)[s["cell"].to_numpy()].astype(float), s["n"].to_numpy()
                 mid, slack = q @ p.T, np.linalg.norm(q, axis=1)[:, None] * s["r"].to_numpy() * (1 + 1e-9) + 1e-3
@@ -90,15 +129,16 @@ def knn_join(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_
                 many = np.array([subs[dim, c] for c in cell], dtype=np.int64)
                 at = np.repeat(np.arange(len(who)), many)
                 sub = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                out = part.iloc[who[at]][["id", "row", "v", "block", "dim"]].copy()
+                first, parts = (x[part["cell"].to_numpy()] for x in grouped[dim])
+                out = part[["id", "row", "v", "dim"]].assign(block=first + part["row"].to_numpy() % parts).iloc[who[at]].copy()
                 out["cell"], out["sub"] = cell[at], sub
-                yield out
+                yield out[["id", "row", "v", "block", "dim", "cell", "sub"]]
 
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    asked = shared.write_out(rows.where("asks").withColumn("block", block).mapInPandas(route, f"id {kind}, row bigint, v array<bigint>, block int, dim int, cell int, sub int"), "asked")
+    asked = rows.where("asks").join(places.where("asks").select("row", "cell"), "row")
+    asked = shared.write_out(asked.mapInPandas(route, f"id {kind}, row bigint, v array<bigint>, block int, dim int, cell int, sub int"), "asked")
     needed = asked.select("dim", "cell", "block").distinct().toDF("dim", "cell", "block")
     sizes = vectors.sparkSession.createDataFrame([(*c, m) for c, m in subs.items()] or [(0, 0, 1)], "dim int, cell int, subs int")
-    data = rows.join(places.drop("dim"), "row").join(F.broadcast(sizes), ["dim", "cell"])
+    data = rows.join(places.select("row", "cell"), "row").join(F.broadcast(sizes), ["dim", "cell"])
     data = data.withColumn("sub", F.pmod(F.xxhash64("row", F.lit(1)), F.col("subs")).cast("int")).join(needed, ["dim", "cell"])
 
     def solve(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
