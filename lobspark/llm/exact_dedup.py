@@ -23,6 +23,7 @@ from . import shared
 
 BLOCK_BYTES = 4096
 BUCKETS = 4096
+SALTS = 32
 
 
 def normalised(text: str | Column) -> Column:
@@ -80,25 +81,38 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.select(F.col("doc.id").alias("id"), F.col("doc.n_points").alias("n_points"), F.col("doc.sha").alias("text_sha256"), "n_blocks", "name", "row")
 
 
+def _parts(found: DataFrame) -> DataFrame:
+    """Groups cut into SALTS parts by row, each with its size and its best row."""
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    return found.groupBy("n_blocks", "name", "salt").agg(F.count("*").alias("group_size"), best)
+
+
+def _salted(found: DataFrame) -> DataFrame:
+    return found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Groups of equal normalised texts: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of a group the text with the most code points stays, then the smallest id (null ids last), then the first of
-    repeated rows. An empty table gives an empty result.
+    repeated rows. An empty table gives an empty result. A group's rows meet its figures in SALTS parts, so that a group
+    of a third of all rows isn't one task's.
     """
-    found = identities(docs, id_col, text_col, block_bytes)
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    groups = found.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best)
-    return found.join(groups, ["n_blocks", "name"]).select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    found = _salted(identities(docs, id_col, text_col, block_bytes))
+    parts = shared.write_out(_parts(found), "parts")
+    groups = parts.groupBy("n_blocks", "name").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
+    figures = parts.select("n_blocks", "name", "salt").join(groups, ["n_blocks", "name"])
+    out = found.join(figures, ["n_blocks", "name", "salt"])
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Rows are numbered in a written table, so that the numbers stay."""
-    numbered = shared.write_out(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = identities(numbered, id_col, text_col, row_col="__row")
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    stay = found.groupBy("n_blocks", "name").agg(best).select(F.col("best.row").alias("__row"))
-    return numbered.join(stay, "__row").select(*docs.columns)
+    """The rows of docs that stay, with docs' columns, whatever their names. Rows are numbered in a written table, so that the numbers stay."""
+    own = shared.free_name(docs.columns)
+    numbered = shared.write_out(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    stay = _parts(_salted(identities(numbered, id_col, text_col, row_col=own))).groupBy("n_blocks", "name").agg(F.min("best").alias("best"))
+    stay = stay.select(F.col("best.row").alias(own))
+    return numbered.join(stay, own).select(*docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -302,11 +302,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns: of each component the one with the smallest id (null ids last), then row."""
-    numbered = shared.write_out(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(numbered, id_col, text_col, row_col="__row")
-    stay = found.groupBy("component").agg(F.min(F.struct("ord", "row")).alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.join(stay, "__row").select(*docs.columns)
+    """The rows of docs that stay, with docs' columns, whatever their names: of each component the one with the smallest
+    id (null ids last), then row."""
+    own = shared.free_name(docs.columns)
+    numbered = shared.write_out(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(numbered, id_col, text_col, row_col=own)
+    stay = found.groupBy("component").agg(F.min(F.struct("ord", "row")).alias("first")).select(F.col("first.row").alias(own))
+    return numbered.join(stay, own).select(*docs.columns)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

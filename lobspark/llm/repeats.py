@@ -40,7 +40,7 @@ from . import shared
 SEGMENT = 1 << 16
 AT_ONCE = 1 << 17
 #: Distinct runs of one anchor that a solver takes at once.
-GROUP = 256
+GROUP = 64
 #: Rows and bytes of text that are worked on at once (a longer text alone), and bytes of pieces sent on at once.
 ROWS, TEXT_BYTES, PIECE_BYTES = 400, 1 << 22, 1 << 25
 LAST = (1 << 63) - 1  # the order of rows without an id
