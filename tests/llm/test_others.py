@@ -240,27 +240,165 @@ def test_search_in_nothing(spark):
     assert knn_join.knn_join(vectors(spark, [(1, [1.0], "", 1, "")]), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_raking_meets_all_marginals():
-    rnd = np.random.default_rng(2)
-    cells = pd.DataFrame([(s, g, t, float(rnd.integers(1, 1000))) for s in "abc" for g in "xy" for t in "pqr"], columns=["source", "lang", "topic", "mass"])
-    targets = mixing.Targets(shares={"source": {"a": 0.5}, "lang": {"x": 0.3, "y": 0.7}})
-    raked = mixing.rake(cells, targets)
-    for m in mixing.MARGINALS:
-        want = mixing.target_shares(cells.groupby(m)["mass"].sum(), m, targets) * cells["mass"].sum()
-        assert np.allclose(pd.Series(raked).groupby(cells[m]).sum(), want.sort_index(), rtol=1e-6)
-    mass = cells["mass"].to_numpy()
-    p = mixing.probabilities(mass, raked / mass, 0.6)
-    assert p.max() <= 1 and (p * mass).sum() == pytest.approx(0.6 * mass.sum())
-
-
-def test_mixing_odd_rows_and_many_cells(spark):
+def test_near_queries_share_groups_and_need_fewer_cells():
+    """Clustered vectors: groups by pivots need fewer replicated rows than the same number of groups dealt at random."""
+    rnd = np.random.default_rng(3)
+    pivots = rnd.normal(size=(32, 6)) * 50
+    order = knn_join.neighbours(pivots)
+    assert sorted(order) == list(range(32))
+    step = np.linalg.norm(np.diff(pivots[order], axis=0), axis=1).mean()
+    assert step < 0.9 * np.linalg.norm(np.diff(pivots, axis=0), axis=1).mean()
+    first, parts = knn_join.groups(np.array([10, 2500, 0, 900, 200]), [0, 4, 3, 1, 2])
+    assert first.tolist() == [0, 2, 5, 1, 0] and parts.tolist() == [1, 3, 1, 1, 1]
+
+
+def test_replicated_rows_of_clustered_vectors(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lobspark.llm import shared
+
+    monkeypatch.setattr(knn_join, "QUERY_ROWS", 4)
+    sizes, real = {}, shared.write_out
+    monkeypatch.setattr(shared, "write_out", lambda df, name: sizes.setdefault(name, real(df, name)))
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(8, 6)) * 100
+    rows = [(i, [float(x) for x in centres[i % 8] + rnd.normal(size=6)], "s", 1, "r") for i in range(1600)]
+    got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn_join.knn_join(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()), key=str)
+    assert got == brute_knn(rows, 10)
+    asked = sizes["asked"].select("dim", "cell", "block").distinct().count()
+    assert asked < 0.6 * sizes["places"].select("cell").distinct().count() * sizes["asked"].select("block").distinct().count()
+
+
+def mixing_table(spark, n=3000, seed=5):
+    rnd = np.random.default_rng(seed)
+    words = {g: [f"{g}{k}" for k in range(60)] for g in "xyz"}
+    rows = []
+    for i in range(n):
+        g = str(rnd.choice(list("xyz"), p=[0.7, 0.2, 0.1]))
+        source = str(rnd.choice(["hot", "b", "c", "rare"], p=[0.6, 0.3, 0.09, 0.01]))
+        rows.append((i, " ".join(rnd.choice(words[g], rnd.integers(0, 40))), g if rnd.random() < 0.9 else None, source))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_mixing_against_brute_force(spark):
+    """Probabilities solve the raking equations, as sums over all rows; and kept is the hash of the id below them."""
+    import struct
+
+    import xxhash
+
+    targets = mixing.Targets(shares={"source": {"rare": 0.05}, "lang": {"x": 0.5}})
+    df = mixing_table(spark)
+    got = mixing.mix(df, targets).toPandas().sort_values("doc_id", ignore_index=True)
+    assert len(got) == 3000 and got["n_tokens"].tolist() == [len(r["text"].split()) for r in df.orderBy("doc_id").collect()]
+    total = got["n_tokens"].sum()
+    for m in ("lang", "topic"):
+        own = got.groupby(m)["n_tokens"].sum()
+        want = pd.Series(mixing.target_shares(own.to_dict(), m, targets))
+        have = (got["n_tokens"] * got["probability"]).groupby(got[m]).sum()
+        assert np.allclose(have[want.index] / have.sum(), want, atol=1e-5)
+    short = 0.7 * total * 0.05 - got.loc[got["source"] == "rare", "n_tokens"].sum()
+    assert have.sum() == pytest.approx(0.7 * total - short)
+    by_source = got.groupby("source")
+    rare = by_source.get_group("rare")
+    assert (rare["probability"] == 1).all()  # its target is more than it has: taken whole, and no more
+    assert ((got["probability"] == 1) == (got["weight"] * 0.7 >= 1)).all()
+    cells = got.drop_duplicates(["source", "lang", "topic"]).set_index(["source", "lang", "topic"])["weight"]
+    ratio = cells["hot"] / cells["b"].reindex(cells["hot"].index)
+    assert np.allclose(ratio.dropna(), ratio.dropna().iloc[0])  # a[source] * b[lang] * c[topic]
+    seed = xxhash.xxh64_intdigest(struct.pack("<i", 42), seed=42)
+    draw = [xxhash.xxh64_intdigest(struct.pack("<q", int(i)), seed=seed) % (1 << 53) for i in got["doc_id"]]
+    assert (got["kept"] == (np.array(draw) < got["probability"] * 2.0**53)).all()
+
+
+def test_source_factors_solve_the_cut_equations():
+    rnd = np.random.default_rng(6)
+    mass, w = rnd.integers(0, 50, (200, 7)).astype(float), rnd.random(7) * 3
+    w[2] = 0
+    want = mass.sum(axis=1) * rnd.random(200)
+    a = mixing.source_factors(mass, want, w)
+    got = (mass * np.minimum(1, a[:, None] * w)).sum(axis=1)
+    short = (mass * (w > 0)).sum(axis=1) <= want
+    assert np.allclose(got[~short], want[~short]) and np.allclose(got[short], (mass * (w > 0)).sum(axis=1)[short])
+
+
+def test_report_of_achieved_shares(spark):
+    rows = mixing.with_topics(mixing.described(mixing_table(spark).withColumn("topic", F_lit("t")), "doc_id", "text"), None)
+    cells = mixing.cells_of(rows)
+    raked = mixing.Raking(cells, mixing.Targets(fraction=0.3))
+    got = mixing.report(raked.probabilities(), cells).toPandas().set_index(["marginal", "category"])
+    assert raked.error < 1e-6 and np.allclose(got["target"], got["achieved"], atol=1e-5)
+    assert np.allclose(got["observed"].groupby("marginal").sum(), 1)
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_topics_against_k_means_in_one_place(spark):
+    rows = mixing.described(mixing_table(spark, 500), "doc_id", "text")
+    topics, again = mixing.clusters(rows, topics=3), mixing.clusters(rows.repartition(7), topics=3)
+    assert np.array_equal(topics.centres, again.centres)
+    got = rows.collect()
+    v, langs = np.array([np.frombuffer(bytes(r["vec"]), dtype=np.int8) for r in got]).astype(int), np.array([r["lang"] for r in got])
+    for x in set(langs):
+        assert (topics.means[x] == np.rint(v[langs == x].sum(axis=0) / (langs == x).sum())).all()
+    apart = v - np.array([topics.means[x] for x in langs])
+    near = (apart @ topics.centres.T).argmax(axis=1)
+    moved = mixing.clusters(rows, topics=3, passes=mixing.PASSES + 1)
+    assert np.allclose(moved.centres, mixing._unit(np.array([apart[near == k].sum(axis=0, dtype=float) for k in range(3)])))
+    assert sorted(r["topic"] for r in mixing.with_topics(rows, topics).collect()) == sorted(f"t{k}" for k in near)
+
+
+def test_mixing_odd_rows(spark):
     from pyspark.sql import functions as F
 
     df = docs(spark, TEXTS).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id") % 3)))
-    one, many = mixing.mix(df).toPandas().set_index("doc_id"), mixing.mix(df, max_cells=2).toPandas().set_index("doc_id")
+    df = df.withColumn("__source", F.lit("mine")).withColumn("__own", F.lit(1))
+    one = mixing.mix(df).toPandas().set_index("doc_id")
     assert len(one) == len(TEXTS) and set(one["source"]) == {"?", "s1", "s2"}
-    assert np.allclose(one["probability"], many["probability"].reindex(one.index), atol=1e-5)
-    assert one["n_tokens"].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", TEXTS[i] or "")) for i in one.index]
+    assert one["n_tokens"].sort_index().tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in TEXTS]
     kept = mixing.sample(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(one.index[one["kept"]])
+    assert {(r["__source"], r["__own"]) for r in kept.select("__source", "__own").collect()} == {("mine", 1)}
+    with_topic = df.withColumn("topic", F.when(F.col("doc_id") % 2 == 0, F.lit("even")))
+    assert set(mixing.mix(with_topic).toPandas()["topic"]) == {"even", "?"} and mixing.sample(with_topic).columns == with_topic.columns
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.sample(docs(spark, [])).count() == 0
+    assert mixing.mix(docs(spark, [None, ""])).count() == 2
+
+
+def test_training_rows_of_toxicity_are_bounded(spark):
+    """Repeated ids teach once; words and rows are bounded by hash order; a huge labelled text neither fails nor crowds out others."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = [i for i in range(400) if not held(i)]
+    texts = ["bad awful words" if i % 3 == 0 else "fine kind words" for i in ids]
+    frame = docs(spark, [*texts, *texts[:50] * 3, "word " * 10_000_000], [*ids, *ids[:50] * 3, 100_000])
+    labels = spark.createDataFrame([*[(i, int(i % 3 == 0)) for i in ids], (100_000, 0), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda words, y, langs, seed=7: seen.append(([list(w) for w in words], y)) or real([w for w in seen[-1][0]], y, langs, seed)
+        toxicity.fit(frame, labels)
+        toxicity.fit(frame, labels, train_rows=100)
+        toxicity.fit(frame, labels, train_words=90)
+    finally:
+        toxicity.train = real
+    assert len(seen[0][1]) == len(ids)  # without the text of 10,000,000 words
+    assert 99 <= len(seen[1][1]) <= 100 and len(seen[2][1]) == 30
+
+
+def test_scores_against_a_plain_forward_pass():
+    """The network's logits, word by word and filter by filter."""
+    net = toxicity.Network()
+    for text in ["", "one", "two words", "a b c d a b"]:
+        words = text.split()
+        vec = [net.table[toxicity.word_pieces(w)].sum(axis=0) for w in words]
+        pooled, k = [], 0
+        for width in toxicity.WIDTHS:
+            at = [sum((vec[i + j] @ net.filters[k + j] if 0 <= i + j < len(vec) else 0 * net.bias[:8]) for j in range(width)) for i in range(-toxicity.TAIL if not words else 0, max(len(words), 1))]
+            at.append(np.zeros(toxicity.FILTERS))  # the empty words behind a text
+            pooled.append(np.max(at, axis=0))
+            k += width
+        logit = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.out_bias
+        assert np.allclose(toxicity.Scorer(net).score([text]), net.scores(np.array([logit])), atol=1e-5)
