@@ -2,7 +2,7 @@
 
 TICK = 0.01
 BUCKET = 3
-MORNING_OPEN, MORNING_CLOSE, AFTERNOON_OPEN, AFTERNOON_CLOSE = 34200, 41400, 46800, 54000
+MORNING_CLOSE, AFTERNOON_OPEN, AFTERNOON_CLOSE = 41400, 46800, 54000
 TRADING_HOURS = ("09:30:00", "15:00:00")
 #: Forward-return horizons in rows of the grid.
 HORIZONS = {"ret_15s": 5, "ret_30s": 10, "ret_60s": 20, "ret_180s": 60, "ret_300s": 100}
@@ -17,6 +17,6 @@ SNAP_REQUIRED = ("UpdateTime", "SecurityID", "BidPrice1", "AskPrice1", *(f"BidVo
 #: Shenzhen snapshot names and the unified ones.
 SZ_SNAP_NAMES = {"TotalBidQty": "TotalBidVol", "TotalOfferQty": "TotalAskVol", "TurnNum": "TradNumber", "Volume": "TradVolume"}
 SECONDARY_TEXT = ("UpdateTime", "SecurityID", "TradingPhaseCode", "date")
-EXECUTED, CANCELLED = 70, 52
+EXECUTED = 70
 SIDES, ORDER_KINDS = {49: "B", 50: "S"}, {49: "A", 50: "D"}
 EMBARGO_DAYS = 5

@@ -120,6 +120,19 @@ def test_walk_forward_needs_five_dates():
     assert int(fold.validate[0]) - int(fold.train[-1]) == 6 and int(fold.test[0]) - int(fold.validate[-1]) == 6
 
 
+def test_folds_test_no_day_twice_and_keep_their_gaps():
+    for days in range(5, 130, 7):
+        dates = [f"{d:08d}" for d in range(days)]
+        for folds in (1, 2, 4):
+            found = model.walk_forward(dates, folds)
+            tested = [d for f in found for d in f.test]
+            assert tested == sorted(set(tested)) and (folds > 1 or tested[-1:] == dates[-1:])
+            for f in found:
+                gap = min(5, max(1, days // 20))
+                assert int(f.validate[0]) - int(f.train[-1]) == int(f.test[0]) - int(f.validate[-1]) == gap + 1
+                assert len(f.validate) == int(days * 0.2) and f.train[0] == dates[0]
+
+
 def test_range_trains_and_scores(spark, root):
     got = run_range(Factory(MarketData(spark, root)), DATES[0], DATES[-1], names=["OBI", "OFI"], rounds=2, least=5)
     rows = {r["horizon"]: r for r in got[0].collect()}
