@@ -44,32 +44,40 @@ def ema(x: Column, span: int = EMA_SPAN) -> Column:
     return F.sum(part).over(stock_window().rowsBetween(Window.unboundedPreceding, 0)) * weight
 
 
-def rolling_sum(x: Column, rows: int, least: int) -> Column:
-    """Sum of the last rows values, null unless at least `least` of them aren't null."""
-    frame = stock_window().rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(x).over(frame) >= least, F.sum(x).over(frame))
+def running(x: Column) -> Column:
+    """Sum of the values so far; nulls count as 0."""
+    return F.sum(F.coalesce(x, F.lit(0.0))).over(stock_window().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def as_of(events: DataFrame, book: DataFrame, event_secs: str, book_secs: str, carry: list[str], prefix: str = "at_") -> DataFrame:
-    """Each event with the latest book row of its stock and day at or before it; equal times match.
+def rolling(upto: Column, rows: int) -> Column:
+    """Sum over the last rows rows from running sums: one subtraction a row, however long the frame is."""
+    return upto - F.coalesce(lag(upto, rows), F.lit(0.0))
+
+
+def stream_window() -> WindowSpec:
+    """The rows of a stock's day up to each one, in the order of stream()."""
+    return Window.partitionBy(*STOCK).orderBy("__secs", "__side", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def stream(events: DataFrame, book: DataFrame, event_secs: str, book_secs: str, carry: list[str], turn: str | None = None) -> DataFrame:
+    """Events (columns in __event) and book rows as one stream of each stock's day, with the latest book row as __last.
 
-    Both sides are one stream, sorted once, in which the last book row is carried on as a whole (a null price of the
-    latest book isn't replaced by an older one). No pairs are made, whatever the two sizes.
+    A book row comes before events of its time; events of one time are in the order of turn. The book row is carried on as
+    a whole (a null price of the latest book isn't replaced by an older one). Whatever else needs the events' order can
+    use stream_window() at the price of no further sort.
     """
     key = [F.col(k) for k in STOCK]
-    book_part = book.select(*key, F.col(book_secs).alias("__secs"), F.lit(0).alias("__side"), F.struct(*carry).alias("__book"))
-    event_part = events.withColumn("__event", F.struct(*[x for x in events.columns if x not in STOCK])).select(*key, F.col(event_secs).alias("__secs"), F.lit(1).alias("__side"), "__event")
+    book_part = book.select(*key, F.col(book_secs).alias("__secs"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__turn"), F.struct(*carry).alias("__book"))
+    order = F.col(turn).cast("long") if turn else F.lit(0).cast("long")
+    event_part = events.withColumn("__event", F.struct(*[x for x in events.columns if x not in STOCK])).select(*key, F.col(event_secs).alias("__secs"), F.lit(1).alias("__side"), order.alias("__turn"), "__event")
     both = book_part.unionByName(event_part, allowMissingColumns=True)
-    order = Window.partitionBy(*STOCK).orderBy("__secs", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__last", F.last("__book", ignorenulls=True).over(order)).where("__side = 1")
-    return both.select(*STOCK, "__event.*", *[F.col(f"__last.{x}").alias(prefix + x) for x in carry])
+    return both.withColumn("__last", F.last("__book", ignorenulls=True).over(stream_window()))
+
 
+def as_of(events: DataFrame, book: DataFrame, event_secs: str, book_secs: str, carry: list[str], prefix: str = "at_") -> DataFrame:
+    """Each event with the latest book row of its stock and day at or before it; equal times match.
 
-def longest_streaks(events: DataFrame, flag: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Longest runs of B and of S within each key: max_consec_buy, max_consec_sell."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(w)).cast("int"), F.lit(0))
-    island = F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = events.withColumn("__changed", changed).withColumn("__island", island).groupBy(*keys, "__island").agg(F.count("*").alias("n"), F.max(flag).alias("side"))
-    longest = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
-    return runs.groupBy(*keys).agg(longest("B").alias("max_consec_buy"), longest("S").alias("max_consec_sell"))
+    Both sides are one stream, sorted once. No pairs are made, whatever the two sizes.
+    """
+    both = stream(events, book, event_secs, book_secs, carry).where("__side = 1")
+    return both.select(*STOCK, "__event.*", *[F.col(f"__last.{x}").alias(prefix + x) for x in carry])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EPS, MOMENT_MIN_ROWS, MOMENT_ROWS
-from ..functions.windows import lag, rolling_sum, stock_window
+from ..functions.windows import lag, rolling, running, stock_window
 from .registry import feature
 
 MID = ["mid_price"]
@@ -19,16 +19,19 @@ def step_return() -> Column:
     return F.when(F.row_number().over(stock_window()) == 1, F.lit(0.0)).otherwise(ln - lag(ln))
 
 
-def _rolled(name: str, x) -> None:
-    feature(name, MID, needs=["__return"], helper=True)(lambda: rolling_sum(x(F.col("__return")), MOMENT_ROWS, MOMENT_MIN_ROWS))
+def _rolled(name: str, x, helper: bool = True) -> None:
+    """Sum over the last rows from differences of running sums; even powers stay at 0 or above."""
+    feature(f"__s_{name}", MID, needs=["__return"], helper=True)(lambda: running(x(F.col("__return"))))
+    feature(f"__w_{name}", needs=[f"__s_{name}"], helper=True)(lambda: rolling(F.col(f"__s_{name}"), MOMENT_ROWS))
+    feature(name, needs=[f"__w_{name}", "__w___n"] if name != "__n" else ["__w___n"], helper=helper)(lambda: F.when(F.col("__w___n") >= MOMENT_MIN_ROWS, F.col(f"__w_{name}") if name == "__r3" else F.greatest(f"__w_{name}", F.lit(0.0))))
 
 
+_rolled("__n", lambda r: r.isNotNull().cast("double"))
 _rolled("__r3", lambda r: r * r * r)
 _rolled("__r4", lambda r: (r * r) * (r * r))
-_rolled("__up", lambda r: F.when(r > 0, r * r).otherwise(F.lit(0.0)))
-_rolled("__down", lambda r: F.when(r < 0, r * r).otherwise(F.lit(0.0)))
-_rolled("__n", lambda r: r.isNotNull().cast("double"))
-feature("RVol", MID, needs=["__return"])(lambda: rolling_sum(F.col("__return") * F.col("__return"), MOMENT_ROWS, MOMENT_MIN_ROWS))
+_rolled("__up", lambda r: F.when(r > 0, r * r))
+_rolled("__down", lambda r: F.when(r < 0, r * r))
+_rolled("RVol", lambda r: r * r, helper=False)
 
 
 def _gated(x: Column) -> Column:

@@ -1,7 +1,8 @@
 """First principal component of the stocks' order-flow imbalances in each cross-section.
 
-Means, deviations and covariances are one aggregate; a 3 x 3 eigenproblem is solved for one row a section in a vectorised
-function; projections are Columns again. Stock rows never go to Python.
+Means, deviations and covariances are windows over the section, so the order-flow columns are computed once; the 3 x 3
+eigenproblem is solved in a vectorised function, once for each section of a batch (rows of a section follow each other);
+projections are Columns again. Python gets six numbers a row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import PCA_MIN_STOCKS
 from ..functions.nulls import total
-from ..functions.windows import SECTION
+from ..functions.windows import section_window
 
 INPUTS = ("OFI_1", "OFI", "OFI_10")
 OUTPUTS = ("OFI_PC1", "OFI_Residual", "OFI_PC1_Var")
@@ -22,11 +23,16 @@ OUTPUTS = ("OFI_PC1", "OFI_Residual", "OFI_PC1_Var")
 
 @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("l0", "l1", "l2", "share")]))
 def _leading(c00: pd.Series, c01: pd.Series, c02: pd.Series, c11: pd.Series, c12: pd.Series, c22: pd.Series) -> pd.DataFrame:
-    m = np.stack([np.stack([c00, c01, c02], -1), np.stack([c01, c11, c12], -1), np.stack([c02, c12, c22], -1)], -2)
-    values, vectors = np.linalg.eigh(m)
+    """The leading eigenvector and its share; nulls for rows without figures."""
+    rows = np.column_stack([c00, c01, c02, c11, c12, c22]).astype(float)
+    head = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)])
+    one = np.nan_to_num(rows[head])
+    values, vectors = np.linalg.eigh(one[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
     v = vectors[:, :, -1] * np.where(vectors[:, 1, -1] < 0, -1.0, 1.0)[:, None]
     share = np.maximum(values[:, -1], 0) / np.maximum(values.sum(axis=1), 1e-12)
-    return pd.DataFrame({"l0": v[:, 0], "l1": v[:, 1], "l2": v[:, 2], "share": share})
+    out = np.repeat(np.column_stack([v, share]), np.diff(np.r_[head, len(rows)]), axis=0)
+    out[np.isnan(rows).any(axis=1)] = np.nan
+    return pd.DataFrame(out, columns=["l0", "l1", "l2", "share"])
 
 
 def add_pca(df: DataFrame) -> DataFrame:
@@ -34,18 +40,18 @@ def add_pca(df: DataFrame) -> DataFrame:
     whole = [F.col(x).isNotNull() for x in INPUTS]
     complete = whole[0] & whole[1] & whole[2]
     x = [F.when(complete, F.col(c)) for c in INPUTS]
-    stats = [F.count(x[0]).alias("n")]
+    w = section_window()
+    stats = {"__n": F.count(x[0]).over(w)}
     for i in range(3):
-        stats += [F.avg(x[i]).alias(f"m{i}"), F.stddev_pop(x[i]).alias(f"s{i}")]
-        stats += [F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for j in range(i, 3)]
-    g = df.groupBy(*SECTION).agg(*stats).where(F.col("n") >= PCA_MIN_STOCKS)
-    g = g.withColumns({f"s{i}": F.when(F.col(f"s{i}") < 1e-10, F.lit(1.0)).otherwise(F.col(f"s{i}")) for i in range(3)})
-    scaled = [F.col(f"c{i}{j}") * F.col("n") / (F.col("n") - 1) / (F.col(f"s{i}") * F.col(f"s{j}")) for i in range(3) for j in range(i, 3)]
-    g = g.withColumn("e", _leading(*scaled)).select(*SECTION, *[f"m{i}" for i in range(3)], *[f"s{i}" for i in range(3)], "e")
-    joined = df.join(g, list(SECTION), "left")
-    z = [(x[i] - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(3)]
-    load = [F.col(f"e.l{i}") for i in range(3)]
-    joined = joined.withColumn("OFI_PC1", total([a * b for a, b in zip(z, load, strict=True)]))
-    rest = [a - F.col("OFI_PC1") * b for a, b in zip(z, load, strict=True)]
-    joined = joined.withColumns({"OFI_Residual": F.sqrt(total([r * r for r in rest])), "OFI_PC1_Var": F.when(complete, F.col("e.share"))})
-    return joined.select(*df.columns, *OUTPUTS)
+        stats |= {f"__m{i}": F.avg(x[i]).over(w), f"__s{i}": F.stddev_pop(x[i]).over(w)}
+        stats |= {f"__c{i}{j}": F.covar_pop(x[i], x[j]).over(w) for j in range(i, 3)}
+    out = df.withColumns(stats)
+    enough = F.col("__n") >= PCA_MIN_STOCKS
+    out = out.withColumns({f"__s{i}": F.when(F.col(f"__s{i}") < 1e-10, F.lit(1.0)).otherwise(F.col(f"__s{i}")) for i in range(3)})
+    scaled = [F.when(enough, F.col(f"__c{i}{j}") * F.col("__n") / (F.col("__n") - 1) / (F.col(f"__s{i}") * F.col(f"__s{j}"))) for i in range(3) for j in range(i, 3)]
+    out = out.withColumn("__e", _leading(*scaled))
+    z = [F.when(enough, (x[i] - F.col(f"__m{i}")) / F.col(f"__s{i}")) for i in range(3)]
+    out = out.withColumn("OFI_PC1", total([a * F.col(f"__e.l{i}") for i, a in enumerate(z)]))
+    rest = [a - F.col("OFI_PC1") * F.col(f"__e.l{i}") for i, a in enumerate(z)]
+    out = out.withColumns({"OFI_Residual": F.sqrt(total([r * r for r in rest])), "OFI_PC1_Var": F.when(complete & enough, F.col("__e.share"))})
+    return out.select(*df.columns, *OUTPUTS)

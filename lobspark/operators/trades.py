@@ -1,17 +1,17 @@
 """Aggregates of trades by stock and bucket, and the features of them.
 
 Both markets are one normalised table before anything is aggregated: a stock belongs to one market, so nothing has to be
-merged again afterwards. One as-of pass, one aggregate and one streak pass, all keyed by stock first.
+merged again afterwards. Book, sides and streaks come from one sorted stream, then there is one aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import timegrid
 from ..functions.nulls import count0, div, imbalance, nearest_quantile, rat, sum0
-from ..functions.windows import SECTION, STOCK, as_of, longest_streaks
+from ..functions.windows import SECTION, STOCK, stream, stream_window
 from .registry import feature
 
 KEYS = [*STOCK, "timestamp"]
@@ -20,13 +20,23 @@ COUNTS = ["trade_buy_cnt", "trade_sell_cnt", "trade_count", "pen_buy_cnt", "pen_
 OTHERS = ["trade_vwap", "trade_vwap_den", "trade_price_dispersion", "trade_price_dev"]
 
 
+def sides(price: Column, known: Column, window: WindowSpec) -> dict[str, Column]:
+    """Columns, one after another, that end in __flag: the known side, or that of the tick rule.
+
+    B above the previous price, S below, else as before; B for a leading run. price is null in rows that aren't trades.
+    """
+    before = F.last(price, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    moved = F.when(price > F.col("__before"), "B").when(price < F.col("__before"), "S")
+    carried = F.last("__moved", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return {"__before": before, "__moved": moved, "__flag": F.coalesce(known, carried, F.lit("B"))}
+
+
 def tick_rule(trades: DataFrame) -> DataFrame:
-    """Fills the missing sides of trades: B above the previous price, S below, else as before; B for a leading run."""
-    w = Window.partitionBy(*STOCK).orderBy("secs", "TradeIndex")
-    before = F.lag("TradPrice").over(w)
-    moved = F.when(F.col("TradPrice") > before, "B").when(F.col("TradPrice") < before, "S")
-    carried = F.last("__moved", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return trades.withColumn("__moved", moved).withColumn("TradeBSFlag", F.coalesce("TradeBSFlag", carried, F.lit("B"))).drop("__moved")
+    """Fills the missing sides of trades."""
+    out = trades
+    for name, column in sides(F.col("TradPrice"), F.col("TradeBSFlag"), Window.partitionBy(*STOCK).orderBy("secs", "TradeIndex")).items():
+        out = out.withColumn(name, column)
+    return out.withColumn("TradeBSFlag", F.col("__flag")).drop("__before", "__moved", "__flag")
 
 
 def previous_day(dates: DataFrame) -> DataFrame:
@@ -41,6 +51,25 @@ def thresholds(events: DataFrame, amount: Column, days: DataFrame) -> DataFrame:
     return own.withColumnRenamed("date", "previous").join(F.broadcast(previous_day(days)), "previous").select(*STOCK, "large_thresh")  # a row a day
 
 
+def in_order(trades: DataFrame, grid: DataFrame) -> DataFrame:
+    """Trades with their side (TradeBSFlag), the book before them (at_...), and their place in a streak of one side within
+    their bucket (__streak), all from one stream of trades and book rows that is sorted once."""
+    book = ["BidPrice1", "AskPrice1", "mid_price"]
+    both = stream(trades, grid, "secs", "secs", book, turn="TradeIndex")
+    upto = stream_window()
+    so_far = upto.rowsBetween(Window.unboundedPreceding, -1)
+    is_trade = F.col("__side") == 1
+    steps = sides(F.col("__event.TradPrice"), F.col("__event.TradeBSFlag"), upto)
+    steps["__key"] = F.when(is_trade, F.struct(F.col("__event.timestamp").alias("t"), F.col("__flag").alias("flag")))
+    steps["__count"] = F.sum(is_trade.cast("long")).over(upto)
+    steps["__opens"] = F.when(is_trade & ~F.col("__key").eqNullSafe(F.last("__key", ignorenulls=True).over(so_far)), F.col("__count"))
+    steps["__streak"] = F.col("__count") - F.last("__opens", ignorenulls=True).over(upto) + 1
+    for name, column in steps.items():
+        both = both.withColumn(name, column)
+    events = [F.col(f"__event.{x}").alias(x) for x in trades.columns if x not in (*STOCK, "TradeBSFlag")]
+    return both.where(is_trade).select(*STOCK, *events, F.col("__flag").alias("TradeBSFlag"), "__streak", *[F.col(f"__last.{x}").alias(f"at_{x}") for x in book])
+
+
 def aggregate(trades: DataFrame, grid: DataFrame) -> DataFrame:
     """Trades (SecurityID, date, TradTime or secs, TradPrice, TradVolume, TradeMoney, TradeBSFlag, TradeIndex) by bucket.
 
@@ -48,15 +77,16 @@ def aggregate(trades: DataFrame, grid: DataFrame) -> DataFrame:
     """
     if "secs" not in trades.columns:
         trades = trades.withColumn("secs", timegrid.seconds(F.col("TradTime")))
-    trades = tick_rule(trades).withColumn("timestamp", timegrid.ceil_bucket(F.col("secs")))
+    trades = trades.withColumn("timestamp", timegrid.ceil_bucket(F.col("secs")))
     limits = thresholds(trades, F.col("TradeMoney"), trades.select("date").union(grid.select("date")))
-    seen = as_of(trades, grid, "secs", "secs", ["BidPrice1", "AskPrice1", "mid_price"]).join(limits, list(STOCK), "left")
+    seen = in_order(trades, grid).join(limits, list(STOCK), "left")
     buy, sell = F.col("TradeBSFlag") == "B", F.col("TradeBSFlag") == "S"
     large = F.col("TradeMoney") >= F.col("large_thresh")
     pen_buy, pen_sell = buy & (F.col("TradPrice") > F.col("at_AskPrice1")), sell & (F.col("TradPrice") < F.col("at_BidPrice1"))
     price, volume, money = F.col("TradPrice"), F.col("TradVolume"), F.col("TradeMoney")
     deviation = F.coalesce(F.try_divide(F.abs(price - F.col("at_mid_price")), F.col("at_mid_price")), F.lit(0.0))
     mean = F.avg(price).over(Window.partitionBy(*KEYS))
+    longest = lambda side: F.coalesce(F.max(F.when(side, F.col("__streak"))), F.lit(0).cast("long"))
     out = seen.withColumn("__mean", mean).groupBy(*KEYS).agg(
         sum0(money, buy).alias("trade_buy_amt"),
         sum0(money, sell).alias("trade_sell_amt"),
@@ -73,9 +103,10 @@ def aggregate(trades: DataFrame, grid: DataFrame) -> DataFrame:
         sum0(money, pen_buy).alias("pen_buy_amt"),
         sum0(money, pen_sell).alias("pen_sell_amt"),
         F.avg(deviation).alias("trade_price_dev"),
+        longest(buy).alias("max_consec_buy"),
+        longest(sell).alias("max_consec_sell"),
     )
-    out = out.withColumn("trade_vwap", div(F.col("__num"), F.col("trade_vwap_den"))).drop("__num")
-    return out.join(longest_streaks(trades, "TradeBSFlag", ["secs", "TradeIndex"], KEYS), KEYS, "left")
+    return out.withColumn("trade_vwap", div(F.col("__num"), F.col("trade_vwap_den"))).drop("__num")
 
 
 def join_grid(grid: DataFrame, stats: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import book, evaluate, labels, limits, model, moments, ofi, orders, pca, registry, trades  # noqa: F401  registers all features
 from ..operators.registry import FEATURES, Feature
@@ -60,20 +61,19 @@ class Factory:
     def compute(self, dates: list[str], names: list[str] | None = None) -> DataFrame:
         """Labels and features of the dates. Stored features are joined, the others computed and stored."""
         names = list(names or available())
-        held = [n for n in names if self.store and all(self.store.exists(n, d) for d in dates)]
+        stored = self.store.held() if self.store else set()
+        held = [n for n in names if self.store and all((n, d) in stored for d in dates)]
         rest = [n for n in names if n not in held]
-        df = self.grid([n for n in names if FEATURES[n].source != "section"] + (list(pca.INPUTS) if set(names) & set(pca.OUTPUTS) else []), dates)
+        df = grid = self.grid([n for n in names if FEATURES[n].source != "section"] + (list(pca.INPUTS) if set(names) & set(pca.OUTPUTS) else []), dates)
         if rest:
             sources = {f.source for level in registry.closure([n for n in rest if FEATURES[n].source != "section"]) for f in level}
             previous = self._with_previous(dates)
             ticks = lambda read: (t := read()).where(t["date"].isin(previous))
             df = compute(df, rest, ticks(self.data.trades) if "trades" in sources else None, ticks(self.data.orders) if "orders" in sources else None)
-            if self.store:
-                for n in rest:
-                    self.store.write(df, n)
-        for n in held:
-            df = self.store.join(df, n)
-        return df
+            if self.store:  # written once, and read back by whoever asks for the result
+                self.store.write(df, *rest)
+                df, held = grid, names
+        return self.store.join(df, *held).select(*grid.columns, *names) if held else df
 
     def _with_previous(self, dates: list[str]) -> list[str]:
         """The dates and the trading day before the first, which large-trade thresholds need."""
@@ -85,7 +85,8 @@ class Factory:
 def run_day(factory: Factory, date: str, names: list[str] | None = None) -> dict:
     """One day's frame with labels and features, and its counts."""
     df = factory.compute([date], names)
-    return {"df": df, "features": list(names or available()), "rows": df.count(), "stocks": df.select("SecurityID").distinct().count()}
+    counts = df.agg(F.count("*").alias("rows"), F.count_distinct("SecurityID").alias("stocks")).first()
+    return {"df": df, "features": list(names or available()), "rows": counts["rows"], "stocks": counts["stocks"]}
 
 
 def run_range(factory: Factory, start: str, end: str, target: str = "ret_15s", names: list[str] | None = None, folds: int = 1, **options: object) -> dict:

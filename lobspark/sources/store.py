@@ -27,30 +27,42 @@ class FeatureStore:
                 code += [f.name, inspect.getsource(f.build)]
         return hashlib.sha256("\n".join(code).encode()).hexdigest()[:12]
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/universe={self.universe}/feature={name}/version={self.version(name)}"
+    def held(self) -> set[tuple[str, str]]:
+        """(feature, date) of all that is stored in today's versions, from one listing of the folders."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.root}/universe={self.universe}/feature=*/version=*/date=*")
+        found = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(top) or []
+        parts = [dict(x.split("=", 1) for x in str(f.getPath()).split("/") if "=" in x) for f in found]
+        versions = {n: self.version(n) for n in {p["feature"] for p in parts}}
+        return {(p["feature"], p["date"]) for p in parts if versions[p["feature"]] == p["version"]}
 
     def exists(self, name: str, date: str | None = None) -> bool:
-        try:
-            df = self.read(name)
-        except FileNotFoundError:
-            return False
-        return date is None or not df.where(F.col("date") == date).isEmpty()
+        return any(n == name and date in (None, d) for n, d in self.held())
 
-    def write(self, df: DataFrame, name: str) -> None:
-        """Replaces the stored dates that df has."""
-        rows = df.select("date", "timestamp", "SecurityID", F.col(name).cast("double").alias("value")).where("value IS NOT NULL")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(self.path(name))
+    def write(self, df: DataFrame, *names: str) -> None:
+        """Replaces the stored dates that df has, of all named features in one job. A feature's day is one file."""
+        each = [F.struct(F.lit(n).alias("feature"), F.lit(self.version(n)).alias("version"), F.col(n).cast("double").alias("value")) for n in names]
+        rows = df.select("date", "timestamp", "SecurityID", F.explode(F.array(*each)).alias("f")).select("timestamp", "SecurityID", "f.value", "f.feature", "f.version", "date").where("value IS NOT NULL")
+        rows = rows.repartition("feature", "date")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("feature", "version", "date").parquet(f"{self.root}/universe={self.universe}")
 
-    def read(self, name: str) -> DataFrame:
+    def _scan(self, names: tuple[str, ...]) -> DataFrame:
+        """Long rows of the named features in today's versions: one scan, pruned to their folders and the dates asked for."""
         try:
-            return self.spark.read.parquet(self.path(name)).withColumn("date", F.col("date").cast("string"))
+            every = self.spark.read.schema("timestamp int, SecurityID string, value double, feature string, version string, date string").parquet(f"{self.root}/universe={self.universe}")
         except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise FileNotFoundError(self.path(name)) from e
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(self.root) from e
             raise
+        return every.where(F.concat_ws("/", "feature", "version").isin([f"{n}/{self.version(n)}" for n in names]) & F.col("feature").isin(list(names)))
+
+    def read(self, name: str) -> DataFrame:
+        if not self.exists(name):
+            raise FileNotFoundError(f"{self.root}: {name}")
+        return self._scan((name,)).select("date", "timestamp", "SecurityID", "value")
 
-    def join(self, df: DataFrame, name: str) -> DataFrame:
-        """df with the stored feature, by date, timestamp and stock."""
-        stored = self.read(name).select("date", "timestamp", "SecurityID", F.col("value").alias(name))
-        return df.drop(name).join(stored, ["date", "timestamp", "SecurityID"], "left")
+    def join(self, df: DataFrame, *names: str) -> DataFrame:
+        """df with the stored features, by date, timestamp and stock, as one join; what isn't stored is null."""
+        keys = ["date", "timestamp", "SecurityID"]
+        wide = self._scan(names).groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in names])
+        return df.drop(*names).join(wide, keys, "left")

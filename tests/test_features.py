@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lobspark.functions import timegrid
-from lobspark.functions.windows import as_of, longest_streaks
+from lobspark.functions.windows import as_of
 from lobspark.operators import evaluate, labels, orders, pca, trades
 from lobspark.operators.registry import FEATURES, apply, feature
 from lobspark.plans import factory
@@ -118,7 +118,8 @@ def test_as_of_takes_the_whole_last_book_and_equal_times(spark):
 def test_streaks_end_with_the_bucket(spark):
     rows = [("600001", "d1", s, 10.0, 1.0, 10.0, f, k) for k, (s, f) in enumerate([(34201.0, "B"), (34202.0, "B"), (34203.0, "S"), (34203.5, "S"), (34204.0, "S"), (34205.0, "B")])]
     t = events(spark, rows).withColumn("timestamp", timegrid.ceil_bucket(F.col("secs")))
-    got = longest_streaks(t, "TradeBSFlag", ["secs", "TradeIndex"], ["SecurityID", "date", "timestamp"]).orderBy("timestamp").collect()
+    grid = book(spark, [("600001", "d1", 34200, 10.0, 10.02, 1.0, 1.0), ("600001", "d1", 34204, 10.0, 10.02, 1.0, 1.0)])
+    got = trades.aggregate(t, grid).orderBy("timestamp").collect()
     assert [(r["timestamp"], r["max_consec_buy"], r["max_consec_sell"]) for r in got] == [(34203, 2, 1), (34206, 1, 2)]
 
 
