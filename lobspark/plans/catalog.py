@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import timegrid
 from ..functions.nulls import nearest_quantile
 from ..functions.windows import as_of
 from ..operators import evaluate, labels, model, orders, pca, trades
-from ..sources import adapters
+from ..sources import adapters, layout
+from ..sources.market import MarketData
+from ..sources.market import on_grid as on_grid_rows
+from ..sources.store import FeatureStore
 from . import factory
 
 KEYS = ["SecurityID", "date", "timestamp"]
@@ -429,3 +433,81 @@ def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = df.where("date = '20240102'"), df.where("date = '20240103'")
     fitted = model.AlphaModel(names, rounds=5, depth=3, least=20).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
     return fitted.predict(second).select(*KEYS, "prediction")
+
+
+def _real(x: str, name: str | None = None) -> str:
+    return q(f"cast(cast({x} as real) as double)", name or x)
+
+
+_SH = "substring(SecurityID, 1, 1) = '6'"
+
+
+@query("read_snapshots", _with(S) + f"""
+SELECT SecurityID, date, timestamp, {q('secs')}, {', '.join(_real(c) for c in ('LastPrice', 'BidPrice1', 'AskPrice10', 'HighLimitPrice'))},
+ {', '.join(q(c) for c in ('BidVolume3', 'NumOrdersB2', 'MaxBidDur'))}, {q('BidVolume1', 'TotalBidVol')} FROM s WHERE secs < 54000""")
+def read_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both markets' files on the grid: names unified, the last snapshot of a bucket, trading hours only."""
+    figures = ["LastPrice", "BidPrice1", "AskPrice10", "HighLimitPrice", "BidVolume3", "NumOrdersB2", "MaxBidDur", "TotalBidVol"]
+    return _figures(MarketData(spark, layout.write(spark, sf_dir, "snap")).snapshots(figures), ["secs", *figures])
+
+
+@query("read_one_market", _with(S) + f"\nSELECT SecurityID, date, {_real('BidPrice2')}, {_real('PreCloPrice')}, count(*) AS n FROM s WHERE {_SH} AND secs < 54000 AND date = '20240103' GROUP BY SecurityID, date, BidPrice2, PreCloPrice")
+def read_one_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One market's files of one day; buckets count once."""
+    data = MarketData(spark, layout.write(spark, sf_dir, "snap"))
+    df = on_grid_rows(data.market_snapshots("sh", ["BidPrice2", "PreCloPrice"]).where("date = '20240103'"))
+    return df.groupBy("SecurityID", "date", on_grid("BidPrice2").alias("BidPrice2"), on_grid("PreCloPrice").alias("PreCloPrice")).agg(F.count("*").alias("n"))
+
+
+@query("read_trades", _with(f"t as ({adapters.TRADE})") + f"""
+SELECT SecurityID, date, TradeIndex, TradeBSFlag, {q('secs')}, {_real('TradPrice')}, {q('TradVolume')},
+ floor(cast(case when {_SH} then cast(cast(TradeMoney as real) as double) else cast(cast(TradPrice as real) as double) * TradVolume end as double) * 1000000 + {SHIFT}) / cast(1000000 as double) + 0.0 AS TradeMoney FROM t""")
+def read_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both markets' trades: cancelled ones dropped, amounts filled in, sides of one market unknown."""
+    t = MarketData(spark, layout.write(spark, sf_dir, "trade")).trades().withColumn("secs", timegrid.seconds(F.col("TradTime")))
+    return _figures(t, ["secs", "TradPrice", "TradVolume", "TradeMoney"], ["SecurityID", "date", "TradeIndex", "TradeBSFlag"])
+
+
+@query("read_orders", _with(f"o as ({adapters.ORDER})") + f"\nSELECT SecurityID, date, OrderIndex, OrderBSFlag, OrderType, {q('secs')}, {_real('OrderPrice')}, {q('Balance')} FROM o")
+def read_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both markets' orders: codes decoded, kinds that aren't used dropped."""
+    o = MarketData(spark, layout.write(spark, sf_dir, "order")).orders().withColumn("secs", timegrid.seconds(F.col("OrderTime")))
+    return _figures(o, ["secs", "OrderPrice", "Balance"], ["SecurityID", "date", "OrderIndex", "OrderBSFlag", "OrderType"])
+
+
+@query("trading_dates", _with(S) + f"\nSELECT DISTINCT date FROM s WHERE {_SH}")
+def trading_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in MarketData(spark, layout.write(spark, sf_dir, "snap")).dates()], "date string")
+
+
+@query("stored_features", _with(S) + f"\nSELECT SecurityID, date, timestamp, {q(imb('BidVolume1', 'AskVolume1'), 'OBI')}, {q(f'case when {_BOTH} then AskPrice1 - BidPrice1 end', 'Spread')}, {q(_MICRO, 'MicroPrice')} FROM s")
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that went through the store and back: written in one job, read as one join; what is null isn't stored."""
+    names, grid = ["OBI", "Spread", "MicroPrice"], adapters.snapshots(spark, sf_dir)
+    store = FeatureStore(spark, layout.scratch(spark, "store"))
+    store.write(factory.compute(grid, names), *names)
+    return _figures(store.join(grid.select(*KEYS), *names), names)
+
+
+@query("stored_dates", _with(S) + "\nSELECT f.feature, date FROM (SELECT DISTINCT date FROM s) CROSS JOIN (VALUES ('OBI'), ('Spread')) f(feature)")
+def stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["OBI", "Spread"]
+    store = FeatureStore(spark, layout.scratch(spark, "store"))
+    store.write(factory.compute(adapters.snapshots(spark, sf_dir), names), *names)
+    return spark.createDataFrame(sorted(store.held()), "feature string, date string")
+
+
+@query("walk_forward_folds", """
+WITH d AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS date FROM orders), n AS (
+  SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d
+), w AS (
+  SELECT *, n - cast(floor(n * (0.6 + 0.2)) AS bigint) AS tested, cast(floor(n * 0.2) AS bigint) AS checked, least(5, greatest(1, n // 20)) AS gap FROM n
+), f AS (
+  SELECT w.*, k.fold, n - tested + tested * k.fold // 3 AS first, n - tested + tested * (k.fold + 1) // 3 AS stop FROM w CROSS JOIN (VALUES (0), (1), (2)) k(fold)
+), p AS (
+  SELECT fold, date, CASE WHEN i >= first AND i < stop THEN 'test' WHEN i >= first - gap - checked AND i < first - gap THEN 'validate' WHEN i < first - 2 * gap - checked THEN 'train' END AS part FROM f
+)
+SELECT fold, part, date FROM p WHERE part IS NOT NULL""")
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folds over the days of the orders table."""
+    return model.fold_table(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyyMMdd").alias("date")), 3)
