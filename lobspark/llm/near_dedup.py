@@ -3,8 +3,8 @@
 A document is its set of distinct shingles of five words. Documents with equal sets form a class from the start. Classes go
 down independent trees: at a node every class selects the BRANCH tokens of its set with the smallest hashes (of that tree
 and level) and goes to one child for each. Children of one class end. Nodes of at most LEAF classes are compared
-exhaustively; larger ones branch again, and what is still large at the last level, or doesn't get smaller by branching,
-is compared exhaustively too, in pairs of blocks that are tasks of their own. A pair with similarity s misses one level of
+exhaustively; larger ones branch again. What is still large at the last level, or doesn't get smaller by branching (many
+near copies of one text), is compared with its consensus, which leaves smaller nodes without a loss. A pair with similarity s misses one level of
 a tree with a chance of at most (1 - s) ** BRANCH, and must miss a level in every tree to be lost by the trees: with three
 trees and three tokens, for leaves of the first, second and third level, at most 5.1e-7, 4.1e-6 and 1.4e-5 at 0.8, and
 3.8e-8, 3.1e-7 and 1.0e-6 at 0.85.
@@ -27,8 +27,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from . import repeats, shared
 from .substring_dedup import word_hashes
@@ -37,6 +38,8 @@ SHINGLE = 5
 #: What pairs are linked from, where no contract says otherwise, as an exact fraction.
 SIMILAR = (80, 100)
 TREES, LEVELS, BRANCH, LEAF, BLOCK = 3, 3, 3, 256, 512
+#: Rounds of comparison with a consensus before a node that stays large goes to pairs of blocks.
+DEPTH = 4
 SKETCH = 64
 #: A node that keeps this share of its classes together in a child isn't split by branching.
 DENSE = 0.5
@@ -116,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two rows are linked when intersection / union of their sets is at least similar[0] / similar[1]. Null texts and texts
     without words have empty sets, linked with nothing. Null ids come after all others: they are component_id only where
-    a component has no other. Repeated rows are linked like any equal sets. Other columns aren't read. With row_col, a unique number
+    a component has no other. Ids may be of any type that sorts. Repeated rows are linked like any equal sets. Other columns aren't read. With row_col, a unique number
     of each row, the result has it too, as row, with the component's own number and the id's order (component, ord).
     """
     texts = repeats.base(docs, id_col, text_col, row_col)
@@ -133,10 +136,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = shared.write_out(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("class"), F.min("ord").alias("least")), "classes")
     leaders = shared.write_out(sets.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n", "sketch", "picks"), "leaders")
 
-    pairs, blocks = _candidates(leaders, similar, leaf, block)
+    pairs, large = _candidates(leaders, similar, leaf)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    if blocks is not None:
-        wanted = wanted.union(blocks.select("class"))
+    if large is not None:
+        wanted = wanted.union(large.select("class"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
@@ -156,8 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     side = lambda name, column: tokens.select(F.col("class").alias(name), F.col("tokens").alias(column))
     links = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
-    if blocks is not None:
-        links = links.unionByName(_block_links(blocks, tokens, similar))
+    for more in _dense_links(large, tokens, similar, block) if large is not None else ():
+        links = links.unionByName(more)
     links = shared.write_out(links, "links")
     labels = components(links)
     least = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
@@ -165,13 +168,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = texts.select("row", "id")
     out = sets.select("row", "ord", "n", "f1", "f2").join(least, ["f1", "f2"], "left").join(names, "row")
     first = F.coalesce(F.when(F.col("n") > 0, F.col("first")), F.col("ord"))
-    component = F.when(first < F.lit(repeats.LAST), first).cast(ids)
+    out = out.withColumn("first", first)
+    if isinstance(ids, IntegralType):
+        component = F.when(F.col("first") < F.lit(repeats.LAST), F.col("first")).cast(ids)
+    else:  # the order's number back to its id
+        named = shared.write_out(texts.where("id IS NOT NULL").groupBy(F.col("ord").alias("first")).agg(F.first("id").alias("least_id")), "names")
+        out, component = out.join(named, "first", "left"), F.col("least_id")
     numbers = ["row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")).alias("component"), "ord"] if row_col else []
     return out.select(*numbers, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of classes that may be similar, from all leaves; and the block pairs of nodes that stay large."""
+def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of classes that may be similar, from all leaves; and the members of nodes that stay large."""
     spark = leaders.sparkSession
     pick = lambda tree, level: F.slice("picks", (tree * LEVELS + level) * BRANCH + 1, BRANCH)
     trees = F.explode(F.flatten(F.array(*[F.transform(pick(t, 0), lambda x, t=t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), x).alias("node"))) for t in range(TREES)])))
@@ -226,62 +234,131 @@ def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int, block:
     seen = small.join(leaders.select("class", "n", "sketch"), "class").select("node", "class", "n", "sketch")
     pairs = seen.repartition(shared.many_parts(spark), "node").sortWithinPartitions("node", "class").mapInArrow(compare, "a bigint, b bigint").distinct()
     pairs = shared.write_out(pairs, "candidates")
-    if large is None:
-        return pairs, None
-    return pairs, _blocks(large, block)
+    return pairs, None if large is None else shared.write_out(large, "dense")
 
 
-def _blocks(large: DataFrame, block: int) -> DataFrame | None:
-    """(node, i, j, class, left): the classes of each pair of blocks of each large node; nodes with equal members (by 128 bits) are one."""
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype=np.int64) for t in column.to_pylist()]
+
+
+def _exploded(frame: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """A row for each token of the sets in a column, with the columns of keep."""
+    schema = frame.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                sets = _sets(part.column(column))
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in keep), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))], names=[*keep, "token"])
+
+    return frame.select(*keep, column).mapInArrow(run, StructType([*schema.fields, StructField("token", LongType())]))
+
+
+def _named(large: DataFrame) -> DataFrame:
+    """(node, class, many) of nodes with more than one member; nodes with equal members (by 128 bits) are one."""
     nodes = large.groupBy("node").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("class")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(17), "class")).alias("x2"))
-    nodes = shared.write_out(nodes.groupBy("many", "x1", "x2").agg(F.min("node").alias("node")).where("many > 1"), "large")
-    if nodes.isEmpty():
-        return None
-    each = large.join(nodes.select("node", "many"), "node").withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
+    nodes = nodes.groupBy("many", "x1", "x2").agg(F.min("node").alias("node")).where("many > 1")
+    return shared.write_out(large.join(nodes.select("node", "many"), "node"), "members")
+
+
+def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int], block: int) -> list[DataFrame]:
+    """Links that join the same classes as all links within large nodes do.
+
+    A node of at most `block` classes is compared exhaustively. A larger one is compared with its consensus C, the tokens
+    that more than half of its classes have. With D(x), the tokens that only one of x and C has, and
+    e(x) = (q + p) |D(x)| - (q - p) |x|, classes x and y have a similarity of p / q or more if and only if
+    e(x) + e(y) <= 2 (q + p) |D(x) & D(y)|. So the class m with the least e is linked to all with e(x) + e(m) <= 0, and
+    these need no comparison with each other: whatever pairs of them are linked are in m's component. Each other class
+    must share tokens of D with those it is linked to, so many that one is among its rarest |D| - o + 1, where o is the
+    least that e(x) + e(m) allows. These tokens are the next, smaller nodes. Near copies of one text are so done in a
+    time that grows with their number, not with its square. What is still large after DEPTH rounds goes to pairs of blocks.
+    """
+    p, q = similar
+    links: list[DataFrame] = []
+    for _ in range(DEPTH):
+        members = _named(large)
+        small = members.where(F.col("many") <= block)
+        links.append(small.join(tokens, "class").groupBy("node").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
+        big = members.where(F.col("many") > block)
+        if big.isEmpty():
+            return links
+        counts = _exploded(big.join(tokens, "class"), "tokens", ["node", "many"]).groupBy("node", "many", "token").agg(F.count("*").alias("n"))
+        counts = shared.write_out(counts, "counts")
+        consensus = counts.where(F.col("n") * 2 > F.col("many")).groupBy("node").agg(F.collect_list("token").alias("consensus"))  # at most twice a mean set
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [np.setxor1d(x, np.array(c or (), dtype=np.int64), assume_unique=True) for x, c in zip(_sets(b.column("tokens")), b.column("consensus").to_pylist(), strict=True)]
+                size = [len(t) // 8 for t in b.column("tokens").to_pylist()]
+                e = [(q + p) * len(d) - (q - p) * n for d, n in zip(own, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), b.column("many"), pa.array(e, pa.int64()), pa.array([len(d) for d in own], pa.int64()), pa.array([d.tobytes() for d in own], pa.binary())], names=["node", "class", "many", "e", "size", "own"])
+
+        apart = big.join(tokens, "class").join(consensus, "node", "left").select("node", "class", "many", "tokens", "consensus").mapInArrow(compared, "node bigint, class bigint, many bigint, e bigint, size bigint, own binary")
+        apart = shared.write_out(apart, "apart")
+        middle = shared.write_out(apart.groupBy("node").agg(F.min(F.struct("e", "class")).alias("m")).select("node", F.col("m.e").alias("least"), F.col("m.class").alias("middle")), "middle")
+        seen = apart.join(middle, "node").withColumn("over", F.col("e") + F.col("least"))
+        links.append(seen.where("over <= 0 AND class <> middle").select(F.col("middle").alias("a"), F.col("class").alias("b")))
+        rest = shared.write_out(seen.where("over > 0"), "rest")
+        if rest.isEmpty():
+            return links
+        # a token of C in D is one that the class lacks
+        rarity = F.when(F.col("n") * 2 > F.col("many"), F.col("many") - F.col("n")).otherwise(F.col("n"))
+        heads = _exploded(rest, "own", ["node", "class", "size", "over"]).join(counts.select("node", "token", rarity.alias("rarity")), ["node", "token"])
+        rank = F.row_number().over(Window.partitionBy("node", "class").orderBy("rarity", "token"))  # of one set
+        needed = F.greatest(F.lit(1), F.ceil(F.col("over") / (2 * (q + p))))
+        heads = heads.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - needed + 1).select("node", "token").distinct()
+        large = _exploded(apart, "own", ["node", "class"]).join(heads, ["node", "token"]).select(F.xxhash64("node", "token").alias("node"), "class")
+        large = shared.write_out(large, "narrower")
+    blocks = _blocks(_named(large), block)
+    links.append(blocks.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
+    return links
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(node, i, j, class): the classes of each pair of blocks of each node."""
+    each = members.withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
     each = each.withColumn("k", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return shared.write_out(each.select("node", "class", "k", other.alias("o")).select("node", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "class", (F.col("k") <= F.col("o")).alias("left"), "k"), "blocks")
-
-
-def _block_links(blocks: DataFrame, tokens: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """A spanning forest of the links within each pair of blocks, from exact intersections of full sets."""
-
-    def solve(f):
-        import pandas as pd
-
-        sets = [np.frombuffer(t, dtype=np.uint64) for t in f["tokens"]]
-        size = np.array([len(s) for s in sets])
-        every, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        useful = np.bincount(code)[code] > 1
-        code, owner = np.unique(code[useful], return_inverse=True)[1], owner[useful]
-        common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        for low in range(0, int(code.max(initial=-1)) + 1, 4096):
-            a, z = np.searchsorted(code, [low, low + 4096])
-            part = np.zeros((len(sets), 4096), dtype=np.float32)
-            part[owner[a:z], code[a:z] - low] = 1
-            common += part @ part.T
-        linked = np.triu(similar[1] * common >= similar[0] * (size[:, None] + size - common), 1)
-        root = list(range(len(sets)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for x, y in zip(*np.nonzero(linked), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[q] = p
-                out.append((x, y))
-        cls = f["class"].to_numpy()
-        return pd.DataFrame({"a": [int(cls[x]) for x, _ in out], "b": [int(cls[y]) for _, y in out]}, dtype="int64")
-
-    return blocks.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(solve, "a bigint, b bigint")
+    return each.select("node", "class", "k", other.alias("o")).select("node", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "class")
+
+
+def _forest(f, similar: tuple[int, int]):
+    """A spanning forest of the links within some classes, from exact intersections of full sets."""
+    import pandas as pd
+
+    sets = [np.frombuffer(t, dtype=np.uint64) for t in f["tokens"]]
+    size = np.array([len(s) for s in sets])
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    useful = np.bincount(code)[code] > 1
+    code, owner = np.unique(code[useful], return_inverse=True)[1], owner[useful]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for low in range(0, int(code.max(initial=-1)) + 1, 4096):
+        a, z = np.searchsorted(code, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), dtype=np.float32)
+        part[owner[a:z], code[a:z] - low] = 1
+        common += part @ part.T
+    linked = np.triu(similar[1] * common >= similar[0] * (size[:, None] + size - common), 1)
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        first, second = find(x), find(y)
+        if first != second:
+            root[second] = first
+            out.append((x, y))
+    cls = f["class"].to_numpy()
+    return pd.DataFrame({"a": [int(cls[x]) for x, _ in out], "b": [int(cls[y]) for _, y in out]}, dtype="int64")
 
 
 def components(links: DataFrame) -> DataFrame:

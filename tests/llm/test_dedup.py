@@ -68,9 +68,9 @@ def brute_components(texts, ids):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 85 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
-    least = defaultdict(lambda: 1 << 62)
+    least = {}
     for i in range(len(texts)):
-        least[find(i)] = min(least[find(i)], ids[i])
+        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
     return {ids[i]: (len(sets[i]), least[find(i)]) for i in range(len(texts))}
 
 
@@ -176,10 +176,53 @@ def test_large_nodes_with_other_members_stay_apart(spark):
         if other != pair:
             break
     large = spark.createDataFrame([(n, c) for n, x in ((1, other), (2, pair), (3, pair)) for c in x], "node long, class long")
-    found = near_dedup._blocks(large, 512).collect()
+    found = near_dedup._named(large).collect()
     assert other != pair and {(r["node"], r["class"]) for r in found} == {(n, c) for n, x in ((1, other), (2, pair)) for c in x}
 
 
+@pytest.mark.parametrize(("similar", "depth"), [((85, 100), 4), ((80, 100), 4), ((1, 2), 2), ((85, 100), 0)])
+def test_dense_nodes_lose_no_component(spark, monkeypatch, similar, depth):
+    """One node of near copies of two texts, copies of copies and strangers: the components of all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    rnd = random.Random(31)
+    sets = []
+    for base in (range(0, 100), range(60, 170)):
+        for _ in range(45):
+            x = set(base)
+            for _ in range(rnd.choice([0, 2, 5, 9, 14])):
+                x.discard(rnd.choice(list(base)))
+                x.add(1000 + rnd.randrange(300))
+            sets.append(x)
+            if rnd.random() < 0.3:
+                sets.append({*x, *(2000 + rnd.randrange(50) for _ in range(8))})
+    sets += [{1, *(rnd.randrange(3000, 3400) for _ in range(60))} for _ in range(30)]
+    sets = [sorted(x) for x in {tuple(sorted(x)) for x in sets}]
+    root = list(range(len(sets)))
+
+    def find(x, root):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len({*sets[i]} & {*sets[j]})
+            if similar[1] * both >= similar[0] * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i, root)] = find(j, root)
+    tokens = spark.createDataFrame([(k, bytearray(np.array(x, dtype=np.int64).tobytes())) for k, x in enumerate(sets)], "class long, tokens binary")
+    large = spark.createDataFrame([(5, k) for k in range(len(sets))], "node long, class long")
+    got = list(range(len(sets)))
+    for links in near_dedup._dense_links(large, tokens, similar, 16):
+        for r in links.collect():
+            both = len({*sets[r["a"]]} & {*sets[r["b"]]})
+            assert similar[1] * both >= similar[0] * (len(sets[r["a"]]) + len(sets[r["b"]]) - both)
+            got[find(r["a"], got)] = find(r["b"], got)
+    same = lambda root: {tuple(k for k in range(len(sets)) if find(k, root) == top) for top in {find(k, root) for k in range(len(sets))}}
+    assert same(got) == same(root)
+
+
 def brute_words(texts, ids, window):
     first, cut = {}, [WORD.findall(t or "") for t in texts]
     for i, w in zip(ids, cut, strict=True):
@@ -357,6 +400,9 @@ def test_ids_of_other_types(spark):
     frame = spark.createDataFrame([(n, t, "s", 1) for n, t in zip(names, texts, strict=True)], "doc_id string, text string, id string, row int")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(frame, window=5).collect()}
     assert got == brute_words(texts, names, 5)
+    texts = chain(6) + TEXTS[:27]
+    frame = spark.createDataFrame(list(zip(names, texts, strict=True)), "doc_id string, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame, similar=(85, 100)).collect()} == brute_components(texts, names)
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(frame, window=40).collect()} == {n: v[1] for n, v in zip(names, brute_bytes(texts, 40).values(), strict=True)}
 
 
