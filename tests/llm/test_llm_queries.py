@@ -47,3 +47,31 @@ def test_stages_against_brute_force(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() > 0
+
+
+ODD = ["", None, " \t\n", "one two three four five six seven", "one two three four five six seven", "one  two three four five six seven", "ünï 中文 😀 " * 40, "word " * 60_000, "a b c d e f g h i j", "a b c d e f g h i k"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("rows", ["odd", "repeated", "none"])
+def test_stages_with_odd_rows(spark, tmp_path, name, rows):
+    """Nulls in any column, empty and long texts, ties, repeated rows and ids, clashing names, empty tables: every stage
+    gives rows it was given, with the columns it was given (the last: pieces of them)."""
+    ids = {"odd": [*range(len(ODD) - 2), None, None], "repeated": [1] * len(ODD), "none": []}[rows]
+    texts = ODD[: len(ids)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row long, __own string, __score double, __source string, topic_ string, row string, id int"
+    odd = [(i, t, "en" if k % 3 else None, "s" if k % 2 else None, None, k, None, 0.5, "mine", "x", "r", 1) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = spark.createDataFrame(odd, schema)
+    spark.createDataFrame([(i, 0, i % 2) for i in ids if i is not None] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    if name == corpus_pipeline.STAGES[-1][0]:
+        pieces = got.toPandas()
+        assert len(pieces) >= len(odd) and set(pieces["doc_id"].dropna()) == {i for i in ids if i is not None}
+        return
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert all(kept.count(r) <= odd.count(r) for r in kept)
+    if name == "exact dedup":
+        assert len(kept) == {"odd": 6, "repeated": 6, "none": 0}[rows]  # blank ones are one text, so are the three of seven words
+    if name == "near dedup":
+        assert len(kept) == {"odd": 8, "repeated": 8, "none": 0}[rows]
