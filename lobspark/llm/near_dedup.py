@@ -40,6 +40,8 @@ SIMILAR = (80, 100)
 TREES, LEVELS, BRANCH, LEAF, BLOCK = 3, 3, 3, 256, 512
 #: Rounds of comparison with a consensus before a node that stays large goes to pairs of blocks.
 DEPTH = 4
+#: Blocks of a node that are compared with each other, so that no set is sent out more often.
+WIDE = 8
 SKETCH = 64
 #: A node that keeps this share of its classes together in a child isn't split by branching.
 DENSE = 0.5
@@ -266,7 +268,7 @@ def _named(large: DataFrame) -> DataFrame:
 def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int], block: int) -> list[DataFrame]:
     """Links that join the same classes as all links within large nodes do.
 
-    A node of at most `block` classes is compared exhaustively. A larger one is compared with its consensus C, the tokens
+    A node of at most WIDE blocks of classes is compared exhaustively, each pair of blocks a task. A larger one is compared with its consensus C, the tokens
     that more than half of its classes have. With D(x), the tokens that only one of x and C has, and
     e(x) = (q + p) |D(x)| - (q - p) |x|, classes x and y have a similarity of p / q or more if and only if
     e(x) + e(y) <= 2 (q + p) |D(x) & D(y)|. So the class m with the least e is linked to all with e(x) + e(m) <= 0, and
@@ -279,9 +281,9 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
     links: list[DataFrame] = []
     for _ in range(DEPTH):
         members = _named(large)
-        small = members.where(F.col("many") <= block)
-        links.append(small.join(tokens, "class").groupBy("node").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
-        big = members.where(F.col("many") > block)
+        small = _blocks(members.where(F.col("many") <= block * WIDE), block)
+        links.append(small.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
+        big = members.where(F.col("many") > block * WIDE)
         if big.isEmpty():
             return links
         counts = _exploded(big.join(tokens, "class"), "tokens", ["node", "many"]).groupBy("node", "many", "token").agg(F.count("*").alias("n"))

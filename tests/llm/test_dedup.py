@@ -100,8 +100,9 @@ def chain(n, length=220, seed=4):
     return [*out, " ".join(hub)]
 
 
-@pytest.mark.parametrize("leaf", [256, 8])
-def test_near_large_groups_at_leaves_and_in_blocks(spark, leaf):
+@pytest.mark.parametrize(("leaf", "wide"), [(256, 8), (8, 8), (8, 1)])
+def test_near_large_groups_at_leaves_and_in_blocks(spark, monkeypatch, leaf, wide):
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     texts = chain(60) + TEXTS[:20]
     assert near(spark, texts, leaf=leaf, block=16) == brute_components(texts, range(len(texts)))
 
@@ -186,6 +187,7 @@ def test_dense_nodes_lose_no_component(spark, monkeypatch, similar, depth):
     import numpy as np
 
     monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    monkeypatch.setattr(near_dedup, "WIDE", 1)
     rnd = random.Random(31)
     sets = []
     for base in (range(0, 100), range(60, 170)):
