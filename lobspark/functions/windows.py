@@ -44,14 +44,13 @@ def ema(x: Column, span: int = EMA_SPAN) -> Column:
     return F.sum(part).over(stock_window().rowsBetween(Window.unboundedPreceding, 0)) * weight
 
 
-def running(x: Column) -> Column:
-    """Sum of the values so far; nulls count as 0."""
-    return F.sum(F.coalesce(x, F.lit(0.0))).over(stock_window().rowsBetween(Window.unboundedPreceding, 0))
-
-
-def rolling(upto: Column, rows: int) -> Column:
-    """Sum over the last rows rows from running sums: one subtraction a row, however long the frame is."""
-    return upto - F.coalesce(lag(upto, rows), F.lit(0.0))
+def rolling(x: Column, rows: int) -> Column:
+    """Sum over the last rows rows, nulls as 0: the difference of two running sums, so a row costs the same however long
+    the frame is, and both are frames of one window."""
+    whole = stock_window().rowsBetween(Window.unboundedPreceding, 0)
+    before = stock_window().rowsBetween(Window.unboundedPreceding, -rows)
+    x = F.coalesce(x, F.lit(0.0))
+    return F.sum(x).over(whole) - F.coalesce(F.sum(x).over(before), F.lit(0.0))
 
 
 def stream_window() -> WindowSpec:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EPS, MOMENT_MIN_ROWS, MOMENT_ROWS
-from ..functions.windows import lag, rolling, running, stock_window
+from ..functions.windows import lag, rolling, stock_window
 from .registry import feature
 
 MID = ["mid_price"]
@@ -20,10 +20,11 @@ def step_return() -> Column:
 
 
 def _rolled(name: str, x, helper: bool = True) -> None:
-    """Sum over the last rows from differences of running sums; even powers stay at 0 or above."""
-    feature(f"__s_{name}", MID, needs=["__return"], helper=True)(lambda: running(x(F.col("__return"))))
-    feature(f"__w_{name}", needs=[f"__s_{name}"], helper=True)(lambda: rolling(F.col(f"__s_{name}"), MOMENT_ROWS))
-    feature(name, needs=[f"__w_{name}", "__w___n"] if name != "__n" else ["__w___n"], helper=helper)(lambda: F.when(F.col("__w___n") >= MOMENT_MIN_ROWS, F.col(f"__w_{name}") if name == "__r3" else F.greatest(f"__w_{name}", F.lit(0.0))))
+    """Sum over the last rows, where enough of them have a return; even powers stay at 0 or above."""
+    window = f"__w_{name}"
+    feature(window, MID, needs=["__return"], helper=True)(lambda: rolling(x(F.col("__return")), MOMENT_ROWS))
+    value = F.col if name == "__r3" else lambda w: F.greatest(F.col(w), F.lit(0.0))
+    feature(name, needs=sorted({window, "__w___n"}), helper=helper)(lambda: F.when(F.col("__w___n") >= MOMENT_MIN_ROWS, value(window)))
 
 
 _rolled("__n", lambda r: r.isNotNull().cast("double"))

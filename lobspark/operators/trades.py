@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timegrid
 from ..functions.nulls import count0, div, imbalance, nearest_quantile, rat, sum0
-from ..functions.windows import SECTION, STOCK, stream, stream_window
+from ..functions.windows import STOCK, section_window, stream, stream_window
 from .registry import feature
 
 KEYS = [*STOCK, "timestamp"]
@@ -141,14 +141,22 @@ def trade_intensity() -> Column:
     return F.coalesce(F.col("trade_count"), F.lit(0)).cast("long")
 
 
-@feature("__median", ["trade_count"], needs=["TradeIntensity"], helper=True, section=True, **TRADE)
-def section_median() -> Column:
-    return F.median("TradeIntensity").over(Window.partitionBy(*SECTION))
+def _section_median(name: str, x: str) -> None:
+    """The median of a column over its section, from its rows in order: the middle one, or the mean of the middle two.
+
+    Both windows share the section's exchange; a percentile aggregate over a window costs many times as much.
+    """
+    turn = f"{name}_turn"
+    feature(turn, needs=[x], helper=True, section=True, **TRADE)(lambda: F.row_number().over(section_window().orderBy(x)))
+    size = lambda: F.count("*").over(section_window())
+    feature(f"{name}_size", needs=[x], helper=True, section=True, **TRADE)(size)
+    middle = lambda: (F.col(turn) * 2).between(F.col(f"{name}_size"), F.col(f"{name}_size") + 2)
+    feature(name, needs=[turn, f"{name}_size"], helper=True, section=True, **TRADE)(lambda: F.avg(F.when(middle(), F.col(x))).over(section_window()))
 
 
-@feature("__mad", needs=["TradeIntensity", "__median"], helper=True, section=True, **TRADE)
-def section_mad() -> Column:
-    return F.median(F.abs(F.col("TradeIntensity") - F.col("__median"))).over(Window.partitionBy(*SECTION))
+_section_median("__median", "TradeIntensity")
+feature("__apart", needs=["TradeIntensity", "__median"], helper=True, **TRADE)(lambda: F.abs(F.col("TradeIntensity") - F.col("__median")))
+_section_median("__mad", "__apart")
 
 
 @feature("TradeIntensityZ", needs=["TradeIntensity", "__median", "__mad"], **TRADE)
