@@ -252,11 +252,15 @@ class Raking:
         return bare._solved
 
     def _rake(self) -> None:
+        """Until the marginals fit, or five rounds in a row bring them no nearer (targets that contradict each other); error tells."""
+        best, stalled = np.inf, 0
         for _ in range(ROUNDS):
             mass = self._masses()
             scale = mass.sum() / (self.total * self.targets.fraction)  # below 1 where a source has less than its target
             self.error = max(np.abs(np.bincount(code, weights=mass, minlength=len(want)) - want * scale).max() for _, _, code, want in self.sides) / self.total
-            if self.error < TOLERANCE:
+            stalled = 0 if self.error < 0.99 * best else stalled + 1
+            best = min(best, self.error)
+            if self.error < TOLERANCE or stalled == 5:
                 break
             before = self.w
             for _, _, code, want in self.sides:
