@@ -10,7 +10,8 @@ trees and three tokens, for leaves of the first, second and third level, at most
 3.8e-8, 3.1e-7 and 1.0e-6 at 0.85.
 
 Exhaustive comparison of a leaf is on 64-byte minwise sketches and set sizes; it passes pairs that might reach the
-similarity, and these are confirmed on full sets. All trees share the sketches, so their chance of a miss is added: the cut
+similarity, and these are confirmed on full sets. A shingle is 128 bits of hashes without algebraic structure: trees, sketches
+and consensus look at the first 64, whatever becomes a class or a link at all of them. All trees share the sketches, so their chance of a miss is added: the cut
 is as high as keeps it below that of the trees' first level (3.2e-7 at 0.8, 3.5e-8 at 0.85). Together a link of just the
 least similarity in leaves of the first level is lost with a chance of at most 8.4e-7 at 0.8 and 7.3e-8 at 0.85. Components are found by the smallest
 label over links with pointer jumping, in written tables.
@@ -38,13 +39,13 @@ SHINGLE = 5
 #: What pairs are linked from, where no contract says otherwise, as an exact fraction.
 SIMILAR = (80, 100)
 TREES, LEVELS, BRANCH, LEAF, BLOCK = 3, 3, 3, 256, 512
-#: Rounds of comparison with a consensus before a node that stays large goes to pairs of blocks.
-DEPTH = 4
 #: Blocks of a node that are compared with each other, so that no set is sent out more often.
 WIDE = 8
 SKETCH = 64
 #: A node that keeps this share of its classes together in a child isn't split by branching.
 DENSE = 0.5
+#: Parts of a node whose classes are confirmed against one class.
+SALTS = 32
 _MULTIPLIERS = np.random.default_rng(2024).integers(1, 1 << 62, TREES * LEVELS + SKETCH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,19 +55,57 @@ def _mixed(tokens: np.ndarray, k: int) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """For each text (bytes, A-Z lowered): the sorted hashes of its distinct shingles; the whole text's if it has fewer words."""
-    hashes, sizes = word_hashes(texts, lower=True)
+    """For each text (bytes, A-Z lowered): its distinct shingles in order, the whole text if it has fewer words, as two rows
+    of hashes; a shingle is what stands in both rows at one place."""
+    grams, whole = [], []
+    for seed in (0, 1):
+        hashes, sizes = word_hashes(texts, lower=True, seed=seed)
+        grams.append(repeats.gram_hashes(hashes, shingle))
+        whole.append(hashes)
     at = np.cumsum(sizes) - sizes
-    grams = repeats.gram_hashes(hashes, shingle)
 
     def one(a: int, n: int) -> np.ndarray:
-        if n >= shingle:
-            return np.unique(grams[a : a + n - shingle + 1])
-        return repeats.gram_hashes(hashes[a : a + n], n) + np.uint64(n) if n else hashes[:0]
+        if n < shingle:
+            return np.stack([repeats.gram_hashes(h[a : a + n], n) + np.uint64(n) if n else h[:0] for h in whole])
+        first, second = (g[a : a + n - shingle + 1] for g in grams)
+        order = np.argsort(first)
+        x, y = first[order], second[order]
+        new, other = x[1:] != x[:-1], y[1:] != y[:-1]
+        if (other & ~new).any():  # two shingles share the first half
+            order = np.lexsort((second, first))
+            x, y = first[order], second[order]
+            new = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        keep = np.r_[True, new]
+        return np.stack([x[keep], y[keep]])
 
     return [one(a, n) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
 
 
+def in_common(p: np.ndarray, q: np.ndarray) -> int:
+    """How many shingles two sets share."""
+    both = np.concatenate([p, q], axis=1)
+    order = np.argsort(both[0], kind="stable")
+    x, y = both[:, order]
+    same, also = x[1:] == x[:-1], y[1:] == y[:-1]
+    if (same & ~also).any():  # different shingles share the first half
+        return len(set(zip(*p.tolist(), strict=True)) & set(zip(*q.tolist(), strict=True)))
+    return int(same.sum())
+
+
+def _confirmed(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b) of those rows of (a, b, x, y) whose sets x and y reach the similarity."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for p, q in zip(_pairs(b.column("x")), _pairs(b.column("y")), strict=True):
+                common = in_common(p, q)
+                ok.append(similar[1] * common >= similar[0] * (p.shape[1] + q.shape[1] - common))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
+
+
 def described(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sketches (SKETCH bytes a set) and selected tokens (TREES x LEVELS x BRANCH a set, ragged sets repeat their last)."""
     sizes = np.array([len(s) for s in sets])
@@ -130,12 +169,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
             sets = shingle_sets(b.column(2), shingle)
-            sketch, picks = described(sets)
+            sketch, picks = described([s[0] for s in sets])
             digests = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(picks.reshape(len(sets), -1).tolist(), pa.list_(pa.int64()))], names=["row", "ord", "n", "f1", "f2", "sketch", "picks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(picks.reshape(len(sets), -1).tolist(), pa.list_(pa.int64()))], names=["row", "ord", "n", "f1", "f2", "sketch", "picks"])
 
     sets = shared.write_out(texts.select("row", "ord", "text").mapInArrow(describe, "row bigint, ord bigint, n bigint, f1 bigint, f2 bigint, sketch binary, picks array<bigint>"), "sets")
     classes = shared.write_out(sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("class"), F.min("ord").alias("least")), "classes")
+    mark = shared.written()
     leaders = shared.write_out(sets.join(classes.select(F.col("class").alias("row")), "row").select(F.col("row").alias("class"), "n", "sketch", "picks"), "leaders")
 
     pairs, large = _candidates(leaders, similar, leaf)
@@ -150,21 +190,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = texts.join(wanted.distinct().withColumnRenamed("class", "row").hint("merge"), "row").select("row", "text").mapInArrow(full, "class bigint, tokens binary")
     tokens = shared.write_out(tokens, "tokens")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(similar[1] * common >= similar[0] * (len(p) + len(q) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
     side = lambda name, column: tokens.select(F.col("class").alias(name), F.col("tokens").alias(column))
-    links = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
+    links = _confirmed(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b"), similar)
     for more in _dense_links(large, tokens, similar, block) if large is not None else ():
         links = links.unionByName(more)
     links = shared.write_out(links, "links")
+    shared.drop_since(mark, links)
     labels = components(links)
+    shared.drop_since(mark, labels)
     least = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = least.join(least.groupBy("label").agg(F.min("least").alias("first")), "label").select("f1", "f2", "first", "label")
     names = texts.select("row", "id")
@@ -243,7 +276,15 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(t, dtype=np.int64) for t in column.to_pylist()]
 
 
-def _exploded(frame: DataFrame, column: str, keep: list[str]) -> DataFrame:
+def _pairs(column) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype=np.uint64).reshape(2, -1) for t in (column.to_pylist() if isinstance(column, pa.Array) else column)]
+
+
+def _firsts(column: pa.Array) -> list[np.ndarray]:
+    return [s[: len(s) // 2] for s in _sets(column)]
+
+
+def _exploded(frame: DataFrame, column: str, keep: list[str], read=_sets) -> DataFrame:
     """A row for each token of the sets in a column, with the columns of keep."""
     schema = frame.select(*keep).schema
 
@@ -251,7 +292,7 @@ def _exploded(frame: DataFrame, column: str, keep: list[str]) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                sets = _sets(part.column(column))
+                sets = read(part.column(column))
                 rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in keep), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))], names=[*keep, "token"])
 
@@ -274,26 +315,27 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
     e(x) + e(y) <= 2 (q + p) |D(x) & D(y)|. So the class m with the least e is linked to all with e(x) + e(m) <= 0, and
     these need no comparison with each other: whatever pairs of them are linked are in m's component. Each other class
     must share tokens of D with those it is linked to, so many that one is among its rarest |D| - o + 1, where o is the
-    least that e(x) + e(m) allows. These tokens are the next, smaller nodes. Near copies of one text are so done in a
-    time that grows with their number, not with its square. What is still large after DEPTH rounds goes to pairs of blocks.
+    least that e(x) + e(m) allows. These tokens are the next nodes. A token is in D for at most half of a node's classes, so
+    nodes halve with each round and no round's end compares a large one in full. Near copies of one text are so done in a
+    time that grows with their number, not with its square.
     """
     p, q = similar
     links: list[DataFrame] = []
-    for _ in range(DEPTH):
+    while True:
         members = _named(large)
         small = _blocks(members.where(F.col("many") <= block * WIDE), block)
         links.append(small.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
         big = members.where(F.col("many") > block * WIDE)
         if big.isEmpty():
             return links
-        counts = _exploded(big.join(tokens, "class"), "tokens", ["node", "many"]).groupBy("node", "many", "token").agg(F.count("*").alias("n"))
+        counts = _exploded(big.join(tokens, "class"), "tokens", ["node", "many"], _firsts).groupBy("node", "many", "token").agg(F.count("*").alias("n"))
         counts = shared.write_out(counts, "counts")
         consensus = counts.where(F.col("n") * 2 > F.col("many")).groupBy("node").agg(F.collect_list("token").alias("consensus"))  # at most twice a mean set
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own = [np.setxor1d(x, np.array(c or (), dtype=np.int64), assume_unique=True) for x, c in zip(_sets(b.column("tokens")), b.column("consensus").to_pylist(), strict=True)]
-                size = [len(t) // 8 for t in b.column("tokens").to_pylist()]
+                own = [np.setxor1d(x, np.array(c or (), dtype=np.int64), assume_unique=True) for x, c in zip(_firsts(b.column("tokens")), b.column("consensus").to_pylist(), strict=True)]
+                size = [len(t) // 16 for t in b.column("tokens").to_pylist()]
                 e = [(q + p) * len(d) - (q - p) * n for d, n in zip(own, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), b.column("many"), pa.array(e, pa.int64()), pa.array([len(d) for d in own], pa.int64()), pa.array([d.tobytes() for d in own], pa.binary())], names=["node", "class", "many", "e", "size", "own"])
 
@@ -301,7 +343,9 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
         apart = shared.write_out(apart, "apart")
         middle = shared.write_out(apart.groupBy("node").agg(F.min(F.struct("e", "class")).alias("m")).select("node", F.col("m.e").alias("least"), F.col("m.class").alias("middle")), "middle")
         seen = apart.join(middle, "node").withColumn("over", F.col("e") + F.col("least"))
-        links.append(seen.where("over <= 0 AND class <> middle").select(F.col("middle").alias("a"), F.col("class").alias("b")))
+        near = seen.where("over <= 0 AND class <> middle").select("node", "class", F.pmod(F.xxhash64("class"), F.lit(SALTS)).alias("salt")).join(tokens, "class")
+        center = middle.join(tokens.select(F.col("class").alias("middle"), F.col("tokens").alias("x")), "middle").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        links.append(_confirmed(near.join(center, ["node", "salt"]).select(F.col("middle").alias("a"), F.col("class").alias("b"), "x", F.col("tokens").alias("y")), similar))
         rest = shared.write_out(seen.where("over > 0"), "rest")
         if rest.isEmpty():
             return links
@@ -313,9 +357,6 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
         heads = heads.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - needed + 1).select("node", "token").distinct()
         large = _exploded(apart, "own", ["node", "class"]).join(heads, ["node", "token"]).select(F.xxhash64("node", "token").alias("node"), "class")
         large = shared.write_out(large, "narrower")
-    blocks = _blocks(_named(large), block)
-    links.append(blocks.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
-    return links
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -330,9 +371,12 @@ def _forest(f, similar: tuple[int, int]):
     """A spanning forest of the links within some classes, from exact intersections of full sets."""
     import pandas as pd
 
-    sets = [np.frombuffer(t, dtype=np.uint64) for t in f["tokens"]]
-    size = np.array([len(s) for s in sets])
-    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = _pairs(f["tokens"])
+    size = np.array([s.shape[1] for s in sets])
+    first, second = np.concatenate(sets, axis=1)
+    _, at, code = np.unique(first, return_index=True, return_inverse=True)
+    if (second[at][code] != second).any():  # different shingles share the first half
+        code = np.unique(np.stack([first, second]), axis=1, return_inverse=True)[1].ravel()
     owner = np.repeat(np.arange(len(sets)), size)
     useful = np.bincount(code)[code] > 1
     code, owner = np.unique(code[useful], return_inverse=True)[1], owner[useful]
@@ -374,7 +418,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("class").alias("label"), F.col("label").alias("far"))
         new = shared.write_out(step.join(jump, "label").select("class", F.least("label", "far").alias("label"), "old"), "labels")
         if new.where("label <> old").isEmpty():
-            return new.select("class", "label")
+            labels = new.select("class", "label")
+            labels._lobspark_path = new._lobspark_path
+            return labels
         shared.drop(labels, step)
         labels = new.drop("old")
         labels._lobspark_path = new._lobspark_path

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ class Kind:
     gram: int
     #: texts -> hashes of all elements, one after another, and the number of elements of each text
     hashes: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    #: text -> its elements as integers that are equal only for equal elements; None where the hashes are so
+    numbered: Callable[[bytes], np.ndarray] | None
     #: text -> something to cut from; that, first element, number of elements -> bytes
     parts: Callable[[bytes], object]
     piece: Callable[[object, int, int], bytes]
@@ -102,10 +105,21 @@ def _segments(sizes: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.nda
         yield tuple(np.array(x) for x in zip(*held, strict=True))
 
 
-def runs(hashes: np.ndarray, sizes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+def _repeating(v: np.ndarray, at: np.ndarray, lag: np.ndarray, size: int) -> np.ndarray:
+    """Whether the lag + size - 1 elements of v from each place at on equal those that begin lag places later."""
+    out = np.zeros(len(at), dtype=bool)
+    for k in np.unique(lag).tolist():
+        same = np.cumsum(np.r_[0, v[k:] == v[:-k]])
+        j = np.flatnonzero(lag == k)
+        out[j] = same[at[j] + k + size - 1] - same[at[j]] == k + size - 1
+    return out
+
+
+def runs(hashes: np.ndarray, sizes: np.ndarray, size: int, gram: int, numbered: Callable[[int], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """(anchor, text, first window, windows, anchor's place in the run, times) of all runs of texts with so many elements each.
 
-    A run that occurs several times, each right after the one before, is one with a number of times.
+    A run that occurs several times, each right after the one before, is one with a number of times. Where hashes of
+    elements may collide, numbered gives a text's elements as integers that don't, and these decide.
     """
     begin, found = np.cumsum(sizes) - sizes, []
     for text, low, high in _segments(sizes, size):
@@ -127,11 +141,13 @@ def runs(hashes: np.ndarray, sizes: np.ndarray, size: int, gram: int) -> tuple[n
         own, place, start, many = own[first], place[first], index[ok[first]], np.diff(np.r_[first, len(ok)])
         anchor, a = g[at[own] + place], place - start
         again = np.r_[False, (anchor[1:] == anchor[:-1]) & (many[1:] == many[:-1]) & (a[1:] == a[:-1]) & (own[1:] == own[:-1])]
-        for lag in np.unique(many[again]).tolist():  # equal to the run before only if all elements are
-            same = np.cumsum(np.r_[0, v[lag:] == v[:-lag]])
-            j = np.flatnonzero(again & (many == lag))
-            where = at[own[j]] + start[j] - lag
-            again[j] = same[where + lag + size - 1] - same[where] == lag + size - 1
+        j = np.flatnonzero(again)  # equal to the run before only if all elements are
+        again[j] = _repeating(v, at[own[j]] + start[j] - many[j], many[j], size)
+        if numbered and again.any():
+            j = j[again[j]]
+            for t in np.unique(text[own[j]]).tolist():
+                mine = j[text[own[j]] == t]
+                again[mine] = _repeating(numbered(t), low[own[mine]] + start[mine] - many[mine], many[mine], size)
         head = np.flatnonzero(~again)
         found.append((anchor[head].view(np.int64), text[own[head]], start[head] + low[own[head]], many[head], a[head], np.diff(np.r_[head, len(again)])))
     if not found:
@@ -184,7 +200,9 @@ def marks(texts: DataFrame, kind: Kind, group: int = GROUP) -> DataFrame:
 
 def _anchors(kind: Kind, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _batches(batches):
-        g, text, first, n, a, times = runs(*kind.hashes(b.column("text")), kind.size, kind.gram)
+        texts = b.column("text")
+        numbered = lru_cache(maxsize=1)(lambda t, texts=texts: kind.numbered(texts[t].as_py())) if kind.numbered else None
+        g, text, first, n, a, times = runs(*kind.hashes(texts), kind.size, kind.gram, numbered)
         at = pa.array(text)
         yield pa.RecordBatch.from_arrays([pa.array(g), b.column("row").take(at), b.column("ord").take(at), *(pa.array(x.astype(np.int32)) for x in (first, n, a, times))], names=["g", "row", "ord", "first", "n", "a", "times"])
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +23,27 @@ from . import repeats, shared
 
 WINDOW = 13
 GRAM = 4
-#: Bytes whose hashes are taken from one running sum; longer words than LONG are hashed on their own.
-CHUNK, LONG = 1 << 18, 1 << 12
+#: Bytes of a word that are hashed at once, and how many times so many before a word is left to the hash library.
+LANE, LANES = 8, 8
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUES = np.random.default_rng(77).integers(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(LANE + 1)], dtype=np.uint64)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x)], dtype=np.uint64) for x in (_ODD, _INVERSE))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit depends on all others."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (without \\x20 and \\x09-\\x0D) of texts in bytes, and how many each text has.
 
-    A word's hash is the sum of its bytes' values times powers of an odd number, counted from its start; those of a
-    stretch of text are taken from one running sum. lower: of the text with A-Z lowered.
+    A word's hash is its length, into which eight of its bytes at a time are mixed; words of more than 64 bytes are left to
+    the library. So words of up to eight bytes and one length never collide, others by chance only. lower: of the text with
+    A-Z lowered.
     """
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, dtype=np.uint8)
@@ -61,26 +60,26 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     begin[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    h = np.zeros(len(start), dtype=np.uint64)
-    up, down = _powers(CHUNK + LONG)
-    for s, e in zip(*(x.tolist() for x in _chunks(start, len(data))), strict=True):
-        at = start[s]
-        part = data[at : min(stop[e - 1], at + CHUNK + LONG)]
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[part] * up[: len(part)], out=total[1:])
-        near = np.minimum(stop[s:e] - at, len(part))
-        h[s:e] = (total[near] - total[start[s:e] - at]) * down[start[s:e] - at]
-    for k in np.flatnonzero(stop - start > LONG).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].tobytes())
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(32), np.diff(np.searchsorted(start, offsets))
-
-
-def _chunks(start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches [first word, end) of words that begin within CHUNK bytes."""
-    first = np.unique(np.searchsorted(start, np.arange(0, n, CHUNK)))
-    first = first[first < len(start)]
-    return first, np.r_[first[1:], len(start)][: len(first)]
+    size = stop - start
+    padded = np.r_[data, np.zeros(LANE, dtype=np.uint8)]
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
+    h = _mixed(size.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    live = np.flatnonzero(size <= LANE * LANES)
+    for k in range(LANES):
+        live = live[size[live] > LANE * k]
+        if not len(live):
+            break
+        eight = lanes[start[live] + LANE * k] & _MASKS[np.minimum(size[live] - LANE * k, LANE)]
+        h[live] = _mixed(h[live] ^ eight)
+    for k in np.flatnonzero(size > LANE * LANES).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]].tobytes(), seed)
+    return h, np.diff(np.searchsorted(start, offsets))
+
+
+def _numbered(text: bytes) -> np.ndarray:
+    """The text's words as integers, equal only for equal words."""
+    number: dict[bytes, int] = {}
+    return np.fromiter((number.setdefault(w, len(number)) for w in text.split()), dtype=np.int64)
 
 
 def _branch(node: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
@@ -146,7 +145,7 @@ def _solve(window: int, gram: int):
 
 def kind(window: int = WINDOW) -> repeats.Kind:
     gram = min(GRAM, window)
-    return repeats.Kind(size=window, gram=gram, hashes=word_hashes, parts=bytes.split, piece=lambda words, first, n: b" ".join(words[first : first + n]), repeated="low < high", widths=(4, 1), solve=_solve(window, gram))
+    return repeats.Kind(size=window, gram=gram, hashes=word_hashes, numbered=_numbered, parts=bytes.split, piece=lambda words, first, n: b" ".join(words[first : first + n]), repeated="low < high", widths=(4, 1), solve=_solve(window, gram))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = repeats.GROUP) -> DataFrame:

@@ -319,7 +319,7 @@ def _stretches(g: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def kind(window: int = WINDOW) -> repeats.Kind:
-    return repeats.Kind(size=window, gram=min(GRAM, window), hashes=byte_hashes, parts=bytes, piece=lambda text, first, n: text[first : first + n], repeated="count > 1", widths=(24, 4, 1), solve=_solve(window))
+    return repeats.Kind(size=window, gram=min(GRAM, window), hashes=byte_hashes, numbered=None, parts=bytes, piece=lambda text, first, n: text[first : first + n], repeated="count > 1", widths=(24, 4, 1), solve=_solve(window))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = repeats.GROUP) -> DataFrame:

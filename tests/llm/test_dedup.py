@@ -55,7 +55,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(texts, ids):
+def brute_components(texts, ids, least=80):
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
@@ -66,12 +66,12 @@ def brute_components(texts, ids):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= least * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
-    least = {}
+    smallest = {}
     for i in range(len(texts)):
-        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
-    return {ids[i]: (len(sets[i]), least[find(i)]) for i in range(len(texts))}
+        smallest[find(i)] = min(smallest.get(find(i), ids[i]), ids[i])
+    return {ids[i]: (len(sets[i]), smallest[find(i)]) for i in range(len(texts))}
 
 
 def near(spark, texts, **options):
@@ -181,12 +181,11 @@ def test_large_nodes_with_other_members_stay_apart(spark):
     assert other != pair and {(r["node"], r["class"]) for r in found} == {(n, c) for n, x in ((1, other), (2, pair)) for c in x}
 
 
-@pytest.mark.parametrize(("similar", "depth"), [((85, 100), 4), ((80, 100), 4), ((1, 2), 2), ((85, 100), 0)])
-def test_dense_nodes_lose_no_component(spark, monkeypatch, similar, depth):
+@pytest.mark.parametrize("similar", [(85, 100), (80, 100), (1, 2)])
+def test_dense_nodes_lose_no_component(spark, monkeypatch, similar):
     """One node of near copies of two texts, copies of copies and strangers: the components of all pairs."""
     import numpy as np
 
-    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     monkeypatch.setattr(near_dedup, "WIDE", 1)
     rnd = random.Random(31)
     sets = []
@@ -213,7 +212,7 @@ def test_dense_nodes_lose_no_component(spark, monkeypatch, similar, depth):
             both = len({*sets[i]} & {*sets[j]})
             if similar[1] * both >= similar[0] * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i, root)] = find(j, root)
-    tokens = spark.createDataFrame([(k, bytearray(np.array(x, dtype=np.int64).tobytes())) for k, x in enumerate(sets)], "class long, tokens binary")
+    tokens = spark.createDataFrame([(k, bytearray(np.array([x, x], dtype=np.int64).tobytes())) for k, x in enumerate(sets)], "class long, tokens binary")
     large = spark.createDataFrame([(5, k) for k in range(len(sets))], "node long, class long")
     got = list(range(len(sets)))
     for links in near_dedup._dense_links(large, tokens, similar, 16):
@@ -225,6 +224,50 @@ def test_dense_nodes_lose_no_component(spark, monkeypatch, similar, depth):
     assert same(got) == same(root)
 
 
+def thue_morse(n, flip=False):
+    """Words over two letters whose sums of values times powers are equal modulo 2 ** 64 for any odd base."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8])
+def test_words_that_collide_in_polynomial_hashes(spark, n):
+    a, b = thue_morse(n), thue_morse(n, flip=True)
+    texts = [a, b, f"one two three four five six seven {a}", f"one two three four five six seven {b}", " ".join([a] * 20), " ".join([a] * 13 + [b, a] * 20)]
+    expected = brute_components(texts, range(len(texts)))
+    assert near(spark, texts) == expected and len({c for _, c in expected.values()}) == 6
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert got == brute_words(texts, range(len(texts)), 13) and got[5][1] == 13
+
+
+def test_elements_decide_what_repeats_not_their_hashes():
+    """With one hash for all words, periods are still seen on words."""
+    import numpy as np
+
+    texts = [" ".join(["x"] * 20), " ".join(["x"] * 13 + ["y", "x"] * 20), "p q r " * 30]
+    words = lambda t: list(map(ord, "".join(t.split())))
+    for t in texts:
+        n = np.array([len(t.split())])
+        g, _, first, many, _, times = repeats.runs(np.full(int(n[0]), 7, dtype=np.uint64), n, 13, 4, lambda _, t=t: np.array(words(t)))
+        windows = [tuple(words(t)[k : k + 13]) for k in range(int(n[0]) - 12)]
+        seen = [tuple(words(t)[k : k + 13]) for f, m in zip(first, many, strict=True) for k in range(f, f + m)]
+        assert set(seen) == set(windows)  # collapsed runs lose no distinct window
+        assert int((many * times).sum()) == len(windows)
+
+
+def test_shingles_that_share_half_of_their_bits():
+    import numpy as np
+    import pandas as pd
+
+    x, y, z = ([[1, 1, 2, 3], [5, 6, 7, 8]], [[1, 2, 3, 4], [6, 7, 9, 1]], [[1, 1, 2, 3], [5, 6, 7, 9]])
+    sets = [np.array(s, dtype=np.uint64) for s in (x, y, z)]
+    share = lambda a, b: len(set(zip(*a, strict=True)) & set(zip(*b, strict=True)))
+    for a, p in zip((x, y, z), sets, strict=True):
+        for b, q in zip((x, y, z), sets, strict=True):
+            assert near_dedup.in_common(p, q) == share(a, b)
+    found = near_dedup._forest(pd.DataFrame({"class": [10, 11, 12], "tokens": [s.tobytes() for s in sets]}), (3, 5))
+    assert found.to_numpy().tolist() == [[10, 12], [11, 12]]
+
+
 def brute_words(texts, ids, window):
     first, cut = {}, [WORD.findall(t or "") for t in texts]
     for i, w in zip(ids, cut, strict=True):

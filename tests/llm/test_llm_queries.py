@@ -34,7 +34,7 @@ def test_stages_against_brute_force(spark):
     norm = toxic["text"].map(lambda t: re.sub(r"[\x20\x09-\x0D]", "", t))
     best = {k: min(g.index, key=lambda i: (-len(toxic["text"][i]), i)) for k, g in norm.groupby(norm)}
     assert set(exact.index) == set(best.values())
-    groups = brute_components(exact["text"].to_list(), exact.index.to_list())
+    groups = brute_components(exact["text"].to_list(), exact.index.to_list(), least=80)
     assert set(near.index) == {c for _, c in groups.values()}
     share = mixed["text"].str.len().sum() / near["text"].str.len().sum()
     assert set(mixed.index) <= set(near.index) and 0.6 < share < 0.8
