@@ -427,11 +427,11 @@ def nearest_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("walk_forward_predictions")
 def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on the first day, validated on its last sections, tested on the second day; a model, so rows only."""
+    """Trained on the first day, validated on its last sections, tested on the second day; tests hold the trees against brute force."""
     names = ["OFI", "OBI", "Spread"]
     df = model.add_stock_id(labels.add_labels(factory.compute(adapters.snapshots(spark, sf_dir), names)))
     first, second = df.where("date = '20240102'"), df.where("date = '20240103'")
-    fitted = model.AlphaModel(names, rounds=5, depth=3, least=20).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
+    fitted = model.AlphaModel(names, rounds=5, leaves=8, least=20).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
     return fitted.predict(second).select(*KEYS, "prediction")
 
 

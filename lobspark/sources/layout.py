@@ -6,40 +6,12 @@ order kinds that aren't used.
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EXECUTED, ORDER_KINDS, SIDES, SZ_SNAP_NAMES
 from . import adapters
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that driver and executors share; it goes when the driver ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="lobspark-")
-    path = f"{top.rstrip('/')}/lobspark/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-@atexit.register
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
+from .scratch import folder as scratch
 
 
 def clock(secs: Column) -> Column:
