@@ -44,13 +44,24 @@ def ema(x: Column, span: int = EMA_SPAN) -> Column:
     return F.sum(part).over(stock_window().rowsBetween(Window.unboundedPreceding, 0)) * weight
 
 
+#: Digits behind the point of scaled values in running sums, of 38 in all; sums of a day's rows stay below 100,000.
+SUM_DIGITS = 33
+
+
+def largest(x: Column) -> Column:
+    """The largest absolute value of a stock's day; 1 where that is 0 or null."""
+    most = F.max(F.abs(x)).over(stock_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(most > 0, most).otherwise(F.lit(1.0))
+
+
 def rolling(x: Column, rows: int) -> Column:
-    """Sum over the last rows rows, nulls as 0: the difference of two running sums, so a row costs the same however long
-    the frame is, and both are frames of one window."""
+    """Sum over the last rows rows, nulls as 0, of values between -1 and 1: the difference of two running sums, so a row costs the
+    same however long the frame is, and both are frames of one window. The sums are decimals and so is their difference:
+    nothing cancels, however large a value has left the frame."""
     whole = stock_window().rowsBetween(Window.unboundedPreceding, 0)
     before = stock_window().rowsBetween(Window.unboundedPreceding, -rows)
-    x = F.coalesce(x, F.lit(0.0))
-    return F.sum(x).over(whole) - F.coalesce(F.sum(x).over(before), F.lit(0.0))
+    x = F.coalesce(x, F.lit(0.0)).cast(f"decimal(38,{SUM_DIGITS})")
+    return (F.sum(x).over(whole) - F.coalesce(F.sum(x).over(before), F.lit(0))).cast("double")
 
 
 def stream_window() -> WindowSpec:

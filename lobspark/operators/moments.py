@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..config import EPS, MOMENT_MIN_ROWS, MOMENT_ROWS
-from ..functions.windows import lag, rolling, stock_window
+from ..functions.windows import lag, largest, rolling, stock_window
 from .registry import feature
 
 MID = ["mid_price"]
@@ -19,20 +19,28 @@ def step_return() -> Column:
     return F.when(F.row_number().over(stock_window()) == 1, F.lit(0.0)).otherwise(ln - lag(ln))
 
 
-def _rolled(name: str, x, helper: bool = True) -> None:
-    """Sum over the last rows, where enough of them have a return; even powers stay at 0 or above."""
+feature("__scale", MID, needs=["__return"], helper=True)(lambda: largest(F.col("__return")))
+
+
+@feature("__count", MID, needs=["__return"], helper=True)
+def returns_in_frame() -> Column:
+    upto = lambda end: F.count("__return").over(stock_window().rowsBetween(Window.unboundedPreceding, end))
+    return (upto(0) - upto(-MOMENT_ROWS)).cast("double")
+
+
+def _rolled(name: str, power: int, x, helper: bool = True) -> None:
+    """Sum over the last rows of a power of returns, where enough of them have one. Returns are summed as shares of the day's largest."""
     window = f"__w_{name}"
-    feature(window, MID, needs=["__return"], helper=True)(lambda: rolling(x(F.col("__return")), MOMENT_ROWS))
-    value = F.col if name == "__r3" else lambda w: F.greatest(F.col(w), F.lit(0.0))
-    feature(name, needs=sorted({window, "__w___n"}), helper=helper)(lambda: F.when(F.col("__w___n") >= MOMENT_MIN_ROWS, value(window)))
+    feature(window, MID, needs=["__return", "__scale"], helper=True)(lambda: rolling(x(F.col("__return") / F.col("__scale")), MOMENT_ROWS))
+    feature(name, needs=sorted({window, "__count", "__scale"}), helper=helper)(lambda: F.when(F.col("__count") >= MOMENT_MIN_ROWS, F.col(window) * F.pow("__scale", F.lit(power))))
 
 
-_rolled("__n", lambda r: r.isNotNull().cast("double"))
-_rolled("__r3", lambda r: r * r * r)
-_rolled("__r4", lambda r: (r * r) * (r * r))
-_rolled("__up", lambda r: F.when(r > 0, r * r))
-_rolled("__down", lambda r: F.when(r < 0, r * r))
-_rolled("RVol", lambda r: r * r, helper=False)
+feature("__n", needs=["__count"], helper=True)(lambda: F.when(F.col("__count") >= MOMENT_MIN_ROWS, F.col("__count")))
+_rolled("__r3", 3, lambda r: r * r * r)
+_rolled("__r4", 4, lambda r: (r * r) * (r * r))
+_rolled("__up", 2, lambda r: F.when(r > 0, r * r))
+_rolled("__down", 2, lambda r: F.when(r < 0, r * r))
+_rolled("RVol", 2, lambda r: r * r, helper=False)
 
 
 def _gated(x: Column) -> Column:

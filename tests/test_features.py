@@ -208,3 +208,22 @@ def test_one_window_for_all_stock_features(spark):
     df = book(spark, [("600001", "d1", 34200, 10.0, 10.02, 3.0, 1.0)])
     plan = apply(df, ["OFI", "OFI_10", "TS_Imbalance", "OFI_MA", "OFI_Z", "OFI_Decay", "RVol", "RKurt"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Sort [") + plan.count("Sort [Sec") <= 2
+
+
+@pytest.mark.parametrize("jump", [0.02, 0.4])
+def test_rolling_sums_lose_nothing_to_a_jump_that_has_left(spark, jump):
+
+    from lobspark.functions.windows import largest, rolling
+
+    rng = np.random.default_rng(3)
+    r = rng.normal(size=4800) * 1e-4
+    r[100], r[[7, 2000]] = jump, np.nan
+    rows = [("600000", "20240102", k, None if np.isnan(x) else float(x)) for k, x in enumerate(r)]
+    df = spark.createDataFrame(rows, "SecurityID string, date string, timestamp int, r double").withColumn("s", largest(F.col("r")))
+    share = F.col("r") / F.col("s")
+    powers = {2: share * share, 3: share * share * share, 4: (share * share) * (share * share)}
+    got = df.select("timestamp", *[(rolling(x, 300) * F.pow("s", F.lit(k))).alias(f"p{k}") for k, x in powers.items()]).toPandas().sort_values("timestamp")
+    for k in powers:
+        want = np.array([math.fsum(x**k for x in r[max(0, i - 299) : i + 1] if x == x) for i in range(len(r))])
+        scale = np.array([math.fsum(abs(x) ** k for x in r[max(0, i - 299) : i + 1] if x == x) for i in range(len(r))])
+        assert (np.abs(got[f"p{k}"] - want) <= 1e-12 * scale).all()
