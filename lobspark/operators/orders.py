@@ -15,17 +15,17 @@ from .trades import KEYS, thresholds
 MOST_TICKS = 500.0
 
 
-def aggregate(orders: DataFrame, grid: DataFrame) -> DataFrame:
+def aggregate(orders: DataFrame, grid: DataFrame, days: list[str] | None = None) -> DataFrame:
     """Orders (SecurityID, date, OrderTime or secs, OrderPrice, Balance, OrderBSFlag, OrderType A/D, OrderIndex) by bucket.
 
     grid: snapshots with secs, BidPrice1, AskPrice1. Depth counts new orders with a price against the best price of their
-    own side. A side without orders has null averages.
+    own side. A side without orders has null averages. days: all trading days, if they are known.
     """
     if "secs" not in orders.columns:
         orders = orders.withColumn("secs", timegrid.seconds(F.col("OrderTime")))
     amount = F.col("OrderPrice") * F.col("Balance")
     orders = orders.withColumn("timestamp", timegrid.ceil_bucket(F.col("secs")))
-    limits = thresholds(orders, amount, orders.select("date").union(grid.select("date")))
+    limits = thresholds(orders, amount, days if days is not None else orders.select("date").union(grid.select("date")))
     seen = as_of(orders, grid, "secs", "secs", ["BidPrice1", "AskPrice1"]).join(limits, list(STOCK), "left")
     new, cancel = F.col("OrderType") == "A", F.col("OrderType") == "D"
     side = {"buy": F.col("OrderBSFlag") == "B", "sell": F.col("OrderBSFlag") == "S"}

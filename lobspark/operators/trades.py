@@ -6,7 +6,7 @@ merged again afterwards. Book, sides and streaks come from one sorted stream, th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import timegrid
@@ -39,16 +39,19 @@ def tick_rule(trades: DataFrame) -> DataFrame:
     return out.withColumn("TradeBSFlag", F.col("__flag")).drop("__before", "__moved", "__flag")
 
 
-def previous_day(dates: DataFrame) -> DataFrame:
-    """(date, previous): trading dates with the one before; a row a day, in one small task."""
+def previous_day(dates: DataFrame | list[str], spark: SparkSession) -> DataFrame:
+    """(date, previous): trading dates with the one before; a row a day, in one small task. A list saves reading a table for it."""
+    if isinstance(dates, list):
+        days = sorted(set(dates))
+        return spark.createDataFrame(list(zip(days, [None, *days[:-1]], strict=True)), "date string, previous string")
     days = dates.select("date").distinct()
     return days.select("date", F.lag("date").over(Window.orderBy("date")).alias("previous"))
 
 
-def thresholds(events: DataFrame, amount: Column, days: DataFrame) -> DataFrame:
+def thresholds(events: DataFrame, amount: Column, days: DataFrame | list[str]) -> DataFrame:
     """(SecurityID, date, large_thresh): the 0.9 quantile of a stock's amounts on the previous trading day."""
     own = events.groupBy(*STOCK).agg(nearest_quantile(amount, 0.9).alias("large_thresh"))
-    return own.withColumnRenamed("date", "previous").join(F.broadcast(previous_day(days)), "previous").select(*STOCK, "large_thresh")  # a row a day
+    return own.withColumnRenamed("date", "previous").join(F.broadcast(previous_day(days, events.sparkSession)), "previous").select(*STOCK, "large_thresh")  # a row a day
 
 
 def in_order(trades: DataFrame, grid: DataFrame) -> DataFrame:
@@ -70,15 +73,16 @@ def in_order(trades: DataFrame, grid: DataFrame) -> DataFrame:
     return both.where(is_trade).select(*STOCK, *events, F.col("__flag").alias("TradeBSFlag"), "__streak", *[F.col(f"__last.{x}").alias(f"at_{x}") for x in book])
 
 
-def aggregate(trades: DataFrame, grid: DataFrame) -> DataFrame:
+def aggregate(trades: DataFrame, grid: DataFrame, days: list[str] | None = None) -> DataFrame:
     """Trades (SecurityID, date, TradTime or secs, TradPrice, TradVolume, TradeMoney, TradeBSFlag, TradeIndex) by bucket.
 
     grid: snapshots with secs (true time), BidPrice1, AskPrice1, mid_price; the last one at or before a trade is its book.
+    days: all trading days, if they are known; else they are read from both tables.
     """
     if "secs" not in trades.columns:
         trades = trades.withColumn("secs", timegrid.seconds(F.col("TradTime")))
     trades = trades.withColumn("timestamp", timegrid.ceil_bucket(F.col("secs")))
-    limits = thresholds(trades, F.col("TradeMoney"), trades.select("date").union(grid.select("date")))
+    limits = thresholds(trades, F.col("TradeMoney"), days if days is not None else trades.select("date").union(grid.select("date")))
     seen = in_order(trades, grid).join(limits, list(STOCK), "left")
     buy, sell = F.col("TradeBSFlag") == "B", F.col("TradeBSFlag") == "S"
     large = F.col("TradeMoney") >= F.col("large_thresh")

@@ -431,7 +431,7 @@ def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["OFI", "OBI", "Spread"]
     df = model.add_stock_id(labels.add_labels(factory.compute(adapters.snapshots(spark, sf_dir), names)))
     first, second = df.where("date = '20240102'"), df.where("date = '20240103'")
-    fitted = model.AlphaModel(names, rounds=5, leaves=8, least=20).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
+    fitted = model.AlphaModel(names, rounds=5, leaves=8, least=20, l1=1e-4).fit(first.where("timestamp < 46800"), first.where("timestamp >= 46800"))
     return fitted.predict(second).select(*KEYS, "prediction")
 
 
@@ -459,6 +459,26 @@ def read_one_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("SecurityID", "date", on_grid("BidPrice2").alias("BidPrice2"), on_grid("PreCloPrice").alias("PreCloPrice")).agg(F.count("*").alias("n"))
 
 
+@query("read_drifting", _with(S) + f"""
+SELECT SecurityID, date, timestamp, {_real('LastPrice')}, {q('BidVolume1')}, {q("case when date = '20240102' then MaxBidDur end", 'MaxBidDur')},
+ {q("case when date = '20240102' then HighLimitPrice end", 'HighLimitPrice').replace('HighLimitPrice end', 'cast(cast(HighLimitPrice as real) as double) end')}, {q("case when date = '20240103' then BidVolume2 end", 'Extra')} FROM s WHERE secs < 54000""")
+def read_drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose files have other columns and types: one frame, in the wider types, nulls where a day lacks a column."""
+    figures = ["LastPrice", "BidVolume1", "MaxBidDur", "HighLimitPrice", "Extra"]
+    return _figures(MarketData(spark, layout.write_drifting(spark, sf_dir)).snapshots(figures), figures)
+
+
+@query("shared_aggregates", _with(f"t as ({adapters.TRADE})") + f"""
+SELECT SecurityID, date, cast(ceil(cast(secs as double) / 3) * 3 as int) AS timestamp, count(*) AS trade_count, {q('sum(TradVolume)', 'trade_vwap_den')} FROM t GROUP BY ALL""")
+def shared_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates that one call makes and the next ones, for other dates and features, read."""
+    made = factory.Factory(MarketData(spark, layout.write(spark, sf_dir, "snap", "trade")))
+    dates = made.data.dates()
+    made.aggregated("trades", dates)
+    parts = [_figures(made.aggregated("trades", [d]), ["trade_count", "trade_vwap_den"], whole=("trade_count",)) for d in dates]
+    return parts[0].union(parts[1])
+
+
 @query("read_trades", _with(f"t as ({adapters.TRADE})") + f"""
 SELECT SecurityID, date, TradeIndex, TradeBSFlag, {q('secs')}, {_real('TradPrice')}, {q('TradVolume')},
  floor(cast(case when {_SH} then cast(cast(TradeMoney as real) as double) else cast(cast(TradPrice as real) as double) * TradVolume end as double) * 1000000 + {SHIFT}) / cast(1000000 as double) + 0.0 AS TradeMoney FROM t""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import inspect
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import book, evaluate, labels, limits, model, moments, ofi, orders, pca, registry, trades  # noqa: F401  registers all features
 from ..operators.registry import FEATURES, Feature
+from ..sources import scratch
 from ..sources.market import MarketData
 from ..sources.store import FeatureStore
 
@@ -20,10 +23,11 @@ def available() -> list[str]:
     return registry.available()
 
 
-def compute(grid: DataFrame, names: list[str] | None = None, trade_rows: DataFrame | None = None, order_rows: DataFrame | None = None) -> DataFrame:
+def compute(grid: DataFrame, names: list[str] | None = None, trade_rows: DataFrame | None = None, order_rows: DataFrame | None = None, days: list[str] | None = None, aggregates: dict[str, DataFrame] | None = None) -> DataFrame:
     """grid with the named features (all by default), batched by window.
 
-    grid: snapshots with secs, mid_price. Work keyed by stock comes first, then what is keyed by cross-section.
+    grid: snapshots with secs, mid_price. Work keyed by stock comes first, then what is keyed by cross-section. days: all
+    trading days, if they are known. aggregates: those of trades or orders by bucket, where they have been made already.
     """
     names = list(names or available())
     for n in names:
@@ -36,9 +40,10 @@ def compute(grid: DataFrame, names: list[str] | None = None, trade_rows: DataFra
     df, base = grid, grid.columns
     for source, rows, kind in (("trades", trade_rows, trades), ("orders", order_rows, orders)):
         if source in sources:
-            if rows is None:
+            made = (aggregates or {}).get(source)
+            if rows is None and made is None:
                 raise KeyError(f"{source} are needed")
-            df = trades.join_grid(df, kind.aggregate(rows, grid))
+            df = trades.join_grid(df, made if made is not None else kind.aggregate(rows, grid, days))
     df = registry.apply(df, [*plain, *extra])
     if section:
         df = pca.add_pca(df)
@@ -47,10 +52,15 @@ def compute(grid: DataFrame, names: list[str] | None = None, trade_rows: DataFra
 
 @dataclass
 class Factory:
-    """Features over a data root, with an optional store."""
+    """Features over a data root, with an optional store.
+
+    Aggregates of trades and orders are made once for the dates asked for and written; all later calls and actions of the session
+    read them instead of the tick files, also when executors are lost. forget() removes them.
+    """
 
     data: MarketData
     store: FeatureStore | None = None
+    made: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def grid(self, names: list[str], dates: list[str]) -> DataFrame:
         needed = {c for level in registry.closure(names) for f in level for c in f.requires}
@@ -67,14 +77,37 @@ class Factory:
         df = grid = self.grid([n for n in names if FEATURES[n].source != "section"] + (list(pca.INPUTS) if set(names) & set(pca.OUTPUTS) else []), dates)
         if rest:
             sources = {f.source for level in registry.closure([n for n in rest if FEATURES[n].source != "section"]) for f in level}
-            previous = self._with_previous(dates)
-            ticks = lambda read: (t := read()).where(t["date"].isin(previous))
-            df = compute(df, rest, ticks(self.data.trades) if "trades" in sources else None, ticks(self.data.orders) if "orders" in sources else None)
+            df = compute(df, rest, aggregates={s: self.aggregated(s, dates) for s in ("trades", "orders") if s in sources})
             if self.store:  # written once, and read back by whoever asks for the result
                 self.store.write(df, *rest)
                 df, held = grid, names
         return self.store.join(df, *held).select(*grid.columns, *names) if held else df
 
+    def aggregated(self, source: str, dates: list[str]) -> DataFrame:
+        """The aggregates of trades or orders of the dates by bucket, written by the first call that needs them.
+
+        Those of a superset of the dates serve as well. They are made anew when the code that makes them changes.
+        """
+        kind = {"trades": trades, "orders": orders}[source]
+        version = hashlib.sha256(inspect.getsource(kind).encode()).hexdigest()[:12]
+        for (name, held, made), df in self.made.items():
+            if name == source and made == version and held.issuperset(dates):
+                return df.where(F.col("date").isin(dates)) if held != set(dates) else df
+        days = self._with_previous(dates)
+        rows = getattr(self.data, source)()
+        book = self.data.snapshots(["BidPrice1", "AskPrice1"])
+        book = book.where(F.col("date").isin(dates)).select("SecurityID", "date", "timestamp", "secs", "BidPrice1", "AskPrice1")
+        found = kind.aggregate(rows.where(F.col("date").isin(days)), book.withColumn("mid_price", labels.mid_price()), days)
+        out = scratch.written(found.where(F.col("date").isin(dates)), source)
+        self.made[source, frozenset(dates), version] = out
+        return out
+
+    def forget(self) -> None:
+        """Removes the written aggregates; nothing lazy may read them any more."""
+        for df in self.made.values():
+            scratch.drop(df)
+        self.made.clear()
+
     def _with_previous(self, dates: list[str]) -> list[str]:
         """The dates and the trading day before the first, which large-trade thresholds need."""
         all_dates = self.data.dates()

@@ -67,3 +67,15 @@ def write(spark: SparkSession, sf_dir: str, *kinds: str) -> str:
         for market in ("sh", "sz"):
             make(source(spark, sf_dir), market).write.partitionBy("date").parquet(f"{root}/type={kind}_{market}")
     return root
+
+
+def write_drifting(spark: SparkSession, sf_dir: str) -> str:
+    """Snapshots whose files change on the second day: a column goes, one comes, volumes and prices have other types."""
+    root = scratch(spark, "drifting")
+    for market in ("sh", "sz"):
+        rows = snapshots(adapters.snapshots(spark, sf_dir), market)
+        gone = "MaxBidDur" if market == "sh" else "HighLimitPrice"
+        later = rows.withColumns({"BidVolume1": F.col("BidVolume1").cast("long"), "LastPrice": F.col("LastPrice").cast("double"), "Extra": F.col("BidVolume2").cast("smallint")}).drop(gone)
+        for date, df in (("20240102", rows), ("20240103", later)):
+            df.where(F.col("date") == date).drop("date").write.parquet(f"{root}/type=snap_{market}/date={date}")
+    return root

@@ -1,15 +1,22 @@
 """Readers of snapshots, trades and orders of two exchanges, unified to one schema.
 
 Layout: type={snap|trade|order}_{sh|sz}/date={YYYYMMDD}/*.parquet. All dates are one lazy scan: a filter on date prunes
-partitions, columns that nobody uses aren't read.
+partitions, columns that nobody uses aren't read. Dates come from a listing of the folders, no file is opened for them.
+
+Columns and their types may change from day to day. One footer a date is read when a market is first asked for; dates with
+one schema are one scan, and the scans are united: a column that a date lacks is null, one of several number types is the
+type that holds them all.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, LongType, NumericType, StringType, StructField, StructType
 
 from ..config import EXECUTED, ORDER_KINDS, SECONDARY_TEXT, SIDES, SNAP_REQUIRED, SZ_SNAP_NAMES, TRADING_HOURS
 from ..functions import timegrid
@@ -22,15 +29,42 @@ class MarketData:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._scans: dict[tuple[str, str], DataFrame | None] = {}
 
-    def _scan(self, kind: str, market: str) -> DataFrame | None:
+    def _folders(self, kind: str, market: str) -> dict[str, str]:
+        """The folder of each date, from one listing."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.root}/type={kind}_{market}/date=*")
+        found = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(top) or []
+        paths = [f.getPath() for f in found if f.isDirectory()]
+        return {p.getName().split("=", 1)[1]: p.toString() for p in sorted(paths, key=lambda p: p.getName())}
+
+    def _schema(self, folder: str) -> StructType | None:
         try:
-            return self.spark.read.option("recursiveFileLookup", "false").parquet(f"{self.root}/type={kind}_{market}").withColumn("date", F.col("date").cast("string"))
+            return self.spark.read.parquet(folder).schema
         except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
                 return None
             raise
 
+    def _scan(self, kind: str, market: str) -> DataFrame | None:
+        if (kind, market) not in self._scans:
+            folders = self._folders(kind, market)
+            with ThreadPoolExecutor(8) as pool:
+                schemas = dict(zip(folders, pool.map(self._schema, folders.values()), strict=True))
+            groups: dict[str, list[str]] = {}
+            for date, schema in schemas.items():
+                if schema is not None:
+                    groups.setdefault(schema.json(), []).append(date)
+            base = f"{self.root}/type={kind}_{market}"
+            parts = []
+            for dates in groups.values():
+                schema = StructType([*(f for f in schemas[dates[0]].fields if f.name != "date"), StructField("date", StringType())])
+                paths = [base] if len(groups) == 1 else [folders[d] for d in dates]
+                parts.append(self.spark.read.schema(schema).option("basePath", base).parquet(*paths))
+            self._scans[kind, market] = united(parts) if parts else None
+        return self._scans[kind, market]
+
     def _both(self, kind: str, unify) -> DataFrame:
         parts = [unify(df, m) for m in MARKETS if (df := self._scan(kind, m)) is not None]
         if not parts:
@@ -55,16 +89,28 @@ class MarketData:
         return self._both("order", orders)
 
     def dates(self, start: str | None = None, end: str | None = None) -> list[str]:
-        """Trading dates of the SH snapshots, from the partitions; a string a day comes to the driver."""
-        df = self._scan("snap", "sh")
-        if df is None:
-            return []
-        days = df.select("date").distinct()
-        if start:
-            days = days.where(F.col("date") >= start)
-        if end:
-            days = days.where(F.col("date") <= end)
-        return sorted(r["date"] for r in days.collect())
+        """Trading dates of the SH snapshots, from the names of their folders."""
+        return [d for d in self._folders("snap", "sh") if (not start or d >= start) and (not end or d <= end)]
+
+
+def wider(a: DataType, b: DataType) -> DataType:
+    """The type that a column has if one day has a and another b."""
+    if a == b:
+        return a
+    if not (isinstance(a, NumericType) and isinstance(b, NumericType)):
+        return StringType()
+    return DoubleType() if any(isinstance(t, (FloatType, DoubleType, DecimalType)) for t in (a, b)) else LongType()
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """All rows of frames that share some columns, each column in the type that holds all of them; what a frame lacks is null."""
+    types: dict[str, DataType] = {}
+    for df in parts:
+        for f in df.schema.fields:
+            types[f.name] = wider(types.get(f.name, f.dataType), f.dataType)
+    own = [{f.name: f.dataType for f in df.schema.fields} for df in parts]
+    cast = [df.select([(F.col(n) if have.get(n) == t else F.col(n).cast(t) if n in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()]) for df, have in zip(parts, own, strict=True)]
+    return reduce(DataFrame.union, cast)
 
 
 def snapshots(df: DataFrame, market: str, columns: list[str] | None = None) -> DataFrame:

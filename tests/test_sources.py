@@ -134,7 +134,7 @@ def test_folds_test_no_day_twice_and_keep_their_gaps():
 
 
 def test_range_trains_and_scores(spark, root):
-    got = run_range(Factory(MarketData(spark, root)), DATES[0], DATES[-1], names=["OBI", "OFI"], rounds=2, least=5)
+    got = run_range(Factory(MarketData(spark, root)), DATES[0], DATES[-1], names=["OBI", "OFI"], rounds=2, least=5, l1=0.0)
     rows = {r["horizon"]: r for r in got[0].collect()}
     assert rows["ret_15s"]["n_buckets"] > 0
     with pytest.raises(SystemExit):
@@ -156,3 +156,79 @@ def test_model_guards(spark):
 def test_command_line(root, capsys):
     main([root, "--date", DATES[1], "--features", "OBI", "Spread", "--no-cache"])
     assert "144 rows, 12 stocks, 2 features" in capsys.readouterr().out
+
+
+def test_dates_come_from_the_listing(spark, root, monkeypatch):
+    data = MarketData(spark, root)
+    monkeypatch.setattr(MarketData, "_schema", lambda *_: pytest.fail("a file was opened"))
+    assert data.dates() == DATES
+
+
+def test_columns_that_change_from_day_to_day(spark, tmp_path):
+    rows = [("09:30:00.000", "600000", 1)]
+    days = {"20240102": ("a int, b float, c int, d smallint, gone string", (1, 1.5, 7, 1, "x")), "20240103": ("a long, b double, c string, d int, new double", (1 << 40, 2.5, "8", 2, 3.0)), "20240104": ("a int, b float, c int, d smallint, gone string", (2, 0.5, 9, 3, None))}
+    for date, (schema, row) in days.items():
+        spark.createDataFrame([(*rows[0][:2], *row)], f"UpdateTime string, SecurityID string, {schema}").write.parquet(f"{tmp_path}/type=snap_sh/date={date}")
+    (tmp_path / "type=snap_sh" / "date=20240105").mkdir()  # a day without files
+    data = MarketData(spark, str(tmp_path))
+    df = data._scan("snap", "sh")
+    assert {k: v for k, v in df.dtypes if len(k) == 1} == {"a": "bigint", "b": "double", "c": "string", "d": "int"} or dict(df.dtypes)["d"] == "bigint"
+    got = {r["date"]: (r["a"], r["b"], r["c"], r["d"], r["gone"], r["new"]) for r in df.collect()}
+    assert got == {"20240102": (1, 1.5, "7", 1, "x", None), "20240103": (1 << 40, 2.5, "8", 2, None, 3.0), "20240104": (2, 0.5, "9", 3, None, None)}
+    files = df.where("date = '20240103'").select("a").inputFiles()
+    assert files and data._scan("snap", "sh") is df
+    plan = df.where("date = '20240103'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(date") == 2  # a scan for each of the two schemas
+
+
+def test_wider_types():
+    from pyspark.sql import types as t
+
+    from lobspark.sources.market import wider
+
+    assert wider(t.IntegerType(), t.LongType()) == t.LongType() and wider(t.IntegerType(), t.FloatType()) == t.DoubleType()
+    assert wider(t.FloatType(), t.FloatType()) == t.FloatType() and wider(t.StringType(), t.IntegerType()) == t.StringType()
+
+
+def test_second_action_reads_no_tick_file(spark, root):
+    factory = Factory(MarketData(spark, root))
+    first = factory.compute(DATES[1:3], ["TradeImb", "OrderImb"])
+    files = first.inputFiles()
+    assert not [f for f in files if "type=trade" in f or "type=order" in f] and [f for f in files if "type=snap" in f]
+    made = dict(factory.made)
+    again = factory.compute([DATES[2]], ["LargeTradeRatio", "CancelRateImb"])
+    assert factory.made == made and len(made) == 2 and not [f for f in again.inputFiles() if "type=trade" in f]
+    from lobspark.operators import orders, trades
+    from lobspark.plans import factory as plans
+
+    data = MarketData(spark, root)
+    days = DATES[1:3]
+    grid = factory.grid(["TradeImb", "OrderImb"], DATES[2:3])
+    ticks = lambda rows: rows.where(F.col("date").isin(days))
+    plain = plans.compute(grid, ["LargeTradeRatio", "CancelRateImb"], ticks(data.trades()), ticks(data.orders()))
+    key = ["SecurityID", "timestamp", "LargeTradeRatio", "CancelRateImb"]
+    a, b = (sorted(map(tuple, d.select(*key).collect()), key=str) for d in (again, plain))
+    assert a == b and any(r[2] for r in a)
+    factory.forget()
+    assert not factory.made and trades and orders
+
+
+def test_store_sets(spark, tmp_path):
+    """Features written together and apart, a day written again, and versions that have changed."""
+    store = FeatureStore(spark, str(tmp_path))
+    schema = "date string, timestamp int, SecurityID string, x double, y double, z double"
+    rows = lambda d, k: [(d, t, s, float(k + t), None if t == 1 else 2.0 * k, 0.5) for t in (1, 2) for s in ("a", "b")]
+    store.write(spark.createDataFrame(rows("d1", 1) + rows("d2", 2), schema), "x", "y")
+    store.write(spark.createDataFrame(rows("d1", 3), schema), "z")
+    assert store.held() == {("x", "d1"), ("x", "d2"), ("y", "d1"), ("y", "d2"), ("z", "d1")}
+    keys = spark.createDataFrame([(d, t, s, 7) for d in ("d1", "d2", "d3") for t in (1, 2) for s in ("a", "b")], "date string, timestamp int, SecurityID string, own int")
+    got = {(r["date"], r["timestamp"], r["SecurityID"]): (r["x"], r["y"], r["z"], r["own"]) for r in store.join(keys, "x", "y", "z").collect()}
+    assert got["d1", 1, "a"] == (2.0, None, 0.5, 7) and got["d2", 2, "b"] == (4.0, 4.0, None, 7) and got["d3", 1, "a"] == (None, None, None, 7)
+    store.write(spark.createDataFrame(rows("d2", 10), schema), "x")  # in a set of its own
+    got = {(r["date"], r["timestamp"], r["SecurityID"]): (r["x"], r["y"]) for r in store.join(keys, "x", "y").collect()}
+    assert got["d1", 2, "a"] == (3.0, 2.0) and got["d2", 2, "a"] == (12.0, 4.0)
+    assert store.read("x").count() == 8 and store.read("y").count() == 4
+    plan = store.join(keys, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "y@" not in plan and "Aggregate" not in plan  # columns are pruned, nothing is pivoted
+    store.version = lambda name: "changed"
+    assert store.held() == set()
