@@ -531,3 +531,6 @@ SELECT fold, part, date FROM p WHERE part IS NOT NULL""")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three folds over the days of the orders table."""
     return model.fold_table(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyyMMdd").alias("date")), 3)
+
+
+from . import event_queries  # noqa: E402, F401  registers its queries here

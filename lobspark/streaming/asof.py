@@ -108,4 +108,4 @@ def stream_as_of(events: DataFrame, book: DataFrame, carry: list[str], keep: lis
 def closing(spark, schema: StructType, ts: str, key: dict[str, object]) -> DataFrame:
     """A row of a stream's schema with this time and key, all else null: once both streams have it, all earlier rows are answered."""
     values = [key.get(f.name) for f in schema.fields]
-    return spark.createDataFrame([values], schema).withColumn("ts", F.lit(ts).cast("timestamp"))
+    return spark.createDataFrame([values], StructType([StructField(f.name, f.dataType) for f in schema.fields])).withColumn("ts", F.lit(ts).cast("timestamp"))
