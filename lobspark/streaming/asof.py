@@ -1,7 +1,8 @@
 """As-of join of two streams: each trade gets the latest book row of its stock and day at or before it, as in functions.windows.as_of.
 
 Both streams are one, keyed by stock and day. A key's state is the book rows that a trade may still ask for and the trades that wait.
-A trade is answered when the watermark has passed its time: no earlier book row can come any more. Then all book rows but
+A trade is answered when the watermark has passed its time, with the next rows of its key or by a timer: no earlier book row can
+come any more. Then all book rows but
 the latest at or before the watermark are dropped, so the state of a key is what the delay spans, however long the stream
 runs. Rows may come in any order within the delay; what comes later than the watermark is left out, as everywhere in a stream.
 """
@@ -61,16 +62,20 @@ class _AsOf(StatefulProcessor):
             if len(part):
                 state.appendList(self._tuples(part))
         mark = timerValues.getCurrentWatermarkInMs()
-        for second in sorted({int(u) // 1_000_000 + 1 for u in new.loc[new["stream_side"] == 1, "us_"]}):  # one timer a second is enough
-            if second * 1000 > mark:
-                self.handle.registerTimer(second * 1000)
-        return iter(())
+        events = new.loc[new["stream_side"] == 1, "us_"]
+        last = int(events.max()) // 1000 + 1 if len(events) else 0
+        if last > mark:
+            self.handle.registerTimer(last)  # for a stock that gets no more rows; others are answered with their next rows
+        return self._answers(key, mark * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        return self._answers(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _answers(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        """Trades before the watermark with their books; what nobody can ask for any more is dropped."""
         waiting = self._frame(self.waiting)
         due = waiting["us_"] < mark if len(waiting) else pd.Series([], dtype=bool)
-        if not due.any():  # an earlier timer of this batch has answered
+        if not due.any():
             return iter(())
         book = self._frame(self.book).sort_values(["us_", "turn_"], kind="stable")
         events = waiting[due].sort_values(["us_", "turn_"], kind="stable")
