@@ -1,15 +1,18 @@
 """Exact top-k search by a Voronoi join.
 
 Vectors belong to the cell of their nearest pivot, queries too: those of a cell, and of near cells where these are few, are
-a group. A cell's summary is its size and radius. For a query q and a cell with pivot p and radius r, every score in the
-cell lies in <q,p> -+ |q| r. The lower ends and sizes of cells give a score that at least k candidates reach; only cells
-whose upper end reaches it can hold winners. A group needs the cells that one of its queries needs, and only these cells
-are replicated to it. Groups and cells are solved locally by matrix products, and the winners of all cells are merged.
-
-Scale: pivots grow with the square root of the rows, up to PIVOTS, and so do the summaries. Cells are split into sub-cells
-and groups into parts of bounded size, so a cell that holds a third of all vectors is many tasks; no task meets more than
-SUB_ROWS x QUERY_ROWS scores at once. As near queries share a group, and a group's queries need nearly the same cells,
-data are replicated less than if queries were dealt at random; how much less depends on how clustered the vectors are.
+a group. A cell's summary is its size, its radius, and the radius of its queries. For queries within s of pivot p and vectors
+within r of pivot o, every score lies in <p,o> -+ (s |o| + |p| r + s r). So the summaries alone give, for the queries of
+a cell, a score that at least k candidates of each of them reach, from the lower ends, and the cells that can hold winners,
+those whose upper end reaches it. What a group's cells need, the group needs, and nothing else is sent to it.
+
+Cells are put into bundles of bounded size, near cells together and large ones divided. A group meets each bundle that it needs
+once: its queries are sent there once, whatever number of cells the bundle has, and the bundle's rows come along. Both are
+solved locally by matrix products, and the winners of all bundles are merged.
+
+Scale: pivots grow with the square root of the rows, up to PIVOTS, and so do the summaries. A cell that holds a third of all
+vectors is many bundles, one that holds a third of all queries many blocks; no task meets more than BUNDLE_ROWS vectors and
+QUERY_ROWS queries at once, and scores AT_ONCE of these against them. How much is pruned depends on how clustered vectors are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 PIVOTS = 4096
-SUB_ROWS, QUERY_ROWS = 4000, 1000
+BUNDLE_ROWS, QUERY_ROWS, AT_ONCE = 16_000, 1000, 250
 SCALE = 1024
 
 
@@ -76,6 +79,34 @@ def groups(asks: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def bundles(sizes: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first bundle, parts) of each cell's vectors: small cells join their neighbours in order, large ones are parted."""
+    first, parts = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    now, held = 0, 0
+    for cell in order:
+        n = int(sizes[cell])
+        if held and held + n > BUNDLE_ROWS:
+            now, held = now + 1, 0
+        first[cell], parts[cell] = now, max(1, -(-n // BUNDLE_ROWS))
+        held += n
+        if parts[cell] > 1:
+            now, held = now + int(parts[cell]), 0
+    return first, parts
+
+
+def needed(pivots: np.ndarray, size: np.ndarray, radius: np.ndarray, cells: np.ndarray, spread: np.ndarray, k: int) -> np.ndarray:
+    """For each of the cells, whose queries lie within spread of its pivot, which cells can hold one of their k best."""
+    p = pivots[cells]
+    mid, slack = p @ pivots.T, spread[:, None] * np.linalg.norm(pivots, axis=1) + np.linalg.norm(p, axis=1)[:, None] * radius + spread[:, None] * radius
+    slack = np.where(size > 0, slack * (1 + 1e-9) + 1e-3 + np.abs(mid) * 1e-12, 0.0)
+    low = np.where(size > 0, mid - slack, -np.inf)
+    order = np.argsort(-low, axis=1, kind="stable")
+    enough = np.cumsum(size[order], axis=1) >= k + 1  # one may be the query itself
+    bound = np.take_along_axis(np.take_along_axis(low, order, 1), enough.argmax(axis=1)[:, None], 1)
+    bound[~enough.any(axis=1)] = -np.inf
+    return (mid + slack >= bound) & (size > 0)
+
+
 def knn_join(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """The k highest integer inner products of each row for which query is true, against every other row.
 
@@ -104,59 +135,62 @@ def knn_join(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_
 
     places = shared.write_out(rows.select("row", "dim", "asks", "v").mapInPandas(assign, "row bigint, dim int, asks boolean, cell int, dist double"), "places")
     asks = F.count(F.when(F.col("asks"), F.lit(1)))
-    summary = places.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("r"), asks.alias("asks")).toPandas()  # a row for each pivot
-    subs = {(int(s.dim), int(s.cell)): -(-int(s.n) // SUB_ROWS) for s in summary.itertuples()}
-    by_dim = {int(d): s.sort_values("cell") for d, s in summary.groupby("dim")}
-    grouped = {}
-    for dim, s in by_dim.items():
-        many = np.zeros(len(origin(dim)), dtype=np.int64)
-        many[s["cell"]] = s["asks"]
-        grouped[dim] = groups(many, neighbours(origin(dim)))
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    summary = places.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("r"), asks.alias("asks"), F.max(F.when(F.col("asks"), F.col("dist"))).alias("spread")).toPandas()  # a row for each pivot
+    spark, cells, jobs, known = vectors.sparkSession, [], [], {}
+    for dim, s in summary.groupby("dim"):
+        many = len(origin(int(dim)))
+        size, radius, asked_of, spread = (np.zeros(many, dtype=t) for t in (np.int64, float, np.int64, float))
+        for column, name in ((size, "n"), (radius, "r"), (asked_of, "asks"), (spread, "spread")):
+            column[s["cell"]] = s[name].fillna(0)
+        order = neighbours(origin(int(dim)))
+        bundle, parts = bundles(size, order)
+        block, shares = groups(asked_of, order)
+        known[int(dim)] = (size, radius, spread, bundle, parts)
+        cells += [(int(dim), c, int(bundle[c]), int(parts[c]), int(block[c]), int(shares[c])) for c in range(many)]
+        for g in np.unique(block[asked_of > 0]).tolist():
+            own = np.flatnonzero((block == g) & (asked_of > 0))
+            jobs.append((int(dim), g, int(shares[own].max()), own.tolist()))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bundles that each block of queries needs, from summaries."""
         for f in frames:
-            for (dim, _), part in f.groupby(["dim", np.arange(len(f)) // 500]):
-                s = by_dim[dim]
-                q, p, size = _stack(part["v"], dim).astype(float), origin(dim)[s["cell"].to_numpy()].astype(float), s["n"].to_numpy()
-                mid, slack = q @ p.T, np.linalg.norm(q, axis=1)[:, None] * s["r"].to_numpy() * (1 + 1e-9) + 1e-3
-                low = mid - slack
-                order = np.argsort(-low, axis=1)
-                enough = (np.cumsum(size[order], axis=1) >= k + 1).argmax(axis=1)  # one may be the query itself
-                bound = np.take_along_axis(np.take_along_axis(low, order, 1), enough[:, None], 1)
-                bound[size.sum() < k + 1] = -np.inf
-                who, what = np.nonzero(mid + slack >= bound)
-                cell = s["cell"].to_numpy()[what]
-                many = np.array([subs[dim, c] for c in cell], dtype=np.int64)
-                at = np.repeat(np.arange(len(who)), many)
-                sub = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                first, parts = (x[part["cell"].to_numpy()] for x in grouped[dim])
-                out = part[["id", "row", "v", "dim"]].assign(block=first + part["row"].to_numpy() % parts).iloc[who[at]].copy()
-                out["cell"], out["sub"] = cell[at], sub
-                yield out[["id", "row", "v", "block", "dim", "cell", "sub"]]
-
-    asked = rows.where("asks").join(places.where("asks").select("row", "cell"), "row")
-    asked = shared.write_out(asked.mapInPandas(route, f"id {kind}, row bigint, v array<bigint>, block int, dim int, cell int, sub int"), "asked")
-    needed = asked.select("dim", "cell", "block").distinct().toDF("dim", "cell", "block")
-    sizes = vectors.sparkSession.createDataFrame([(*c, m) for c, m in subs.items()] or [(0, 0, 1)], "dim int, cell int, subs int")
-    data = rows.join(places.select("row", "cell"), "row").join(F.broadcast(sizes), ["dim", "cell"])
-    data = data.withColumn("sub", F.pmod(F.xxhash64("row", F.lit(1)), F.col("subs")).cast("int")).join(needed, ["dim", "cell"])
+            for job in f.itertuples(index=False):
+                size, radius, spread, bundle, parts = known[job.dim]
+                own = np.asarray(job.cells)
+                cell = np.flatnonzero(needed(origin(job.dim).astype(float), size, radius, own, spread[own], k).any(axis=0))
+                at = np.unique(np.concatenate([bundle[c] + np.arange(parts[c]) for c in cell]) if len(cell) else np.zeros(0, dtype=np.int64))
+                pairs = pd.DataFrame({"bundle": np.tile(at, job.shares), "block": np.repeat(job.block + np.arange(job.shares), len(at))})
+                yield pairs.assign(dim=job.dim)[["dim", "block", "bundle"]]
+
+    table = spark.createDataFrame(cells or [(0, 0, 0, 1, 0, 1)], "dim int, cell int, first int, parts int, block int, shares int")  # a row for each pivot
+    groups_ = spark.createDataFrame(jobs or [(-1, 0, 0, [])], "dim int, block int, shares int, cells array<int>").where("shares > 0")
+    meetings = shared.write_out(groups_.repartition(shared.many_parts(spark)).mapInPandas(meet, "dim int, block int, bundle int"), "meetings")
+    placed = rows.join(places.select("row", "cell"), "row").join(F.broadcast(table), ["dim", "cell"])
+    draw = lambda seed, many: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(many)).cast("int")
+    asked = placed.where("asks").withColumn("block", F.col("block") + draw(2, "shares")).select("id", "row", "v", "dim", "block").join(meetings, ["dim", "block"])
+    data = placed.withColumn("bundle", F.col("first") + draw(1, "parts")).select("id", "row", "v", "dim", "bundle").join(meetings, ["dim", "bundle"])
 
     def solve(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
             return pd.DataFrame({"query": [], "query_id": [], "row": [], "id": [], "score": []})
         x = x.sort_values(["id", "row"], na_position="last")
-        dim = int(key[0])
-        score = _products(_stack(q["v"], dim), _stack(x["v"], dim))
-        own = q["row"].to_numpy()[:, None] == x["row"].to_numpy()
-        order = np.argsort(np.where(own, np.iinfo(np.int64).max, -score), axis=1, kind="stable")[:, : k + 1]
-        who = np.repeat(np.arange(len(q)), order.shape[1])
-        what = order.ravel()
-        keep = ~own[who, what]
-        who, what = who[keep], what[keep]
-        return pd.DataFrame({"query": q["row"].to_numpy()[who], "query_id": q["id"].to_numpy()[who], "row": x["row"].to_numpy()[what], "id": x["id"].to_numpy()[what], "score": score[who, what]})
-
-    keys = ["dim", "cell", "sub", "block"]
-    local = asked.groupBy(*keys).cogroup(data.select("id", "row", "v", *keys).groupBy(*keys)).applyInPandas(solve, f"query bigint, query_id {kind}, row bigint, id {kind}, score bigint")
+        dim, there, out = int(key[0]), x["row"].to_numpy(), []
+        stacked = _stack(x["v"], dim)
+        for at in range(0, len(q), AT_ONCE):
+            part = q.iloc[at : at + AT_ONCE]
+            score = _products(_stack(part["v"], dim), stacked)
+            own = part["row"].to_numpy()[:, None] == there
+            order = np.argsort(np.where(own, np.iinfo(np.int64).max, -score), axis=1, kind="stable")[:, : k + 1]
+            who = np.repeat(np.arange(len(part)), order.shape[1])
+            what = order.ravel()
+            keep = ~own[who, what]
+            who, what = who[keep], what[keep]
+            out.append(pd.DataFrame({"query": part["row"].to_numpy()[who], "query_id": part["id"].to_numpy()[who], "row": there[what], "id": x["id"].to_numpy()[what], "score": score[who, what]}))
+        return pd.concat(out)
+
+    keys = ["dim", "bundle", "block"]
+    data = data.select([F.col(c).alias(c) for c in data.columns])  # columns of its own beside those of asked
+    local = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, f"query bigint, query_id {kind}, row bigint, id {kind}, score bigint")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

@@ -222,7 +222,7 @@ def brute_knn(rows, k):
 def test_search(spark, monkeypatch, sub):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(knn_join, "SUB_ROWS", sub)
+    monkeypatch.setattr(knn_join, "BUNDLE_ROWS", sub)
     monkeypatch.setattr(knn_join, "QUERY_ROWS", sub)
     rnd = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rnd.normal(size=4)]) for i in range(300)] + [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 420)]
@@ -258,6 +258,7 @@ def test_replicated_rows_of_clustered_vectors(spark, monkeypatch):
     from lobspark.llm import shared
 
     monkeypatch.setattr(knn_join, "QUERY_ROWS", 4)
+    monkeypatch.setattr(knn_join, "BUNDLE_ROWS", 60)
     sizes, real = {}, shared.write_out
     monkeypatch.setattr(shared, "write_out", lambda df, name: sizes.setdefault(name, real(df, name)))
     rnd = np.random.default_rng(4)
@@ -265,8 +266,39 @@ def test_replicated_rows_of_clustered_vectors(spark, monkeypatch):
     rows = [(i, [float(x) for x in centres[i % 8] + rnd.normal(size=6)], "s", 1, "r") for i in range(1600)]
     got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn_join.knn_join(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()), key=str)
     assert got == brute_knn(rows, 10)
-    asked = sizes["asked"].select("dim", "cell", "block").distinct().count()
-    assert asked < 0.6 * sizes["places"].select("cell").distinct().count() * sizes["asked"].select("block").distinct().count()
+    met = sizes["meetings"].toPandas()
+    cells = sizes["places"].select("cell").distinct().count()
+    assert not met.duplicated().any()  # a block and a bundle meet once, so a query is sent to a bundle once
+    assert len(met) < 0.5 * met["block"].nunique() * -(-1600 // 60) and met["bundle"].nunique() > cells / 3
+
+
+def test_summaries_bound_all_scores():
+    """No winner of any query lies in a cell that the summaries rule out, and some cells are ruled out."""
+    rnd = np.random.default_rng(6)
+    x = (rnd.normal(size=(6, 5))[rnd.integers(0, 6, 900)] * 300 + rnd.normal(size=(900, 5)) * 20).astype(int).astype(float)
+    pivots = x[:25]
+    d = np.linalg.norm(x[:, None] - pivots, axis=2)
+    cell, dist = d.argmin(axis=1), d.min(axis=1)
+    size = np.bincount(cell, minlength=25)
+    radius = np.array([dist[cell == c].max(initial=0) for c in range(25)])
+    asking = rnd.random(900) < 0.3
+    spread = np.array([dist[(cell == c) & asking].max(initial=0) for c in range(25)])
+    own = np.unique(cell[asking])
+    wanted = knn_join.needed(pivots, size, radius, own, spread[own], 10)
+    for q in np.flatnonzero(asking):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.argsort(-score, kind="stable")[:10]
+        least = score[best[-1]]
+        assert wanted[np.searchsorted(own, cell[q])][np.unique(cell[(score >= least) & (np.arange(900) != q)])].all()
+    assert 0 < wanted.sum() < 0.6 * wanted.size
+    assert knn_join.needed(pivots, size, radius, own, spread[own], 899).all()
+
+
+def test_large_cells_are_parted_and_small_ones_share_bundles(monkeypatch):
+    monkeypatch.setattr(knn_join, "BUNDLE_ROWS", 100)
+    first, parts = knn_join.bundles(np.array([30, 250, 0, 90, 20]), [0, 4, 3, 1, 2])
+    assert first.tolist() == [0, 2, 5, 1, 0] and parts.tolist() == [1, 3, 1, 1, 1]
 
 
 def mixing_table(spark, n=3000, seed=5):
@@ -402,3 +434,13 @@ def test_scores_against_a_plain_forward_pass():
             k += width
         logit = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.out_bias
         assert np.allclose(toxicity.Scorer(net).score([text]), net.scores(np.array([logit])), atol=1e-5)
+
+
+def test_raking_says_when_there_are_too_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PAIRS", 3)
+    cells = spark.createDataFrame([("s", lang, topic, 1.0) for lang in "ab" for topic in "xy"], "source string, lang string, topic string, mass double")
+    with pytest.raises(ValueError, match="coarser"):
+        mixing.Raking(cells, mixing.Targets())
+    monkeypatch.setattr(mixing, "AT_ONCE", 1)  # a source at a time
+    monkeypatch.setattr(mixing, "MOST_PAIRS", 4)
+    assert mixing.Raking(cells, mixing.Targets()).probabilities().count() == 4
