@@ -36,6 +36,8 @@ MARGINALS = ("source", "lang", "topic")
 TOPICS, DIM, STARTS, PASSES = 8, 64, 64, 5
 ROUNDS, TOLERANCE = 60, 1e-7
 MOST = 1e9  # factors of categories that are taken whole don't grow beyond it
+#: Pairs of language and topic whose factors the driver holds; cells of a dense block of sources in a task.
+MOST_PAIRS, AT_ONCE = 50_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -199,7 +201,10 @@ class Raking:
     """Factors of languages and topics on the driver, sources in a written table."""
 
     def __init__(self, cells: DataFrame, targets: Targets) -> None:
-        pairs = sorted((r["lang"], r["topic"]) for r in cells.select("lang", "topic").distinct().collect())  # languages x topics
+        found = cells.select("lang", "topic").distinct().limit(MOST_PAIRS + 1).collect()
+        if len(found) > MOST_PAIRS:
+            raise ValueError(f"more than {MOST_PAIRS} pairs of language and topic; rake coarser topics")
+        pairs = sorted((r["lang"], r["topic"]) for r in found)
         self.pairs, self.targets, self.cells = pairs, targets, cells
         number = {p: k for k, p in enumerate(pairs)}
         own = np.zeros(len(pairs))
@@ -222,8 +227,9 @@ class Raking:
     def _solved(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         number, w = {p: k for k, p in enumerate(self.pairs)}, self.w
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            step = max(1, min(500, AT_ONCE // max(1, len(w))))
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
                 cells = b.column("cells")
                 flat = cells.flatten()
                 where = np.array([number[p] for p in zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)], dtype=np.int64)
