@@ -10,8 +10,8 @@ trees and three tokens, for leaves of the first, second and third level, at most
 3.8e-8, 3.1e-7 and 1.0e-6 at 0.85.
 
 Exhaustive comparison of a leaf is on 64-byte minwise sketches and set sizes; it passes pairs that might reach the
-similarity, and these are confirmed on full sets. A shingle is 128 bits of hashes without algebraic structure: trees, sketches
-and consensus look at the first 64, whatever becomes a class or a link at all of them. All trees share the sketches, so their chance of a miss is added: the cut
+similarity, and these are confirmed on full sets. A shingle is 128 bits of hashes without algebraic structure: trees,
+sketches and first comparisons look at half of them, whatever becomes a class or a link is confirmed on all. All trees share the sketches, so their chance of a miss is added: the cut
 is as high as keeps it below that of the trees' first level (3.2e-7 at 0.8, 3.5e-8 at 0.85). Together a link of just the
 least similarity in leaves of the first level is lost with a chance of at most 8.4e-7 at 0.8 and 7.3e-8 at 0.85. Components are found by the smallest
 label over links with pointer jumping, in written tables.
@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
@@ -46,6 +46,8 @@ SKETCH = 64
 DENSE = 0.5
 #: Parts of a node whose classes are confirmed against one class.
 SALTS = 32
+#: Bytes of sets that go to Python at once.
+AT_ONCE = 1 << 23
 _MULTIPLIERS = np.random.default_rng(2024).integers(1, 1 << 62, TREES * LEVELS + SKETCH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -92,16 +94,21 @@ def in_common(p: np.ndarray, q: np.ndarray) -> int:
     return int(same.sum())
 
 
-def _confirmed(pairs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b) of those rows of (a, b, x, y) whose sets x and y reach the similarity."""
+def _confirmed(pairs: DataFrame, similar: tuple[int, int], rows: int = 2) -> DataFrame:
+    """(a, b) of those rows of (a, b, x, y) whose sets x and y, of so many rows of hashes, reach the similarity."""
+
+    def common(p: np.ndarray, q: np.ndarray) -> int:
+        return in_common(p, q) if rows == 2 else len(np.intersect1d(p[0], q[0], assume_unique=True))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for p, q in zip(_pairs(b.column("x")), _pairs(b.column("y")), strict=True):
-                common = in_common(p, q)
-                ok.append(similar[1] * common >= similar[0] * (p.shape[1] + q.shape[1] - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b, ok = whole.slice(at, 200), []
+                for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    p, q = (np.frombuffer(t, dtype=np.uint64).reshape(rows, -1) for t in (x, y))
+                    shared_ = common(p, q)
+                    ok.append(similar[1] * shared_ >= similar[0] * (p.shape[1] + q.shape[1] - shared_))
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
 
@@ -185,16 +192,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), shingle)], pa.binary())], names=["class", "tokens"])
+            sets = shingle_sets(b.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([s[i].tobytes() for s in sets], pa.binary()) for i in (0, 1))], names=["class", "tokens", "seconds"])
 
-    tokens = texts.join(wanted.distinct().withColumnRenamed("class", "row").hint("merge"), "row").select("row", "text").mapInArrow(full, "class bigint, tokens binary")
+    tokens = texts.join(wanted.distinct().withColumnRenamed("class", "row").hint("merge"), "row").select("row", "text").mapInArrow(full, "class bigint, tokens binary, seconds binary")
     tokens = shared.write_out(tokens, "tokens")
 
-    side = lambda name, column: tokens.select(F.col("class").alias(name), F.col("tokens").alias(column))
-    links = _confirmed(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b"), similar)
-    for more in _dense_links(large, tokens, similar, block) if large is not None else ():
+    side = lambda name, column, of: tokens.select(F.col("class").alias(name), of.alias(column))
+    joined = lambda pairs, of: pairs.join(side("a", "x", of), "a").join(side("b", "y", of), "b")
+    near = _confirmed(joined(pairs, F.col("tokens")), similar, rows=1)
+    some, sure = _dense_links(large, tokens, similar, block) if large is not None else ([], [])
+    for more in some:
+        near = near.unionByName(more)
+    links = _confirmed(joined(shared.write_out(near, "near", AT_ONCE), both()), similar)
+    for more in sure:
         links = links.unionByName(more)
-    links = shared.write_out(links, "links")
+    links = shared.write_out(links, "links", AT_ONCE)
     shared.drop_since(mark, links)
     labels = components(links)
     shared.drop_since(mark, labels)
@@ -272,19 +285,16 @@ def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int) -> tupl
     return pairs, None if large is None else shared.write_out(large, "dense")
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(t, dtype=np.int64) for t in column.to_pylist()]
-
-
-def _pairs(column) -> list[np.ndarray]:
-    return [np.frombuffer(t, dtype=np.uint64).reshape(2, -1) for t in (column.to_pylist() if isinstance(column, pa.Array) else column)]
+def both() -> Column:
+    """All bits of a set's shingles."""
+    return F.concat("tokens", "seconds")
 
 
-def _firsts(column: pa.Array) -> list[np.ndarray]:
-    return [s[: len(s) // 2] for s in _sets(column)]
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, dtype=np.int64) for t in column.to_pylist()]
 
 
-def _exploded(frame: DataFrame, column: str, keep: list[str], read=_sets) -> DataFrame:
+def _exploded(frame: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """A row for each token of the sets in a column, with the columns of keep."""
     schema = frame.select(*keep).schema
 
@@ -292,7 +302,7 @@ def _exploded(frame: DataFrame, column: str, keep: list[str], read=_sets) -> Dat
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                sets = read(part.column(column))
+                sets = _sets(part.column(column))
                 rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in keep), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64))], names=[*keep, "token"])
 
@@ -306,8 +316,8 @@ def _named(large: DataFrame) -> DataFrame:
     return shared.write_out(large.join(nodes.select("node", "many"), "node"), "members")
 
 
-def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int], block: int) -> list[DataFrame]:
-    """Links that join the same classes as all links within large nodes do.
+def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int], block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links that join the same classes as all links within large nodes do: by half of the shingles' bits, and by all.
 
     A node of at most WIDE blocks of classes is compared exhaustively, each pair of blocks a task. A larger one is compared with its consensus C, the tokens
     that more than half of its classes have. With D(x), the tokens that only one of x and C has, and
@@ -321,34 +331,36 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
     """
     p, q = similar
     links: list[DataFrame] = []
+    sure: list[DataFrame] = []
+    slim = tokens.select("class", "tokens")
     while True:
         members = _named(large)
         small = _blocks(members.where(F.col("many") <= block * WIDE), block)
-        links.append(small.join(tokens, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
+        links.append(small.join(slim, "class").groupBy("node", "i", "j").applyInPandas(lambda f: _forest(f, similar), "a bigint, b bigint"))
         big = members.where(F.col("many") > block * WIDE)
         if big.isEmpty():
-            return links
-        counts = _exploded(big.join(tokens, "class"), "tokens", ["node", "many"], _firsts).groupBy("node", "many", "token").agg(F.count("*").alias("n"))
-        counts = shared.write_out(counts, "counts")
+            return links, sure
+        counts = _exploded(big.join(slim, "class"), "tokens", ["node", "many"]).groupBy("node", "many", "token").agg(F.count("*").alias("n"))
+        counts = shared.write_out(counts, "counts", AT_ONCE)
         consensus = counts.where(F.col("n") * 2 > F.col("many")).groupBy("node").agg(F.collect_list("token").alias("consensus"))  # at most twice a mean set
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own = [np.setxor1d(x, np.array(c or (), dtype=np.int64), assume_unique=True) for x, c in zip(_firsts(b.column("tokens")), b.column("consensus").to_pylist(), strict=True)]
-                size = [len(t) // 16 for t in b.column("tokens").to_pylist()]
+                own = [np.setxor1d(x, np.array(c or (), dtype=np.int64), assume_unique=True) for x, c in zip(_sets(b.column("tokens")), b.column("consensus").to_pylist(), strict=True)]
+                size = [len(t) // 8 for t in b.column("tokens").to_pylist()]
                 e = [(q + p) * len(d) - (q - p) * n for d, n in zip(own, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("class"), b.column("many"), pa.array(e, pa.int64()), pa.array([len(d) for d in own], pa.int64()), pa.array([d.tobytes() for d in own], pa.binary())], names=["node", "class", "many", "e", "size", "own"])
 
-        apart = big.join(tokens, "class").join(consensus, "node", "left").select("node", "class", "many", "tokens", "consensus").mapInArrow(compared, "node bigint, class bigint, many bigint, e bigint, size bigint, own binary")
-        apart = shared.write_out(apart, "apart")
+        apart = big.join(slim, "class").join(consensus, "node", "left").select("node", "class", "many", "tokens", "consensus").mapInArrow(compared, "node bigint, class bigint, many bigint, e bigint, size bigint, own binary")
+        apart = shared.write_out(apart, "apart", AT_ONCE)
         middle = shared.write_out(apart.groupBy("node").agg(F.min(F.struct("e", "class")).alias("m")).select("node", F.col("m.e").alias("least"), F.col("m.class").alias("middle")), "middle")
         seen = apart.join(middle, "node").withColumn("over", F.col("e") + F.col("least"))
-        near = seen.where("over <= 0 AND class <> middle").select("node", "class", F.pmod(F.xxhash64("class"), F.lit(SALTS)).alias("salt")).join(tokens, "class")
-        center = middle.join(tokens.select(F.col("class").alias("middle"), F.col("tokens").alias("x")), "middle").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-        links.append(_confirmed(near.join(center, ["node", "salt"]).select(F.col("middle").alias("a"), F.col("class").alias("b"), "x", F.col("tokens").alias("y")), similar))
+        near = seen.where("over <= 0 AND class <> middle").select("node", "class", F.pmod(F.xxhash64("class"), F.lit(SALTS)).alias("salt")).join(tokens.select("class", both().alias("y")), "class")
+        center = middle.join(tokens.select(F.col("class").alias("middle"), both().alias("x")), "middle").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        sure.append(_confirmed(near.join(center, ["node", "salt"]).select(F.col("middle").alias("a"), F.col("class").alias("b"), "x", "y"), similar))
         rest = shared.write_out(seen.where("over > 0"), "rest")
         if rest.isEmpty():
-            return links
+            return links, sure
         # a token of C in D is one that the class lacks
         rarity = F.when(F.col("n") * 2 > F.col("many"), F.col("many") - F.col("n")).otherwise(F.col("n"))
         heads = _exploded(rest, "own", ["node", "class", "size", "over"]).join(counts.select("node", "token", rarity.alias("rarity")), ["node", "token"])
@@ -356,7 +368,7 @@ def _dense_links(large: DataFrame, tokens: DataFrame, similar: tuple[int, int],
         needed = F.greatest(F.lit(1), F.ceil(F.col("over") / (2 * (q + p))))
         heads = heads.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - needed + 1).select("node", "token").distinct()
         large = _exploded(apart, "own", ["node", "class"]).join(heads, ["node", "token"]).select(F.xxhash64("node", "token").alias("node"), "class")
-        large = shared.write_out(large, "narrower")
+        large = shared.write_out(large, "narrower", AT_ONCE)
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -371,12 +383,9 @@ def _forest(f, similar: tuple[int, int]):
     """A spanning forest of the links within some classes, from exact intersections of full sets."""
     import pandas as pd
 
-    sets = _pairs(f["tokens"])
-    size = np.array([s.shape[1] for s in sets])
-    first, second = np.concatenate(sets, axis=1)
-    _, at, code = np.unique(first, return_index=True, return_inverse=True)
-    if (second[at][code] != second).any():  # different shingles share the first half
-        code = np.unique(np.stack([first, second]), axis=1, return_inverse=True)[1].ravel()
+    sets = [np.frombuffer(t, dtype=np.uint64) for t in f["tokens"]]
+    size = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(sets)), size)
     useful = np.bincount(code)[code] > 1
     code, owner = np.unique(code[useful], return_inverse=True)[1], owner[useful]

@@ -15,6 +15,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -39,21 +40,25 @@ def free_name(columns: list[str], *more: str) -> str:
     return name
 
 
-def write_out(df: DataFrame, name: str) -> DataFrame:
+def write_out(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again.
 
     The write's shuffle files go as soon as it is done (Spark would keep them until the driver collects its garbage).
     A task that is lost before the write ends is computed again from its inputs; afterwards nothing is recomputed.
-    The files are removed when the driver ends, or by drop().
+    The files are removed when the driver ends, or by drop(). batch_bytes: of what goes to Python at once, less than the
+    session's own where rows hold long sets.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lobspark/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._lobspark_path = path
