@@ -34,7 +34,7 @@ from . import repeats, shared
 from .packing import Encoder, encoder
 
 #: Bytes of the rolling hash, and the mean number of bytes between two cuts.
-ROLL, MEAN = 16, 512
+ROLL, MEAN = 16, 2048
 #: Bytes of chunks that a worker keeps, and the longest chunk that it keeps.
 KEPT_BYTES, KEPT_LENGTH = 1 << 24, 1 << 14
 _LETTER = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
