@@ -28,8 +28,9 @@ LEVELS = range(1, 11)
 def snapshots(df: DataFrame, market: str) -> DataFrame:
     """One market's snapshot files; every tenth or so bucket has an earlier snapshot too, with another last price."""
     df = df.where(IS_SH if market == "sh" else IS_SZ)
-    early = df.where("secs > timestamp AND MOD(CAST(BidVolume1 AS INT), 1000) = 0").withColumns({"secs": F.col("timestamp").cast("double"), "LastPrice": F.lit(1.0)})
-    df = df.unionByName(early)
+    twice = F.expr("secs > timestamp AND MOD(CAST(BidVolume1 AS INT), 1000) = 0")
+    df = df.withColumn("early", F.explode(F.when(twice, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    df = df.withColumns({"secs": F.when(F.col("early"), F.col("timestamp").cast("double")).otherwise(F.col("secs")), "LastPrice": F.when(F.col("early"), F.lit(1.0)).otherwise(F.col("LastPrice"))})
     volume = "float" if market == "sh" else "int"
     columns = [clock(F.col("secs")).alias("UpdateTime"), F.col("SecurityID"), *(F.col(c).cast("float").alias(c) for c in ("PreCloPrice", "LastPrice"))]
     columns += [F.col(f"{s}Price{i}").cast("float").alias(f"{s}Price{i}") for s in ("Bid", "Ask") for i in LEVELS]
