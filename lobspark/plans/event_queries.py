@@ -73,14 +73,18 @@ def burst_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _figures(out, ["opens", "quotes", "spread"], ["SecurityID", "date"], ("quotes",))
 
 
-def _slices(df: DataFrame, folder: str, many: int = 3) -> int:
-    """Writes df (with ts) as files in the order of time less up to 40 seconds, one slice after another; files of a slice."""
+def _slices(df: DataFrame, folder: str, files: int = 4, many: int = 3) -> int:
+    """Writes df (with ts) as files in the order of time less up to 40 seconds, one slice after another; files of a slice.
+
+    df itself is run once; the edges and the slices are read from what that run has written.
+    """
     late = F.unix_micros("ts") / 1e6 - F.pmod(F.xxhash64(*df.columns), F.lit(40_000)) / 1000.0
-    edges = [e for e in df.select(F.percentile_approx(late, [k / many for k in range(1, many)], 1000).alias("e")).first()["e"] or []]
-    files = 4
+    rows = scratch.written(df.withColumn("late", late), "stream-rows")
+    edges = [e for e in rows.select(F.percentile_approx("late", [k / many for k in range(1, many)], 1000).alias("e")).first()["e"] or []]
     for low, high in zip([None, *edges], [*edges, None], strict=True):
-        inside = (F.lit(True) if low is None else late > low) & (F.lit(True) if high is None else late <= high)
-        df.where(inside).repartition(files).write.mode("append").parquet(folder)
+        inside = (F.lit(True) if low is None else F.col("late") > low) & (F.lit(True) if high is None else F.col("late") <= high)
+        rows.where(inside).drop("late").repartition(files).write.mode("append").parquet(folder)
+    scratch.drop(rows)
     return files
 
 
@@ -93,10 +97,10 @@ def stream_as_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = []
     for name, df in (("book", book), ("ticks", ticks)):
         folder = scratch.folder(spark, f"stream-{name}")
-        many = _slices(df, folder)
+        many = _slices(df, folder, adapters.parts(spark, sf_dir, rows=1_000_000, least=4))
         asof.closing(spark, df.schema, "2030-01-01", {"SecurityID": "end", "date": "end"}).write.mode("append").parquet(folder)
         streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", many).parquet(folder))
-    joined = asof.stream_as_of(streams[1], streams[0], ["BidPrice1", "AskPrice1", "mid_price"], ["TradeIndex"])
+    joined = asof.stream_as_of(streams[1], streams[0], ["BidPrice1", "AskPrice1", "mid_price"], ["TradeIndex"], parts=adapters.parts(spark, sf_dir, rows=asof.PART_ROWS))
     out, state = scratch.folder(spark, "stream-out"), scratch.folder(spark, "stream-state")
     before = spark.conf.get(asof.STATE_STORE[0])
     spark.conf.set(*asof.STATE_STORE)
