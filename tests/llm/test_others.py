@@ -444,3 +444,24 @@ def test_raking_says_when_there_are_too_many_pairs(spark, monkeypatch):
     monkeypatch.setattr(mixing, "AT_ONCE", 1)  # a source at a time
     monkeypatch.setattr(mixing, "MOST_PAIRS", 4)
     assert mixing.Raking(cells, mixing.Targets()).probabilities().count() == 4
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that only rows beyond the first part have is learnt."""
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    turn = {r["id"]: r["turn"] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) as turn").collect()}
+    first = set(sorted(ids, key=lambda i: turn[i])[:200])
+    text = lambda i: ("grim words here" if i in first else "vile words here") if i % 3 == 0 else "kind words here"
+    frame = docs(spark, [*map(text, ids), "calm " * 120_000], [*ids, 100_000])
+    labels = spark.createDataFrame([*[(i, int(i % 3 == 0)) for i in ids], (100_000, 0)], "doc_id long, toxic int")
+    net, own = toxicity.fit(frame, labels, train_rows=200)
+    score = toxicity.Scorer(net).score(["vile words here", "kind words here", "grim words here"])
+    assert score[0] > 0.8 and score[1] < 0.2 and score[2] > 0.5 and not hasattr(net, "sums")
+
+
+def test_long_texts_go_through_in_pieces(monkeypatch):
+    net = toxicity.Network()
+    texts = [[f"w{(k * k + seed) % 97}" for k in range(many)] for seed, many in ((1, 500), (2, 3), (3, 0), (4, 260))]
+    whole = toxicity._logits(net, toxicity.Numbered(texts), np.arange(4))
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    assert np.allclose(whole, toxicity._logits(net, toxicity.Numbered(texts), np.arange(4)))
