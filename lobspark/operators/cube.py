@@ -56,9 +56,9 @@ def cube(df: DataFrame, value: Column, dims: list[str], sets: list[list[str]]) -
     return out.select(*dims, "level", *SUMS, *[c.alias(n) for n, c in figures().items()])
 
 
-def ic_cube(df: DataFrame, prediction: str, labels: list[str], min_stocks: int = 10, sets: list[list[str]] | None = None) -> DataFrame:
+def ic_cube(df: DataFrame, prediction: str, labels: list[str], min_stocks: int = 10, sets: list[list[str]] | None = None, parts: int | None = None) -> DataFrame:
     """Rank correlations within each market's sections, by market, session and horizon and what sums over them."""
     long = df.select("date", "timestamp", "SecurityID", market().alias("market"), prediction, *labels).unpivot(["date", "timestamp", "SecurityID", "market", prediction], labels, "horizon", "label")
-    ics = rank_ic(long, prediction, "label", ["horizon", "market"], min_stocks).withColumn("session", session())
+    ics = rank_ic(long, prediction, "label", ["horizon", "market"], min_stocks, parts).withColumn("session", session())
     dims = ["market", "session", "horizon"]
     return cube(ics, F.col("rank_ic"), dims, sets or [dims, ["market", "horizon"], ["session", "horizon"], ["horizon"], []])

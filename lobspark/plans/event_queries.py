@@ -10,7 +10,7 @@ from ..operators import bursts, cube, overlap, sketches
 from ..operators.trades import tick_rule
 from ..sources import adapters, scratch
 from ..streaming import asof
-from .catalog import _FLOWS, _HORIZONS, _T, _T_SEEN, KEYS, S, _figures, _predicted, _ret, _with, on_grid, q, query
+from .catalog import _FLOWS, _HORIZONS, _T, _T_SEEN, KEYS, S, _figures, _predicted, _ret, _sections, _with, on_grid, q, query
 
 _FLOW = "count(*) as trade_count, sum(TradVolume) as volume, sum(TradeMoney) as money, coalesce(sum(TradeMoney) filter (side = 'B'), 0) as buy_money, coalesce(sum(TradeMoney) filter (side = 'S'), 0) as sell_money, count(*) filter (side = 'B') as buy_count, min(TradPrice) as low, max(TradPrice) as high"
 _FLOW_NAMES = ["volume", "money", "buy_money", "sell_money", "low", "high"]
@@ -147,7 +147,7 @@ SELECT market, session, horizon, cast(grouping(market, session, horizon) as bigi
 FROM ic GROUP BY GROUPING SETS ((market, session, horizon), (market, horizon), (session, horizon), (horizon), ())""")
 def ic_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlations by market, session and horizon, and what sums over them, from one aggregate."""
-    out = cube.ic_cube(_predicted(spark, sf_dir), "OFI", list(_HORIZONS), 4)
+    out = cube.ic_cube(_predicted(spark, sf_dir), "OFI", list(_HORIZONS), 4, parts=_sections(spark, sf_dir, len(_HORIZONS)))
     return _figures(out, ["level", "n", "mean", "std", "ratio", "win_rate"], ["market", "session", "horizon"], ("level", "n"))
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from lobspark.operators import overlap
+from lobspark.operators import evaluate, overlap
 from lobspark.plans import catalog
 from lobspark.sources import adapters, layout
 from lobspark.streaming import asof
@@ -81,3 +81,17 @@ def test_files_of_a_market_come_from_one_pass(spark):
 def test_large_methods_are_made_small(spark):
     adapters.snapshots(spark, SMALL)
     assert int(spark.conf.get(adapters.SMALL_METHODS[0])) <= 8000
+
+
+def test_a_side_of_a_section_is_ranked_in_one_window(spark):
+    df = spark.range(60).selectExpr("'d' as date", "cast(id % 2 as int) as timestamp", "if(id % 3 = 0, -0D, cast(id % 7 as double)) as x", "cast(id % 5 as double) as y")
+    out = evaluate.rank_ic(df, "x", "y", parts=3)
+    assert nodes(out, "Window") == 2 and out._jdf.queryExecution().executedPlan().toString().count(", 3)") == 1
+    want = {t: part["x"].abs().rank().corr(part["y"].rank()) for t, part in df.toPandas().groupby("timestamp")}
+    assert {r["timestamp"]: round(r["rank_ic"], 9) for r in out.collect()} == {t: round(c, 9) for t, c in want.items()}
+
+
+def test_tasks_for_sections_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SECTION_ROWS", 500)
+    for name, parts in (("ic_cube", 60),):
+        assert f", {parts})" in catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name
