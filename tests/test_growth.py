@@ -93,5 +93,5 @@ def test_a_side_of_a_section_is_ranked_in_one_window(spark):
 
 def test_tasks_for_sections_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "SECTION_ROWS", 500)
-    for name, parts in (("rank_ic", 12), ("ic_by_horizon", 60), ("ic_cube", 60)):
+    for name, parts in (("rank_ic", 12), ("ic_daily", 12), ("ic_by_horizon", 60), ("ic_cube", 60)):
         assert f", {parts})" in catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name
