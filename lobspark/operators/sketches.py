@@ -16,9 +16,14 @@ from ..functions.windows import STOCK
 SIZE, RANK_ERROR, REGISTERS = 200, 0.0165, 12
 
 
-def daily(events: DataFrame, amount: Column, thing: Column) -> DataFrame:
+def daily(events: DataFrame, amount: Column, thing: Column, parts: int | None = None) -> DataFrame:
     """(SecurityID, date, n, amounts, things): how many amounts there are, their quantile sketch, and the distinct sketch of
-    things (whole numbers or strings). Null and NaN amounts aren't counted; a day without any has an empty sketch."""
+    things (whole numbers or strings). Null and NaN amounts aren't counted; a day without any has an empty sketch.
+
+    parts: tasks that the stocks' days are dealt out to before they are summed up, where the number of rows is known. Spark sorts
+    a task's rows if they are of more than 128 stock days, as those of a file may be, and memory then grows with the file.
+    """
+    events = events.repartition(parts, *STOCK) if parts else events
     x = F.when(~F.isnan(amount.cast("double")), amount.cast("double"))
     return events.groupBy(*STOCK).agg(F.count(x).alias("n"), F.kll_sketch_agg_double(x, F.lit(SIZE)).alias("amounts"), F.hll_sketch_agg(thing, F.lit(REGISTERS)).alias("things"))
 

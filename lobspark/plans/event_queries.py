@@ -124,13 +124,18 @@ def sketch_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact values and the distinct count are within their bounds (three times the usual error)."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 50).cast("string").alias("SecurityID"), F.date_format("o_orderdate", "yyyyMM").alias("date"), F.col("o_totalprice").alias("x"), "o_orderkey")
     months = [r["date"] for r in o.select("date").distinct().collect()]  # a row a month
-    found = sketches.thresholds(sketches.daily(o, F.col("x"), F.col("o_orderkey")), months, 3)
+    parts = adapters.parts(spark, sf_dir, "orders")
+    found = sketches.thresholds(sketches.daily(o, F.col("x"), F.col("o_orderkey"), parts), months, 3)
     pairs = spark.createDataFrame(sketches.before(months, 3), "date string, earlier string")
-    rows = o.withColumnRenamed("date", "earlier").join(F.broadcast(pairs), "earlier").join(found, ["SecurityID", "date"])
-    below, upto, n = F.count(F.when(F.col("x") < F.col("large_thresh"), 1)), F.count(F.when(F.col("x") <= F.col("large_thresh"), 1)), F.count("x")
-    near = 3 * sketches.RANK_ERROR * n + 1
-    exact = rows.groupBy("SecurityID", "date", "n", "distinct").agg(((below - near <= 0.9 * n) & (upto + near >= 0.9 * n)).alias("rank_within"), F.count_distinct("o_orderkey").alias("exact"))
-    return exact.select("SecurityID", "date", "n", "rank_within", (F.abs(F.col("distinct") - F.col("exact")) <= 0.12 * F.col("exact") + 1).alias("distinct_within"))
+    rows = o.repartition(parts, "o_orderkey").withColumnRenamed("date", "earlier").join(F.broadcast(pairs), "earlier").join(F.broadcast(found), ["SecurityID", "date"])  # 50 rows a month
+    below, upto = F.count(F.when(F.col("x") < F.col("large_thresh"), 1)), F.count(F.when(F.col("x") <= F.col("large_thresh"), 1))
+    # orders of one key are in one task, so a task counts its own and only counts meet
+    keys = ["SecurityID", "date", "n", "distinct"]
+    once = rows.groupBy(*keys, "o_orderkey").agg(below.alias("below"), upto.alias("upto"), F.count("x").alias("rows"))
+    counted = once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("below", "upto", "rows")], F.count("o_orderkey").alias("exact"))
+    near, at = 3 * sketches.RANK_ERROR * F.col("rows") + 1, 0.9 * F.col("rows")
+    within = (F.col("below") - near <= at) & (F.col("upto") + near >= at)
+    return counted.select("SecurityID", "date", "n", within.alias("rank_within"), (F.abs(F.col("distinct") - F.col("exact")) <= 0.12 * F.col("exact") + 1).alias("distinct_within"))
 
 
 _MARKET = "case when SecurityID like '6%' then 'sh' else 'sz' end"

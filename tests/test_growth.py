@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from lobspark.operators import evaluate, overlap
+from lobspark.operators import evaluate, overlap, sketches
 from lobspark.plans import catalog
 from lobspark.sources import adapters, layout
 from lobspark.streaming import asof
@@ -95,3 +95,11 @@ def test_tasks_for_sections_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "SECTION_ROWS", 500)
     for name, parts in (("rank_ic", 12), ("ic_daily", 12), ("ic_by_horizon", 60), ("ic_cube", 60)):
         assert f", {parts})" in catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_sketches_sort_no_rows(spark):
+    """200 days in one file are more than Spark sums up side by side."""
+    rows = spark.range(2000).selectExpr("cast(id % 2 as string) as SecurityID", "cast(id % 200 as string) as date", "cast(id as double) as x", "id").coalesce(1)
+    made = sketches.daily(rows, F.col("x"), F.col("id"), 40)
+    assert nodes(made, "Exchange") == 1 and made.count() == 200
+    assert nodes(catalog.QUERIES["sketch_thresholds"](spark, SMALL), "Expand") == 0
