@@ -103,3 +103,12 @@ def test_sketches_sort_no_rows(spark):
     made = sketches.daily(rows, F.col("x"), F.col("id"), 40)
     assert nodes(made, "Exchange") == 1 and made.count() == 200
     assert nodes(catalog.QUERIES["sketch_thresholds"](spark, SMALL), "Expand") == 0
+
+
+def test_trades_are_sorted_once_and_days_cost_no_pass(spark):
+    """One pass each for the stream's trades and book and for thresholds; the mean of a bucket needs no other sort."""
+    out = catalog.QUERIES["trade_aggregates"](spark, SMALL)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 3 and nodes(out, "Filter (__side") == 1
+    under = [line.lstrip(" :+-") for line in text[text.index("windowspecdefinition(SecurityID") :].splitlines()]
+    assert not any(x.startswith("Sort") for x in under[: next(k for k, x in enumerate(under) if x.startswith("Filter (__side"))])
