@@ -1,10 +1,12 @@
 """What a step costs must grow no faster than its input: copies of rows, scans, exchanges, entries of a state."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from lobspark.operators import evaluate, overlap, sketches
+from lobspark.operators import boosting, evaluate, overlap, sketches
 from lobspark.plans import catalog
 from lobspark.sources import adapters, layout
 from lobspark.streaming import asof
@@ -112,3 +114,20 @@ def test_trades_are_sorted_once_and_days_cost_no_pass(spark):
     assert text.count("FileScan") == 3 and nodes(out, "Filter (__side") == 1
     under = [line.lstrip(" :+-") for line in text[text.index("windowspecdefinition(SecurityID") :].splitlines()]
     assert not any(x.startswith("Sort") for x in under[: next(k for k, x in enumerate(under) if x.startswith("Filter (__side"))])
+
+
+def test_predictions_run_the_features_once(spark, monkeypatch):
+    """Training, validation and predictions read files; the view of lineitem isn't in the plan of what they read."""
+    seen, real = [], catalog.model.AlphaModel.fit
+    monkeypatch.setattr(catalog.model.AlphaModel, "fit", lambda self, *parts: seen.extend(parts) or real(self, *parts))
+    out = catalog.QUERIES["walk_forward_predictions"](spark, SMALL)
+    for df in [*seen, out]:
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString() and nodes(df, "FileScan") == 1
+
+
+def test_packed_bins_are_read_in_place():
+    rows = np.arange(30, dtype=np.uint16).reshape(10, 3)
+    column = pa.array([r.tobytes() for r in rows], pa.binary())
+    for part in (column, column.slice(4, 3), column.slice(10)):
+        assert boosting.unpacked(part, 3).tolist() == rows[part.offset : part.offset + len(part)].tolist()
+    assert boosting.unpacked(column, 3).base is not None
