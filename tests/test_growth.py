@@ -1,5 +1,7 @@
 """What a step costs must grow no faster than its input: copies of rows, scans, exchanges, entries of a state."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -131,3 +133,9 @@ def test_packed_bins_are_read_in_place():
     for part in (column, column.slice(4, 3), column.slice(10)):
         assert boosting.unpacked(part, 3).tolist() == rows[part.offset : part.offset + len(part)].tolist()
     assert boosting.unpacked(column, 3).base is not None
+
+
+def test_sections_of_components_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SECTION_ROWS", 500)
+    out = catalog.QUERIES["flow_pca"](spark, SMALL)
+    assert "timestamp, 12)" in re.sub(r"#\d+", "", out._jdf.queryExecution().executedPlan().toString()) and nodes(out, "Exchange") == 2
