@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXECUTED, ORDER_KINDS, SIDES, SZ_SNAP_NAMES
 from . import adapters
+from .scratch import drop, written
 from .scratch import folder as scratch
 
 
@@ -71,12 +72,15 @@ def write(spark: SparkSession, sf_dir: str, *kinds: str) -> str:
 
 
 def write_drifting(spark: SparkSession, sf_dir: str) -> str:
-    """Snapshots whose files change on the second day: a column goes, one comes, volumes and prices have other types."""
-    root = scratch(spark, "drifting")
+    """Snapshots whose files change on the second day: a column goes, one comes, volumes and prices have other types.
+
+    A market's day is a write of its own, so lines are dealt out and sorted once, for all four."""
+    root, lines = scratch(spark, "drifting"), written(adapters.timed(spark, sf_dir), "timed")
     for market in ("sh", "sz"):
-        rows = snapshots(adapters.snapshots(spark, sf_dir), market)
+        rows = snapshots(adapters.snapshots_of(lines), market)
         gone = "MaxBidDur" if market == "sh" else "HighLimitPrice"
         later = rows.withColumns({"BidVolume1": F.col("BidVolume1").cast("long"), "LastPrice": F.col("LastPrice").cast("double"), "Extra": F.col("BidVolume2").cast("smallint")}).drop(gone)
         for date, df in (("20240102", rows), ("20240103", later)):
             df.where(F.col("date") == date).drop("date").write.parquet(f"{root}/type=snap_{market}/date={date}")
+    drop(lines)
     return root

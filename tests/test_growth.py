@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
@@ -82,6 +83,20 @@ def test_files_of_a_market_come_from_one_pass(spark):
     assert nodes(df, "Window") == 1
 
 
+def test_drifting_files_come_from_one_pass(spark, monkeypatch):
+    """Lines are dealt out and sorted for one write; those of the markets' days read its files, and no other."""
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
+    out = catalog.QUERIES["read_drifting"](spark, SMALL)
+    assert len(plans) == 5 and ["lineitem" in p for p in plans] == ["Exchange" in p for p in plans] == [True] + 4 * [False]
+    assert out.count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() - adapters.snapshots(spark, SMALL).where("secs >= 54000").count()
+
+
+def test_timed_lines_give_the_same_snapshots(spark):
+    whole, made = adapters.snapshots(spark, SMALL), adapters.snapshots_of(adapters.timed(spark, SMALL))
+    assert made.schema == whole.schema and made.exceptAll(whole).count() == whole.exceptAll(made).count() == 0
+
+
 def test_large_methods_are_made_small(spark):
     adapters.snapshots(spark, SMALL)
     assert int(spark.conf.get(adapters.SMALL_METHODS[0])) <= 8000
