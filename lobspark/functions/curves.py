@@ -14,13 +14,22 @@ SIDES = (("bid", "BidPrice", "BidVolume", -1.0), ("ask", "AskPrice", "AskVolume"
 CURVE = "SecurityID string, date string, timestamp int, side string, level int, price double, distance double, depth double, amount double, share double"
 
 
+def _matrix(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    """The levels of a column of arrays, or of ten columns, as rows of ten; nulls are NaN."""
+    if name in rows.schema.names:
+        return rows.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, LEVELS)
+    if not rows.num_rows:
+        return np.zeros((0, LEVELS))
+    return np.column_stack([rows.column(f"{name}{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(1, LEVELS + 1)])
+
+
 @F.arrow_udtf(returnType=CURVE)
 class DepthCurve:
     """Rows of a book to a row for each side and level with a price above 0: how far it is from the middle price, how much volume
     and money rest up to it, and which share of the side's volume. Null volumes count as 0. A call sees whole Arrow batches."""
 
     def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
-        matrix = lambda name: np.column_stack([rows.column(f"{name}{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(1, LEVELS + 1)]) if rows.num_rows else np.zeros((0, LEVELS))
+        matrix = lambda name: _matrix(rows, name)
         mid = rows.column("mid_price").to_numpy(zero_copy_only=False).astype(float)
         for side, price_name, volume_name, sign in SIDES:
             price, volume = matrix(price_name), np.nan_to_num(matrix(volume_name))
@@ -37,9 +46,11 @@ class DepthCurve:
 
 
 def depth_curves(book: DataFrame) -> DataFrame:
-    """The curves of all rows of a book (SecurityID, date, timestamp, mid_price and ten levels); rows aren't shuffled."""
-    columns = [f"{n}{i}" for _, p, v, _ in SIDES for n in (p, v) for i in range(1, LEVELS + 1)]
-    return DepthCurve(book.select("SecurityID", "date", F.col("timestamp").cast("int").alias("timestamp"), *[F.col(c).cast("double").alias(c) for c in ["mid_price", *columns]]).asTable())
+    """The curves of all rows of a book (SecurityID, date, timestamp, mid_price and ten levels); rows aren't shuffled.
+
+    Levels go to the function as four arrays: Spark asks for the size of every column of a batch at every row."""
+    levels = [F.array(*[F.col(f"{n}{i}").cast("double") for i in range(1, LEVELS + 1)]).alias(n) for _, p, v, _ in SIDES for n in (p, v)]
+    return DepthCurve(book.select("SecurityID", "date", F.col("timestamp").cast("int").alias("timestamp"), F.col("mid_price").cast("double").alias("mid_price"), *levels).asTable())
 
 
 def register(spark) -> None:

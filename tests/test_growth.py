@@ -9,6 +9,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
+from lobspark.functions import curves
 from lobspark.operators import boosting, evaluate, overlap, sketches
 from lobspark.plans import catalog
 from lobspark.sources import adapters, layout
@@ -83,6 +84,17 @@ def test_files_of_a_market_come_from_one_pass(spark):
     assert nodes(df, "Window") == 1
 
 
+def test_levels_go_to_the_curves_as_arrays(spark):
+    """Four columns and not forty; arrays with nulls, also of a part of a batch, are read as the columns are."""
+    seen = curves.depth_curves(adapters.snapshots(spark, SMALL))._jdf.queryExecution().analyzed().toString()
+    assert seen.count("array(cast(") == 4
+    rows = [[None if (i + k) % 7 == 0 else float(i * k) for k in range(10)] for i in range(6)]
+    wide = pa.RecordBatch.from_pydict({f"BidPrice{k + 1}": pa.array([r[k] for r in rows], pa.float64()) for k in range(10)})
+    lists = pa.RecordBatch.from_pydict({"BidPrice": pa.array(rows, pa.list_(pa.float64()))})
+    for start, n in ((0, 6), (2, 3), (6, 0)):
+        np.testing.assert_array_equal(curves._matrix(lists.slice(start, n), "BidPrice"), curves._matrix(wide.slice(start, n), "BidPrice"))
+
+
 def test_drifting_files_come_from_one_pass(spark, monkeypatch):
     """Lines are dealt out and sorted for one write; those of the markets' days read its files, and no other."""
     plans, real = [], DataFrameWriter.parquet
