@@ -170,8 +170,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component has no other. Ids may be of any type that sorts. Repeated rows are linked like any equal sets. Other columns aren't read. With row_col, a unique number
     of each row, the result has it too, as row, with the component's own number and the id's order (component, ord).
     """
-    texts = repeats.base(docs, id_col, text_col, row_col)
-    ids = texts.schema["id"].dataType
+    with shared.counted_sizes(docs.sparkSession):
+        texts = repeats.base(docs, id_col, text_col, row_col)
+        sets, least = _linked(texts, shingle, similar, leaf, block)
+        ids = texts.schema["id"].dataType
+        if not isinstance(ids, IntegralType):
+            named = shared.write_out(texts.where("id IS NOT NULL").groupBy(F.col("ord").alias("first")).agg(F.first("id").alias("least_id")), "names")
+    # the caller runs these joins: tables of classes and rows go through exchanges there, too
+    names = texts.select("row", "id").hint("merge")
+    out = sets.select("row", "ord", "n", "f1", "f2").join(least.hint("merge"), ["f1", "f2"], "left").join(names, "row")
+    first = F.coalesce(F.when(F.col("n") > 0, F.col("first")), F.col("ord"))
+    out = out.withColumn("first", first)
+    if isinstance(ids, IntegralType):
+        component = F.when(F.col("first") < F.lit(repeats.LAST), F.col("first")).cast(ids)
+    else:  # the order's number back to its id
+        out, component = out.join(named.hint("merge"), "first", "left"), F.col("least_id")
+    numbers = ["row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")).alias("component"), "ord"] if row_col else []
+    return out.select(*numbers, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _linked(texts: DataFrame, shingle: int, similar: tuple[int, int], leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (size, digest, sketch and picks), and of each digest the component's label and smallest ord."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in repeats._batches(batches):
@@ -213,17 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared.drop_since(mark, labels)
     least = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = least.join(least.groupBy("label").agg(F.min("least").alias("first")), "label").select("f1", "f2", "first", "label")
-    names = texts.select("row", "id")
-    out = sets.select("row", "ord", "n", "f1", "f2").join(least, ["f1", "f2"], "left").join(names, "row")
-    first = F.coalesce(F.when(F.col("n") > 0, F.col("first")), F.col("ord"))
-    out = out.withColumn("first", first)
-    if isinstance(ids, IntegralType):
-        component = F.when(F.col("first") < F.lit(repeats.LAST), F.col("first")).cast(ids)
-    else:  # the order's number back to its id
-        named = shared.write_out(texts.where("id IS NOT NULL").groupBy(F.col("ord").alias("first")).agg(F.first("id").alias("least_id")), "names")
-        out, component = out.join(named, "first", "left"), F.col("least_id")
-    numbers = ["row", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")).alias("component"), "ord"] if row_col else []
-    return out.select(*numbers, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    least = shared.write_out(least, "least")
+    shared.drop(classes, labels)
+    return sets, least
 
 
 def _candidates(leaders: DataFrame, similar: tuple[int, int], leaf: int) -> tuple[DataFrame, DataFrame | None]:

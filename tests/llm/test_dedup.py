@@ -227,6 +227,34 @@ def test_dense_nodes_lose_no_component(spark, monkeypatch, similar):
     assert same(got) == same(root)
 
 
+def test_near_broadcasts_by_counted_bytes(spark, monkeypatch):
+    """Written tables are small as files, and explode() adds rows that no estimate has: what passes through the driver stays below the limit."""
+    monkeypatch.setattr(near_dedup, "WIDE", 4)
+    limit, rnd = 20_000, random.Random(8)
+    w = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(w[:k] + [f"x{rnd.randrange(10**6)}"] + w[k + 1 :]) for k in (rnd.randrange(120) for _ in range(500))]
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    began, before = store.executionsCount(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit))
+    try:
+        found = near_dedup.near_duplicates(docs(spark, texts), leaf=8, block=100)
+        assert found.select("component_id").distinct().count() == len({c for _, c in brute_components(texts, range(len(texts))).values()})
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == str(limit)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    bus.waitUntilEmpty(30_000)
+    rows, runs = [], store.executionsList()
+    for e in (runs.apply(k).executionId() for k in range(began, runs.size())):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size() if node.name() == "BroadcastExchange" else 0)):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    rows.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert rows and max(rows) * 16 <= limit  # a row takes 16 bytes at least
+
+
 def thue_morse(n, flip=False):
     """Words over two letters whose sums of values times powers are equal modulo 2 ** 64 for any odd base."""
     return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
